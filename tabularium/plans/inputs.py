@@ -105,3 +105,31 @@ def dirty_lineitem(t: Tables) -> DataFrame:
         F.lit("USD").alias("currency"),
         F.explode(copies).alias("_copy"),
     ).drop("_copy")
+
+
+def sales_by_part(t: Tables) -> DataFrame:
+    """Sales, quantity and profit per part, summed before the part attributes are joined on.
+
+    The sums run map-side, so a part that holds a large share of all lines is one row per task before any shuffle.
+    """
+    per_part = t.lineitem.groupBy("l_partkey").agg(F.sum(net_sales()).alias("sales"), F.sum("l_quantity").alias("quantity"))
+    return per_part.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("p_brand").alias("product"), "sales", "quantity",
+        (F.col("sales") - F.col("quantity") * F.col("p_retailprice")).alias("profit"))
+
+
+def sales_by_order(t: Tables) -> DataFrame:
+    """Sales and quantity per order with its date and customer key; the sum and the join share one partitioning."""
+    per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum(net_sales()).alias("sales"), F.sum("l_quantity").alias("quantity"))
+    return per_order.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_orderdate").alias("order_date"), F.col("o_custkey").alias("cust_key"), "sales", "quantity")
+
+
+def sales_by_customer(t: Tables) -> DataFrame:
+    """Sales and quantity per customer with name, segment and region."""
+    per_customer = sales_by_order(t).groupBy("cust_key").agg(F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity"))
+    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return (per_customer.join(t.customer, F.col("cust_key") == F.col("c_custkey"))
+            .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select(F.col("c_name").alias("customer"), F.col("c_mktsegment").alias("segment"),
+                    F.col("r_name").alias("region"), "sales", "quantity"))
