@@ -1,4 +1,4 @@
 """Imports every plan module so that its queries are registered."""
 
-from tabularium.plans import business, cleaning  # noqa: F401
+from tabularium.plans import business, cleaning, profiling  # noqa: F401
 from tabularium.plans.registry import QUERIES, SQL  # noqa: F401

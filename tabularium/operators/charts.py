@@ -16,28 +16,31 @@ def label(c: Column, size: int = 18) -> Column:
 
 
 def aggregate(df: DataFrame, x: str, y: str | None, how: str, wanted: dict | None = None, limit: int | None = 10) -> DataFrame:
-    """``(name, value)``: ``how`` of y per x after the filters, two decimals, largest first, top ``limit``."""
+    """``(name, value, n)``: ``how`` of y per x after the filters, two decimals, largest first, top ``limit``."""
     key = F.coalesce(F.nullif(F.col(x).cast("string"), F.lit("")), F.lit("Unknown"))
     value = F.count(F.lit(1)).cast("double") if how == "count" else _MEASURES[how](F.col(y))
-    grouped = filters.matching(df, wanted or {}).groupBy(key.alias("name")).agg(display2(value).alias("value"))
+    grouped = filters.matching(df, wanted or {}).groupBy(key.alias("name")).agg(
+        display2(value).alias("value"), F.count(F.lit(1)).alias("n"))
     ranked = grouped.orderBy(F.desc("value"), "name")
     ranked = ranked.limit(limit) if limit else ranked
-    return ranked.select(F.substring("name", 1, 18).alias("name"), "value")
+    return ranked.select(F.substring("name", 1, 18).alias("name"), "value", "n")
 
 
 def share(df: DataFrame, x: str, y: str, top: int = 8) -> DataFrame:
-    """``(name, value, pct)`` of the largest positive groups, percent of the total over all groups."""
-    groups = df.groupBy(label(F.col(x)).alias("name")).agg(F.sum(y).alias("value")).filter("value > 0")
-    total = groups.agg(F.sum("value")).scalar()
-    return (groups.withColumn("pct", F.round(F.col("value") * 100.0 / total, 2))
-                  .orderBy(F.desc("value"), "name").limit(top))
-
-
-def footer(data: DataFrame, value: str = "value", weight: str | None = None) -> DataFrame:
-    """One row under a chart: sum, number of points and (weighted) average."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    return data.agg(F.sum(value).alias("sum"), F.count(value).alias("points"),
-                    F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias("average"))
+    """``(name, value, pct)`` of the largest positive groups, percent of the total over all groups; at least two."""
+    key = F.coalesce(F.nullif(F.col(x).cast("string"), F.lit("")), F.lit("Unknown"))
+    groups = df.groupBy(key.alias("name")).agg(F.sum(y).alias("value")).filter(F.col("value").isNotNull())
+    one = groups.agg(F.struct(F.sum("value").alias("total"), F.count_if(F.col("value") > 0).alias("positive"))).scalar()
+    return (groups.filter((F.col("value") > 0) & (one["positive"] >= 2))
+                  .withColumn("pct", F.round(F.col("value") * 100.0 / one["total"], 1))
+                  .orderBy(F.desc("value"), "name").limit(top)
+                  .withColumn("value", display2(F.col("value"))))
+
+
+def footer(data: DataFrame) -> DataFrame:
+    """One row under a chart: sum of the values, number of records and the average per record."""
+    return data.agg(F.sum("value").alias("total"), F.sum("n").alias("records")).withColumn(
+        "average", F.coalesce(F.try_divide("total", "records"), F.lit(0.0)))
 
 
 def top(df: DataFrame, x: str, y: str, n: int = 10) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabularium.operators import ordering
-
 
 def group_totals(df: DataFrame, key: str, measure: str) -> DataFrame:
     """``(key, total)``; rows without a key are left out, an all-null group counts as 0."""
@@ -41,9 +39,8 @@ def winners(totals: DataFrame, key: str, n: int = 5) -> DataFrame:
     return totals.filter("total > 0").orderBy(F.desc("total"), F.desc(key)).limit(n).orderBy("total", key)
 
 
-def halves(df: DataFrame, moment: str, ties: list[str]) -> DataFrame:
-    """Mark each row with period 1 or 2, cut at the middle row of the time order."""
-    second = ordering.split_after(df, moment, ties)
+def halves(df: DataFrame, second: Column) -> DataFrame:
+    """Mark each row with period 1 or 2; ``second`` comes from :func:`ordering.split_after`."""
     return df.withColumn("period", F.when(second, F.lit(2)).otherwise(F.lit(1)))
 
 
@@ -64,13 +61,12 @@ def compare_periods(marked: DataFrame, measure: str) -> DataFrame:
                                              F.col("delta") / F.col("first_total") * 100.0).otherwise(F.lit(0.0))))
 
 
-def drivers(marked: DataFrame, columns: list[str], measure: str, most: int = 5) -> DataFrame:
+def drivers(marked: DataFrame, columns: list[str], measure: str, compared: DataFrame, most: int = 5) -> DataFrame:
     """Per category column the value that moved most in the direction of the total.
 
-    Only values seen in both periods count. One pass: every row becomes one (column, value) pair per category,
+    ``compared`` is the frame of :func:`compare_periods`. Only values seen in both periods count. One pass: every row becomes one (column, value) pair per category,
     summed map-side by period, so a value with many rows is one row per task.
     """
-    present = F.col(measure).isNotNull()
     wide = marked.select("period", measure, *[F.col(c).cast("string").alias(c) for c in columns])
     moved = (wide.unpivot(["period", measure], columns, "column_name", "value")
              .filter(F.col("value").isNotNull())
@@ -83,7 +79,7 @@ def drivers(marked: DataFrame, columns: list[str], measure: str, most: int = 5)
     per_column = moved.groupBy("column_name").agg(
         F.min_by("value", F.struct("diff", "value")).alias("drop_value"), F.min("diff").alias("drop"),
         F.min_by("value", F.struct(-F.col("diff"), F.col("value"))).alias("rise_value"), F.max("diff").alias("rise"))
-    total = compare_periods(marked, measure).select("delta").scalar()
+    total = compared.select("delta").scalar()
     order = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column_name"))
     fell, rose = (total < 0) & (F.col("drop") < 0), (total > 0) & (F.col("rise") > 0)
     return (per_column.filter(fell | rose)

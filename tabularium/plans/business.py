@@ -89,8 +89,11 @@ PERIOD_SQL = """cmp AS (SELECT sum(CASE WHEN period = 1 THEN sales END) AS a, su
   FROM marked)"""
 
 
-def _marked(t, *extra):
-    return kpi.halves(sales_wide(t, ["order_date", *TIES, *extra]), "order_date", TIES)
+def _halves(t, *extra):
+    """Sales rows marked by half, and the same with category columns; the cut needs the lean rows only."""
+    lean = sales_wide(t, ["order_date", *TIES])
+    second = ordering.split_after(lean, "order_date", TIES)
+    return kpi.halves(lean, second), kpi.halves(sales_wide(t, ["order_date", *TIES, *extra]), second)
 
 
 @query("rca_period_compare", f"""WITH {HALVES_SQL}, {PERIOD_SQL}
@@ -98,7 +101,7 @@ SELECT round(a, 4) AS first_total, round(b, 4) AS second_total, round(b - a, 4)
   CASE WHEN b - a > 0 THEN 'increased' ELSE 'decreased' END AS direction,
   CASE WHEN a > 0 THEN round((b - a) / a * 100, 2) ELSE 0.0 END AS change_pct FROM cmp""")
 def rca_period_compare(t):
-    one = kpi.compare_periods(_marked(t), "sales")
+    one = kpi.compare_periods(_halves(t)[0], "sales")
     return one.select(*[r4(F.col(c)).alias(c) for c in ("first_total", "second_total", "delta")], "direction",
                       (F.round("change_pct", 2) + F.lit(0.0)).alias("change_pct"))
 
@@ -117,7 +120,8 @@ SELECT column_name, CAST(list_position(['product', 'customer', 'region', 'segmen
   value, round(diff, 4) AS diff FROM r, cmp
 WHERE (b - a < 0 AND low = 1 AND diff < 0) OR (b - a > 0 AND high = 1 AND diff > 0)""")
 def rca_drivers(t):
-    out = kpi.drivers(_marked(t, *CATEGORIES), CATEGORIES, "sales")
+    lean, wide = _halves(t, *CATEGORIES)
+    out = kpi.drivers(wide, CATEGORIES, "sales", kpi.compare_periods(lean, "sales"))
     return out.withColumn("diff", r4(F.col("diff")))
 
 
@@ -134,7 +138,7 @@ def recommendations(t):
     parts = kpi.group_totals(sales_wide(t, ["part_key", "profit"]).withColumnRenamed("part_key", "part"), "part", "profit")
     losses = kpi.loss_makers(parts, "part").withColumn("part", F.col("part").cast("string"))
     best = kpi.best_and_worst(kpi.group_totals(sales_by_part(t), "product", "sales"), "product")
-    return kpi.recommendations(losses, "part", best, kpi.compare_periods(_marked(t), "sales"))
+    return kpi.recommendations(losses, "part", best, kpi.compare_periods(_halves(t)[0], "sales"))
 
 
 # ---- metrics and insights ------------------------------------------------------------------------------
@@ -280,7 +284,7 @@ def _chart_input(t):
 
 
 def _chart_sql(value: str, x: str = "p_brand", limit: int = 10) -> str:
-    return f"""SELECT substr(coalesce(nullif({x}, ''), 'Unknown'), 1, 18) AS name, {value} AS value
+    return f"""SELECT substr(coalesce(nullif({x}, ''), 'Unknown'), 1, 18) AS name, {value} AS value, count(*) AS n
 FROM lineitem JOIN part ON l_partkey = p_partkey {CHART_WHERE}
 GROUP BY coalesce(nullif({x}, ''), 'Unknown') ORDER BY 2 DESC, 1 LIMIT {limit}"""
 
@@ -310,7 +314,7 @@ def chart_count(t):
 
 @query("chart_share", f"""WITH {SALES_SQL}, g AS (
   SELECT segment AS name, sum(sales) AS value FROM sales_wide GROUP BY 1 HAVING sum(sales) > 0)
-SELECT name, round(value, 4) AS value, round(value * 100.0 / (SELECT sum(value) FROM g), 2) AS pct FROM g
+SELECT name, {display2_sql('value')} AS value, round(value * 100.0 / (SELECT sum(value) FROM g), 1) AS pct FROM g
 ORDER BY value DESC, name LIMIT 8""")
 def chart_share(t):
     """Donut over the first text column with 2 to 12 different values."""
@@ -318,14 +322,14 @@ def chart_share(t):
     columns = ["customer", "segment", "region"]
     x = charts.first_category(stats.nunique(t.customer.select(
         F.col("c_name").alias("customer"), F.col("c_mktsegment").alias("segment")), columns[:2]), columns, 13, 2)
-    return charts.share(people, x, "sales").withColumn("value", r4(F.col("value")))
+    return charts.share(people, x, "sales")
 
 
 @query("chart_totals", f"""WITH c AS ({_chart_sql(display2_sql('sum(l_extendedprice)'))})
-SELECT round(sum(value), 4) AS sum, count(*) AS points, round(avg(value), 4) AS average FROM c""")
+SELECT round(sum(value), 4) AS total, CAST(sum(n) AS BIGINT) AS records, round(sum(value) / sum(n), 4) AS average FROM c""")
 def chart_totals(t):
     one = charts.footer(chart_sum(t))
-    return one.select(r4(F.col("sum")).alias("sum"), "points", r4(F.col("average")).alias("average"))
+    return one.select(r4(F.col("total")).alias("total"), "records", r4(F.col("average")).alias("average"))
 
 
 def _top_sql(x: str, y: str, n: int) -> str:
