@@ -106,3 +106,15 @@ def page(df: DataFrame, keys: list, number: int, size: int | None, shallow: int
         return df.orderBy(*keys).offset(skip).limit(size)
     placed = with_position(df, keys)
     return placed.filter(F.col("position").between(skip, skip + size - 1)).orderBy("position").drop("position")
+
+
+def with_running_sum(df: DataFrame, keys: list, weight: str, name: str = "upto") -> DataFrame:
+    """Add the sum of ``weight`` over this row and all earlier ones in the order of ``keys``."""
+    slots = ordered_slots(df, keys)
+    sums = slots.groupBy("_part").agg(F.sum(weight).alias("_sum"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (slots.withColumn("_inside", F.sum(weight).over(inside)).join(starts, "_part")
+                 .withColumn(name, F.col("_start") + F.col("_inside"))
+                 .drop("_part", "_place", "_inside", "_start"))

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tabularium.operators import ordering
+
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 # Up to this many rows the built-in exact percentile is used: its buffer holds one entry per distinct value.
@@ -182,3 +184,23 @@ def outlier_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         "outliers": lambda c: F.count_if((_value(c) < bounds[c][0]) | (_value(c) > bounds[c][1])),
     })
     return counted
+
+
+def group_quantile(df: DataFrame, key: str, value: str, prob: float) -> DataFrame:
+    """``(key, quantile)``: exact, with linear interpolation, for groups of any size.
+
+    Equal values of a group become one row with a count, the rows are put in one distributed order, and the two
+    rows around the wanted rank are picked by running count. No group is held in one aggregation buffer.
+    """
+    v = F.col(value).cast("double")
+    counts = (df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(key, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    running = ordering.with_running_sum(counts, [key, "_v"], "_n", "_upto")
+    spans = running.groupBy(key).agg(F.sum("_n").alias("_size"), F.min(F.col("_upto") - F.col("_n")).alias("_start"))
+    at = (F.col("_size") - 1) * F.lit(float(prob))
+    first = F.col("_upto") - F.col("_n") - F.col("_start")
+    holds = lambda rank: (rank >= first) & (rank < first + F.col("_n"))
+    placed = running.join(spans, key).filter(holds(F.floor(at)) | holds(F.ceil(at)))
+    return placed.groupBy(key).agg(
+        F.max(F.when(holds(F.floor(at)), F.col("_v"))).alias("_low"), F.max(F.when(holds(F.ceil(at)), F.col("_v"))).alias("_high"),
+        F.first(at - F.floor(at)).alias("_w")).select(
+        key, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_w")).alias("quantile"))
