@@ -342,5 +342,5 @@ def stream_dedup(t):
 @query("lockout_state")
 def lockout_state(t):
     """Locks of the state machine. No SQL: whether a failure counts depends on the locks before it."""
-    feed = run.table_stream(t, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    feed = run.table_stream(t, "events", 1 << 30).select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
     return run.drain_updates(lockout.lockouts(feed), "lockout").withColumn("locked_until", stamp("locked_until"))

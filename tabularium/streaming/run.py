@@ -8,11 +8,11 @@ from tabularium.session import scratch_path
 from tabularium.tables import Tables
 
 
-def table_stream(t: Tables, name: str, files_per_batch: int = 64) -> DataFrame:
-    """The Parquet table as a stream with the table's own schema."""
+def table_stream(t: Tables, name: str, batch_bytes: int = 64 << 30) -> DataFrame:
+    """The Parquet table as a stream with the table's own schema, at most ``batch_bytes`` of files per micro-batch."""
     schema = getattr(t, name).schema
     return (t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(t.folder))
+            .option("maxBytesPerTrigger", batch_bytes).parquet(t.folder))
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
