@@ -46,6 +46,7 @@ FUZZY_SCORE, FUZZY_LENGTH = 80.0, 4
 # into blocks and each pair of blocks is one group.
 BROADCAST_VALUES = 4_000_000
 _BLOCK_VALUES = 1_000_000
+_CELLS = 4_000_000  # scores held by a task at one time
 
 
 def _entries(words: dict[str, tuple[str, ...]]) -> list[tuple[int, str, str]]:
@@ -127,6 +128,12 @@ def best_k(queries: DataFrame, items: DataFrame, k: int, score: Callable, broadc
             order = np.lexsort((ids, -s))[:k]
             best[qid] = (s[order], ids[order])
 
+    def score_in_slices(best, q_ids, payloads, i_ids, rows):
+        """Score items a slice at a time, so the matrix stays within _CELLS."""
+        step = max(1, _CELLS // max(1, len(payloads)))
+        for at in range(0, len(rows), step):
+            cut(best, q_ids, i_ids[at:at + step], score(payloads, rows[at:at + step]))
+
     def frame(best):
         return pd.DataFrame({"query_id": np.concatenate([np.full(len(s), q) for q, (s, _) in best.items()]) if best else np.array([], "int64"),
                              "item_id": np.concatenate([i for _, i in best.values()]) if best else np.array([], "int64"),
@@ -142,7 +149,7 @@ def best_k(queries: DataFrame, items: DataFrame, k: int, score: Callable, broadc
             best: dict = {}
             for pdf in batches:
                 if len(pdf) and len(q_ids):
-                    cut(best, q_ids, pdf["id"].to_numpy(), score(payloads, list(pdf["payload"])))
+                    score_in_slices(best, q_ids, payloads, pdf["id"].to_numpy(), list(pdf["payload"]))
             yield frame(best)
 
         found = items.mapInPandas(scan, SCORES)
@@ -154,7 +161,7 @@ def best_k(queries: DataFrame, items: DataFrame, k: int, score: Callable, broadc
         def meet(key, q, i):
             best: dict = {}
             if len(q) and len(i):
-                cut(best, q["id"].to_numpy(), i["id"].to_numpy(), score(list(q["payload"]), list(i["payload"])))
+                score_in_slices(best, q["id"].to_numpy(), list(q["payload"]), i["id"].to_numpy(), list(i["payload"]))
             return frame(best)
 
         block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -191,10 +198,10 @@ def _jaccard(queries, items):
     q_len = np.array([len(q) for q in queries], dtype="float64")
     out = np.full((len(queries), len(items)), np.nan)
     for col, words in enumerate(items):
-        hits = np.zeros(len(queries))
-        for w in words:
-            if w in where:
-                hits[where[w]] += 1
+        shared = [where[w] for w in words if w in where]
+        if not shared:
+            continue
+        hits = np.bincount(np.concatenate(shared), minlength=len(queries)).astype("float64")
         some = hits > 0
         out[some, col] = hits[some] / (q_len[some] + len(words) - hits[some] + 1e-10)
     return out

@@ -11,7 +11,7 @@ from tabularium.operators import ordering
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 # Up to this many rows the built-in exact percentile is used: its buffer holds one entry per distinct value.
-PERCENTILE_ROWS = 5_000_000
+PERCENTILE_ROWS = 100_000
 _BINS = 1024
 
 
@@ -78,18 +78,12 @@ def _select_ranks(df: DataFrame, wanted: dict) -> dict:
         if not wanted:
             return found
         brackets = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in wanted.items()})
-        cells = []
-        for number, (c, lo, hi) in enumerate(brackets):
-            v = _value(c)
-            share = (v * 0.5 - F.lit(lo * 0.5)) / F.lit(hi * 0.5 - lo * 0.5)
-            cells.append(F.when(v.between(lo, hi), F.struct(
-                F.lit(number).alias("bracket"),
-                F.least(F.lit(_BINS - 1), F.floor(share * _BINS).cast("int")).alias("bin"),
-                v.alias("v"))))
-        bins = (df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
-                  .groupBy("cell.bracket", "cell.bin")
-                  .agg(F.count(F.lit(1)).alias("n"), F.min("cell.v").alias("lo"), F.max("cell.v").alias("hi"))
-                  .orderBy("bracket", "bin").collect())  # at most _BINS rows per wanted rank
+        names = sorted({c for c, _, _ in brackets})
+        counted = df.select(*[_value(c).alias(f"v{i}") for i, c in enumerate(names)]).mapInArrow(
+            _histograms([(names.index(c), lo, hi) for c, lo, hi in brackets]),
+            "bracket int, bin int, n long, lo double, hi double")
+        bins = (counted.groupBy("bracket", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                       .orderBy("bracket", "bin").collect())  # at most _BINS rows per wanted rank
         for key, (lo, hi, before) in list(wanted.items()):
             number = brackets.index((key[0], lo, hi))
             for b in bins:
@@ -101,6 +95,39 @@ def _select_ranks(df: DataFrame, wanted: dict) -> dict:
                 before += b["n"]
 
 
+def _histograms(brackets: list[tuple[int, float, float]]):
+    """Task function: per bracket and bin the count, smallest and largest value, emitted once per task."""
+
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+        n = np.zeros((len(brackets), _BINS), dtype="int64")
+        low, high = np.full(n.shape, np.inf), np.full(n.shape, -np.inf)
+        for batch in batches:
+            for number, (column, lo, hi) in enumerate(brackets):
+                v = batch.column(column).to_numpy(zero_copy_only=False)
+                v = v[(v >= lo) & (v <= hi)]
+                if not len(v):
+                    continue
+                # halves where the width would overflow; every step is monotone, so bins are in value order
+                part = 1.0 if np.isfinite(hi - lo) else 0.5
+                place = ((v * part - lo * part) / (hi * part - lo * part) * _BINS).astype("int16")
+                np.minimum(place, _BINS - 1, out=place)
+                order = np.argsort(place, kind="stable")
+                v, place = v[order], place[order]
+                starts = np.flatnonzero(np.diff(place, prepend=-1))
+                at = place[starts]
+                n[number, at] += np.diff(starts, append=len(v))
+                low[number, at] = np.minimum(low[number, at], np.minimum.reduceat(v, starts))
+                high[number, at] = np.maximum(high[number, at], np.maximum.reduceat(v, starts))
+        which, place = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(which.astype("int32")), pa.array(place.astype("int32")), pa.array(n[which, place]),
+             pa.array(low[which, place]), pa.array(high[which, place])], names=["bracket", "bin", "n", "lo", "hi"])
+
+    return scan
+
+
 def iqr_bounds(df: DataFrame, columns: list[str], **kw) -> dict[str, tuple[float, float]]:
     """Lower and upper outlier fence (1.5 times the interquartile range) per column; empty columns are left out."""
     out = {}
@@ -173,34 +200,33 @@ def duplicate_count(df: DataFrame) -> Column:
     return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint")).scalar()
 
 
-def outlier_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, position, lower_bound, upper_bound, outliers)`` per numeric column."""
-    columns = columns or numeric_columns(df)
-    bounds = iqr_bounds(df, columns)
-    columns = [c for c in columns if c in bounds]
-    counted = per_column(df, columns, {
-        "lower_bound": lambda c: F.first(F.lit(bounds[c][0])),
-        "upper_bound": lambda c: F.first(F.lit(bounds[c][1])),
-        "outliers": lambda c: F.count_if((_value(c) < bounds[c][0]) | (_value(c) > bounds[c][1])),
-    })
-    return counted
-
-
-def group_quantile(df: DataFrame, key: str, value: str, prob: float) -> DataFrame:
-    """``(key, quantile)``: exact, with linear interpolation, for groups of any size.
+def group_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]) -> DataFrame:
+    """``(key, one column per name in probs)``: exact, linear interpolation, for groups of any size.
 
-    Equal values of a group become one row with a count, the rows are put in one distributed order, and the two
-    rows around the wanted rank are picked by running count. No group is held in one aggregation buffer.
+    Equal values of a group become one row with a count, the rows are put in one distributed order, and the rows
+    around each wanted rank are picked by running count. No group is held in one aggregation buffer.
     """
     v = F.col(value).cast("double")
     counts = (df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(key, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     running = ordering.with_running_sum(counts, [key, "_v"], "_n", "_upto")
     spans = running.groupBy(key).agg(F.sum("_n").alias("_size"), F.min(F.col("_upto") - F.col("_n")).alias("_start"))
-    at = (F.col("_size") - 1) * F.lit(float(prob))
     first = F.col("_upto") - F.col("_n") - F.col("_start")
     holds = lambda rank: (rank >= first) & (rank < first + F.col("_n"))
-    placed = running.join(spans, key).filter(holds(F.floor(at)) | holds(F.ceil(at)))
-    return placed.groupBy(key).agg(
-        F.max(F.when(holds(F.floor(at)), F.col("_v"))).alias("_low"), F.max(F.when(holds(F.ceil(at)), F.col("_v"))).alias("_high"),
-        F.first(at - F.floor(at)).alias("_w")).select(
-        key, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_w")).alias("quantile"))
+    picked = []
+    for name, prob in probs.items():
+        at = (F.col("_size") - 1) * F.lit(float(prob))
+        low = F.max(F.when(holds(F.floor(at)), F.col("_v")))
+        high = F.max(F.when(holds(F.ceil(at)), F.col("_v")))
+        picked.append((low + (high - low) * F.first(at - F.floor(at))).alias(name))
+    return running.join(spans, key).groupBy(key).agg(*picked)
+
+
+def outlier_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(column_name, position, lower_bound, upper_bound, outliers)`` per numeric column."""
+    columns = columns or numeric_columns(df)
+    bounds = iqr_bounds(df, columns)
+    return per_column(df, [c for c in columns if c in bounds], {
+        "lower_bound": lambda c: F.first(F.lit(bounds[c][0])),
+        "upper_bound": lambda c: F.first(F.lit(bounds[c][1])),
+        "outliers": lambda c: F.count_if((_value(c) < bounds[c][0]) | (_value(c) > bounds[c][1])),
+    })

@@ -149,12 +149,23 @@ ZIP_MAGIC, OLE_MAGIC = "504B0304", "D0CF11E0"
 def content_kinds(spark: SparkSession, path: str) -> DataFrame:
     """``(path, kind, looks_safe)`` per file, from its extension and first bytes.
 
-    A CSV must not hold a NUL in its first 8 bytes; a spreadsheet must start with its format's magic number.
+    A CSV must not hold a NUL in its first 8 bytes; a spreadsheet must start with its format's magic number. The
+    listing reads no content; tasks then read 8 bytes per file.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    head, name = F.hex(F.substring("content", 1, 8)), F.lower("path")
-    has_nul = F.rlike(head, F.lit("^(..)*00"))
-    kind = F.regexp_extract(name, r"\.([a-z0-9]+)$", 1)
-    safe = (F.when(kind == "csv", ~has_nul).when(kind == "xlsx", F.startswith(head, F.lit(ZIP_MAGIC)))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+
+    def first_bytes(batches):
+        from pyarrow import fs
+        for pdf in batches:
+            heads = []
+            for uri in pdf["path"]:
+                place, name = fs.FileSystem.from_uri(uri)
+                with place.open_input_file(name) as f:
+                    heads.append(f.read(8).hex().upper())
+            yield pdf.assign(head=heads)
+
+    files = listed.mapInPandas(first_bytes, "path string, head string")
+    head, kind = F.col("head"), F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1)
+    safe = (F.when(kind == "csv", ~F.rlike(head, F.lit("^(..)*00"))).when(kind == "xlsx", F.startswith(head, F.lit(ZIP_MAGIC)))
             .when(kind == "xls", F.startswith(head, F.lit(OLE_MAGIC))).otherwise(F.lit(False)))
     return files.select("path", kind.alias("kind"), safe.alias("looks_safe"))
