@@ -55,21 +55,23 @@ def fill_empty(t):
     return clean.fill(clean.fill(rows_of(t, "flag", "note"), "flag", "empty"), "note", "empty", "Unknown")
 
 
-FILL_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+FILL_KEYS = [*KEYS, "price", "qty_text"]  # a total order; KEYS alone repeat on small scales
+FILL_ORDER = ", ".join(FILL_KEYS)
 
 
 @query("fill_ffill", f"""WITH {DIRTY_SQL}
 SELECT {K}, last_value(quantity IGNORE NULLS) OVER (ORDER BY {FILL_ORDER}
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS quantity FROM dirty""")
 def fill_ffill(t):
-    return ordering.fill_along(rows_of(t, "quantity"), "quantity", KEYS)
+    return ordering.fill_along(rows_of(t, "quantity", "price", "qty_text"), "quantity", FILL_KEYS).drop("price", "qty_text")
 
 
 @query("fill_bfill", f"""WITH {DIRTY_SQL}
 SELECT {K}, first_value(quantity IGNORE NULLS) OVER (ORDER BY {FILL_ORDER}
   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS quantity FROM dirty""")
 def fill_bfill(t):
-    return ordering.fill_along(rows_of(t, "quantity"), "quantity", KEYS, forward=False)
+    rows = rows_of(t, "quantity", "price", "qty_text")
+    return ordering.fill_along(rows, "quantity", FILL_KEYS, forward=False).drop("price", "qty_text")
 
 
 @query("auto_null_fill", f"""WITH {DIRTY_SQL}

@@ -70,8 +70,12 @@ def read_csv_with_preamble(spark: SparkSession, path: str) -> DataFrame:
     Thirty lines are looked at to find the header. The lines above it are dropped by their place in the first block
     of that file; all other lines are parsed where they are read. Quoted line breaks are not supported here.
     """
-    first = sorted(spark.read.text(path).inputFiles())[0]
-    head = [r["value"] for r in spark.read.text(first).limit(SCAN_LINES).collect()]
+    in_order = sorted(spark.read.text(path).inputFiles())
+    first, head = in_order[0], []
+    for name in in_order[:SCAN_LINES]:
+        head += [r["value"] for r in spark.read.text(name).limit(SCAN_LINES - len(head)).collect()]
+        if len(head) == SCAN_LINES:
+            break
     at = header_row(head)
     names = [c.strip().replace("`", "") or f"Unnamed: {i}" for i, c in enumerate(_cells(head[at]))]
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
