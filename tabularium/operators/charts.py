@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabularium.functions.numbers import display2
-from tabularium.operators import filters, series
+from tabularium.operators import filters, series, stats
 
 _MEASURES = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
 
@@ -80,3 +80,57 @@ def all_categories(df: DataFrame, category: str, measures: list[str], n: int = 1
     place = F.row_number().over(W.partitionBy("measure").orderBy(F.desc("y"), "x"))
     return long.withColumn("rank", place).filter(F.col("rank") <= n).select(
         "measure", "rank", F.substring(F.col("x").cast("string"), 1, 20).alias("x"), "y")
+
+
+def importance_bar(importance: DataFrame, n: int = 10) -> DataFrame:
+    """``(x, y)`` from ``(feature, importance)`` rows."""
+    return importance.orderBy(F.desc("importance"), "feature").limit(n).select(
+        F.col("feature").alias("x"), F.round("importance", 4).alias("y"))
+
+
+# Distinct counts below which a text column serves as a category, by chart, and the chart counts.
+CUSTOMER_BELOW, QUANTITY_BELOW, SECOND_BELOW, EXTRA_BELOW = 30, 20, 15, 20
+FEW_CHARTS, MOST_CHARTS = 6, 7
+
+
+def dashboard(df: DataFrame, roles: dict[str, str], importance: DataFrame | None = None) -> DataFrame:
+    """Dashboard rows for a table with the given role columns; missing roles fall back to short text columns."""
+    date, sales, product = roles.get("date"), roles.get("sales"), roles.get("product")
+    region, customer, quantity, profit = (roles.get(r) for r in ("region", "customer", "quantity", "profit"))
+    texts, numeric = stats.string_columns(df), stats.numeric_columns(df)
+    counts = {r["column_name"]: r["nunique"] for r in stats.nunique(df, texts).collect()} if texts else {}  # one row per column
+
+    def category(below: int, skip: tuple = ()) -> str | None:
+        return next((c for c in texts if c not in skip and 0 < counts.get(c, 0) < below), None)
+
+    boards: list[tuple[DataFrame, str, str, str]] = []
+    months = time_series(df, date, sales) if date and sales else None
+    if months is not None:
+        boards.append((months, "trend_line", "line", "x"))
+    if product and sales:
+        boards.append((top(df, product, sales), "product_bar", "bar", "y"))
+    if region and sales:
+        boards.append((top(df, region, sales), "region_pie", "pie", "y"))
+    if months is not None:
+        boards.append((months, "revenue_area", "area", "x"))
+    buyer = customer or category(CUSTOMER_BELOW, (product, region, date))
+    if buyer and sales:
+        boards.append((top(df, buyer, sales, 8), "customer_bar", "bar", "y"))
+    sold_by = product or category(QUANTITY_BELOW)
+    if quantity and sold_by:
+        boards.append((top(df, sold_by, quantity), "qty_bar", "bar", "y"))
+    second = next((c for c in numeric if c != sales), None)
+    if importance is not None:
+        boards.append((importance_bar(importance), "feature_importance_bar", "bar", "y"))
+    elif profit and date:
+        boards.append((time_series(df, date, profit), "profit_trend", "area", "x"))
+    elif sales and second and category(SECOND_BELOW):
+        boards.append((top(df, category(SECOND_BELOW), second), "secondary_metric_bar", "bar", "y"))
+    if len(boards) < FEW_CHARTS and sales in numeric and category(EXTRA_BELOW, (date,)):
+        for extra in [c for c in numeric if c != sales][:MOST_CHARTS - len(boards)]:
+            boards.append((top(df, category(EXTRA_BELOW, (date,)), extra), f"extra_{extra}", "bar", "y"))
+    out = None
+    for data, chart_id, kind, by in boards:
+        rows = as_rows(data.withColumn("y", F.round(F.col("y").cast("double"), 4)), chart_id, kind, by)
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -3,7 +3,7 @@
 Rows are range partitioned and sorted once, written to the shared scratch folder together with their slot
 (partition number and place inside it), and read back. The written copy is what keeps the numbering the same
 for every later use, also when executors are lost. Global positions are the place plus the sizes of the earlier
-partitions, and that size table has one row per partition.
+partitions. That size table has one row per shuffle partition, which is why it may be broadcast.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def with_position(df: DataFrame, keys: list, name: str = "position") -> DataFram
     sizes = slots.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    return (slots.join(starts, "_part")
+    return (slots.join(F.broadcast(starts), "_part")
                  .withColumn(name, (F.col("_start") + F.col("_place")).cast("bigint"))
                  .drop("_part", "_place", "_start"))
 
@@ -62,7 +62,7 @@ def fill_along(df: DataFrame, column: str, keys: list, forward: bool = True, nam
         pick(F.col(column), F.when(F.col(column).isNotNull(), F.col("_place"))).alias("_edge"))
     across = W.orderBy("_part" if forward else F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
     carried = edges.select("_part", F.last("_edge", ignorenulls=True).over(across).alias("_carried"))
-    return (filled.join(carried, "_part")
+    return (filled.join(F.broadcast(carried), "_part")
                   .withColumn(name, F.coalesce("_inside", "_carried"))
                   .drop("_part", "_place", "_inside", "_carried"))
 
@@ -115,6 +115,6 @@ def with_running_sum(df: DataFrame, keys: list, weight: str, name: str = "upto")
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     inside = W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (slots.withColumn("_inside", F.sum(weight).over(inside)).join(starts, "_part")
+    return (slots.withColumn("_inside", F.sum(weight).over(inside)).join(F.broadcast(starts), "_part")
                  .withColumn(name, F.col("_start") + F.col("_inside"))
                  .drop("_part", "_place", "_inside", "_start"))

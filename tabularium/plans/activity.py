@@ -12,6 +12,7 @@ from tabularium.functions.dates import seconds_between
 from tabularium.functions.numbers import r4
 from tabularium.operators import access, clean, filters, sequences, stats
 from tabularium.plans.registry import query
+from tabularium.session import short_list
 from tabularium.streaming import lockout, run, windows
 
 PERMS_SQL = """perms AS (SELECT o_custkey AS user_id, l_partkey AS dataset_id, bool_or(l_returnflag <> 'R') AS can_view,
@@ -126,7 +127,7 @@ def perm_matrix(t):
     bulk = t.lineitem.filter("l_quantity >= 49 and l_returnflag = 'A'")
     lines = (bulk.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
              .join(t.part, F.col("l_partkey") == F.col("p_partkey")))
-    types = [r[0] for r in t.part.select("p_type").distinct().orderBy("p_type").limit(1000).collect()]  # columns of the grid
+    types = [r[0] for r in short_list(t.part.select("p_type").distinct().orderBy("p_type"), 1000)]  # columns of the grid
     return access.matrix(lines.select("c_nationkey", "p_type"), "c_nationkey", "p_type", types)
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: list[str] = []
 
@@ -49,5 +48,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tabularium/{label}-{uuid.uuid4().hex}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file://") or os.path.isabs(path)
+def short_list(df: DataFrame, most: int) -> list:
+    """All rows of a frame that must be short (names, categories); a longer one is an error, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where a short list is needed")
+    return rows
