@@ -100,13 +100,15 @@ SCORES = "query_id long, item_id long, score double"
 def best_k(queries: DataFrame, items: DataFrame, k: int, score: Callable, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
     """``(query_id, item_id, score, rank)``: exact top k items per query, the smaller item id on ties.
 
-    Both frames are ``(id long, payload array)``. ``score(query payloads, item payloads)`` returns a matrix of
-    doubles (NaN = no match). No pair is ever a row: a task scores blocks in numpy and emits at most k candidates
-    per query. A query side within ``broadcast_values`` goes to every task; a larger one is cut into blocks, and
-    every (query block, item block) pair is one bounded group.
+    Both frames are ``(id long, payload array)``. ``score(query payloads)`` prepares a block of queries and returns
+    ``fn(flat item values, item lengths) -> matrix`` of doubles (NaN = no match). No pair is ever a row: a task
+    scores Arrow batches in numpy and emits at most k candidates per query. A query side within
+    ``broadcast_values`` goes to every task; a larger one is cut into blocks, and every (query block, item block)
+    pair is one bounded group.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     queries = queries.toDF("id", "payload")
     items = items.toDF("id", "payload")
@@ -128,17 +130,21 @@ def best_k(queries: DataFrame, items: DataFrame, k: int, score: Callable, broadc
             order = np.lexsort((ids, -s))[:k]
             best[qid] = (s[order], ids[order])
 
-    def score_in_slices(best, q_ids, payloads, i_ids, rows):
+    def add(best, q_ids, ready, ids, lists):
         """Score items a slice at a time, so the matrix stays within _CELLS."""
-        step = max(1, _CELLS // max(1, len(payloads)))
-        for at in range(0, len(rows), step):
-            cut(best, q_ids, i_ids[at:at + step], score(payloads, rows[at:at + step]))
-
-    def frame(best):
-        return pd.DataFrame({"query_id": np.concatenate([np.full(len(s), q) for q, (s, _) in best.items()]) if best else np.array([], "int64"),
-                             "item_id": np.concatenate([i for _, i in best.values()]) if best else np.array([], "int64"),
-                             "score": np.concatenate([s for s, _ in best.values()]) if best else np.array([], "float64")})
-
+        step = max(1, _CELLS // max(1, len(q_ids)))
+        for at in range(0, len(lists), step):
+            part = lists.slice(at, step)
+            lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype("int64")
+            cut(best, q_ids, ids[at:at + step], ready(part.flatten(), lengths))
+
+    def arrays(best):
+        ids = [np.full(len(s), q, dtype="int64") for q, (s, _) in best.items()]
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.array([], dtype=kind)
+        return [pa.array(join(ids, "int64")), pa.array(join([i for _, i in best.values()], "int64")),
+                pa.array(join([s for s, _ in best.values()], "float64"))]
+
+    names = ["query_id", "item_id", "score"]
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("payload")), F.lit(0)).alias("values")).first()
     if size["values"] <= broadcast_values:
         rows = queries.collect()  # size checked above
@@ -147,35 +153,38 @@ def best_k(queries: DataFrame, items: DataFrame, k: int, score: Callable, broadc
 
         def scan(batches):
             best: dict = {}
-            for pdf in batches:
-                if len(pdf) and len(q_ids):
-                    score_in_slices(best, q_ids, payloads, pdf["id"].to_numpy(), list(pdf["payload"]))
-            yield frame(best)
+            ready = score(payloads) if len(q_ids) else None
+            for batch in batches:
+                if batch.num_rows and ready:
+                    add(best, q_ids, ready, batch.column(0).to_numpy(), batch.column(1))
+            yield pa.RecordBatch.from_arrays(arrays(best), names=names)
 
-        found = items.mapInPandas(scan, SCORES)
+        found = items.mapInArrow(scan, SCORES)
     else:
         i_size = items.agg(F.coalesce(F.sum(F.size("payload")), F.lit(0)).alias("values")).first()
         q_blocks = max(1, -(-size["values"] // _BLOCK_VALUES))
         i_blocks = max(1, -(-i_size["values"] // _BLOCK_VALUES))
 
-        def meet(key, q, i):
+        def meet(q, i):
             best: dict = {}
-            if len(q) and len(i):
-                score_in_slices(best, q["id"].to_numpy(), list(q["payload"]), i["id"].to_numpy(), list(i["payload"]))
-            return frame(best)
+            if q.num_rows and i.num_rows:
+                add(best, q.column("id").to_numpy(), score(q.column("payload").to_pylist()), i.column("id").to_numpy(),
+                    i.column("payload").combine_chunks())
+            return pa.Table.from_arrays(arrays(best), names=names)
 
         block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
         all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         q = queries.withColumn("qb", block(q_blocks)).withColumn("ib", all_of(i_blocks))
         i = items.withColumn("ib", block(i_blocks)).withColumn("qb", all_of(q_blocks))
-        found = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(meet, SCORES)
+        found = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInArrow(meet, SCORES)
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def _cosine(queries, items):
+def _cosine(queries):
     import numpy as np
-    return np.vstack([np.asarray(q, dtype="float64") for q in queries]) @ np.vstack(items).T
+    asked = np.vstack([np.asarray(q, dtype="float64") for q in queries])
+    return lambda flat, lengths: asked @ flat.to_numpy(zero_copy_only=False).reshape(len(lengths), -1).T
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, least: float = 0.25, otherwise: int = 3, **kw) -> DataFrame:
@@ -188,23 +197,46 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, least: float = 0
             .filter(good | ((F.col("_top") < least) & (F.col("rank") <= otherwise))).drop("_top"))
 
 
-def _jaccard(queries, items):
+_QUERY_BLOCK = 256  # queries whose words are counted with one matrix product
+
+
+def _jaccard(queries):
+    """Word overlap by matrix products: item-by-word times word-by-query, a block of queries at a time."""
     import numpy as np
-    where: dict = {}
-    for row, words in enumerate(queries):
-        for w in words:
-            where.setdefault(w, []).append(row)
-    where = {w: np.array(rows) for w, rows in where.items()}
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     q_len = np.array([len(q) for q in queries], dtype="float64")
-    out = np.full((len(queries), len(items)), np.nan)
-    for col, words in enumerate(items):
-        shared = [where[w] for w in words if w in where]
-        if not shared:
-            continue
-        hits = np.bincount(np.concatenate(shared), minlength=len(queries)).astype("float64")
-        some = hits > 0
-        out[some, col] = hits[some] / (q_len[some] + len(words) - hits[some] + 1e-10)
-    return out
+    blocks = []
+    for at in range(0, len(queries), _QUERY_BLOCK):
+        part = queries[at:at + _QUERY_BLOCK]
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for q in part for w in q))}
+        has = np.zeros((len(number), len(part)), dtype="float32")
+        for row, q in enumerate(part):
+            has[[number[w] for w in q], row] = 1
+        blocks.append((at, pa.array(list(number), pa.string()), has))
+
+    def run(flat, lengths):
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        out = np.full((len(queries), len(lengths)), np.nan)
+        for at, words, has in blocks:
+            if not len(words):
+                continue
+            place = pc.fill_null(pc.index_in(flat.cast(pa.string()), value_set=words), -1).to_numpy(zero_copy_only=False)
+            known = place >= 0
+            place, mine = place[known], owner[known]
+            step = max(1, _CELLS // len(words))
+            for low in range(0, len(lengths), step):
+                first, last = np.searchsorted(mine, [low, low + step])
+                uses = np.zeros((min(step, len(lengths) - low), len(words)), dtype="float32")
+                uses[mine[first:last] - low, place[first:last]] = 1
+                hits = (uses @ has).astype("float64").T
+                rows, cols = slice(at, at + has.shape[1]), slice(low, low + step)
+                share = hits / (q_len[rows, None] + lengths[None, cols] - hits + 1e-10)
+                out[rows, cols] = np.where(hits > 0, share, np.nan)
+        return out
+
+    return run
 
 
 def word_sets(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -217,8 +249,8 @@ def overlapping(queries: DataFrame, items: DataFrame, k: int = 8, **kw) -> DataF
     Both frames come from :func:`word_sets`.
     """
     ranked = best_k(queries, items, k, _jaccard, **kw)
-    lonely = queries.select(F.col("id").alias("query_id")).join(ranked.select("query_id").distinct(), "query_id", "left_anti")
     first = items.select("id").orderBy("id").limit(k).agg(F.array_sort(F.collect_list("id"))).scalar()  # k ids
-    filler = lonely.select("query_id", F.posexplode(first).alias("_at", "item_id")).select(
-        "query_id", "item_id", F.lit(0.0).alias("score"), (F.col("_at") + 1).alias("rank"))
-    return ranked.unionByName(filler)
+    hit = F.array(F.struct("item_id", "score", F.col("rank").cast("int").alias("rank")))
+    filler = F.transform(first, lambda i, at: F.struct(i.alias("item_id"), F.lit(0.0).alias("score"), (at + 1).alias("rank")))
+    every = queries.select(F.col("id").alias("query_id")).join(ranked, "query_id", "left")
+    return every.select("query_id", F.explode(F.when(F.col("item_id").isNull(), filler).otherwise(hit)).alias("r")).select("query_id", "r.*")

@@ -177,11 +177,11 @@ def score(missing: Column, duplicate: Column, outlier: Column) -> Column:
 def quality(df: DataFrame) -> DataFrame:
     """One row: score, the three shares, and the counts behind them."""
     numeric = stats.numeric_columns(df)
-    outliers = stats.outlier_cells(df, numeric).agg(F.coalesce(F.sum("outliers"), F.lit(0)).cast("bigint")).scalar() \
-        if numeric else F.lit(0)
-    one = stats.null_counts(df).agg(F.max("total_rows").alias("total_rows"), F.sum("null_count").alias("total_nulls"))
-    one = (one.withColumn("total_cols", F.lit(len(df.columns)))
-              .withColumn("total_duplicates", stats.duplicate_count(df)).withColumn("total_outliers", outliers))
+    beyond = stats.beyond_fences(df, numeric)
+    one = df.agg(F.count(F.lit(1)).alias("total_rows"),
+                 sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0)).alias("total_nulls"),
+                 sum((F.count_if(test) for test in beyond.values()), F.lit(0)).cast("bigint").alias("total_outliers"))
+    one = one.withColumn("total_cols", F.lit(len(df.columns))).withColumn("total_duplicates", stats.duplicate_count(df))
     share = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(0.0))
     missing = share(F.col("total_nulls"), F.col("total_rows") * F.col("total_cols"))
     duplicate = share(F.col("total_duplicates"), F.col("total_rows"))

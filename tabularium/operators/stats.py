@@ -153,8 +153,25 @@ def _as_text(df: DataFrame, name: str) -> Column:
 
 
 def nunique(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column_name, nunique)``; a column without any value has no row."""
-    return value_counts(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("nunique"))
+    """``(column_name, nunique)``; a column without any value has no row.
+
+    Columns are stacked by kind (whole, fraction, other), so numbers are compared as numbers and every column is
+    still read once.
+    """
+    fractions = (T.FloatType, T.DoubleType)
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        kind = df.schema[c].dataType
+        whole = isinstance(kind, NUMERIC_TYPES) and not isinstance(kind, (*fractions, T.DecimalType))
+        kinds.setdefault("bigint" if whole else "double" if isinstance(kind, fractions) else "string", []).append(c)
+    out = None
+    for kind, names in kinds.items():
+        value = {"bigint": lambda c: F.col(f"`{c}`").cast("bigint"), "double": _value}.get(kind, lambda c: F.col(f"`{c}`").cast("string"))
+        one = (df.select(*[value(c).alias(c) for c in names]).unpivot([], names, "column_name", "value")
+                 .filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.lit(1))
+                 .groupBy("column_name").agg(F.count(F.lit(1)).alias("nunique")))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -230,3 +247,8 @@ def outlier_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         "upper_bound": lambda c: F.first(F.lit(bounds[c][1])),
         "outliers": lambda c: F.count_if((_value(c) < bounds[c][0]) | (_value(c) > bounds[c][1])),
     })
+
+
+def beyond_fences(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Outlier test per column."""
+    return {c: (_value(c) < low) | (_value(c) > high) for c, (low, high) in iqr_bounds(df, columns).items()}
