@@ -249,8 +249,9 @@ def overlapping(queries: DataFrame, items: DataFrame, k: int = 8, **kw) -> DataF
     Both frames come from :func:`word_sets`.
     """
     ranked = best_k(queries, items, k, _jaccard, **kw)
-    first = items.select("id").orderBy("id").limit(k).agg(F.array_sort(F.collect_list("id"))).scalar()  # k ids
     hit = F.array(F.struct("item_id", "score", F.col("rank").cast("int").alias("rank")))
-    filler = F.transform(first, lambda i, at: F.struct(i.alias("item_id"), F.lit(0.0).alias("score"), (at + 1).alias("rank")))
+    first = F.array_sort(F.collect_list("id"))  # k ids
+    filler = items.select("id").orderBy("id").limit(k).agg(F.transform(first, lambda i, at: F.struct(
+        i.alias("item_id"), F.lit(0.0).alias("score"), (at + 1).cast("int").alias("rank")))).scalar()
     every = queries.select(F.col("id").alias("query_id")).join(ranked, "query_id", "left")
     return every.select("query_id", F.explode(F.when(F.col("item_id").isNull(), filler).otherwise(hit)).alias("r")).select("query_id", "r.*")
