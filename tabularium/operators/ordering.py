@@ -15,11 +15,20 @@ from tabularium.session import scratch_path
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
 
-def ordered_slots(df: DataFrame, keys: list) -> DataFrame:
-    """``df`` sorted by ``keys`` with ``_part`` and ``_place`` columns, written and read back."""
+def ordered_slots(df: DataFrame, keys: list, unique: bool = False) -> DataFrame:
+    """``df`` sorted by ``keys`` with ``_part`` and ``_place`` columns, written and read back.
+
+    Range partitions cannot split rows with equal keys, and copies of one row may be many. Unless the keys are
+    unique, the rows are therefore numbered in a first written copy (so that a re-run task sees the same numbers)
+    and the number is the last sort key.
+    """
     spark = df.sparkSession
+    if not unique:
+        numbered = scratch_path(spark, "numbered")
+        df.withColumn("_tie", F.monotonically_increasing_id()).write.parquet(numbered)
+        df, keys = spark.read.parquet(numbered), [*keys, "_tie"]
     path = scratch_path(spark, "ordered")
-    (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    (df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
        .withColumn("_slot", F.monotonically_increasing_id())
        .write.parquet(path))
     back = spark.read.parquet(path)
@@ -28,9 +37,9 @@ def ordered_slots(df: DataFrame, keys: list) -> DataFrame:
                 .drop("_slot"))
 
 
-def with_position(df: DataFrame, keys: list, name: str = "position") -> DataFrame:
+def with_position(df: DataFrame, keys: list, name: str = "position", unique: bool = False) -> DataFrame:
     """Add the 0-based position of each row in the order of ``keys`` (make the keys total)."""
-    slots = ordered_slots(df, keys)
+    slots = ordered_slots(df, keys, unique)
     sizes = slots.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
@@ -109,8 +118,8 @@ def page(df: DataFrame, keys: list, number: int, size: int | None, shallow: int
 
 
 def with_running_sum(df: DataFrame, keys: list, weight: str, name: str = "upto") -> DataFrame:
-    """Add the sum of ``weight`` over this row and all earlier ones in the order of ``keys``."""
-    slots = ordered_slots(df, keys)
+    """Add the sum of ``weight`` over this row and all earlier ones in the order of ``keys``, which must be unique."""
+    slots = ordered_slots(df, keys, unique=True)
     sums = slots.groupBy("_part").agg(F.sum(weight).alias("_sum"))
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))

@@ -1,7 +1,7 @@
 """Per-key event sequences that stay balanced when one key holds a large share of all rows.
 
-Rows are windowed by (key, calendar day); what crosses midnight is carried by a summary with a few rows per key
-and day, so the per-key windows below never see the rows themselves.
+Rows are windowed by (key, hour); what crosses the hour is carried by a summary with a few rows per key and hour, so
+the per-key windows below never see the rows themselves.
 """
 
 from __future__ import annotations
@@ -11,18 +11,22 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabularium.functions.dates import seconds_between
 
 
+def _hour(moment: str) -> Column:
+    return F.floor(F.unix_micros(F.col(moment).cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
+
+
 def sessions(df: DataFrame, key: str, moment: str, idle_seconds: int = 7200) -> DataFrame:
     """``(key, session_start, session_end, events)``: a gap of at least ``idle_seconds`` starts a new session."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     gap = idle_seconds * 1_000_000
-    days = df.select(key, moment, F.to_date(moment).alias("_day"))
-    inside = W.partitionBy(key, "_day").orderBy(moment)
+    sliced = df.select(key, moment, _hour(moment).alias("_hour"))
+    inside = W.partitionBy(key, "_hour").orderBy(moment)
     step = micros(moment) - F.lag(micros(moment)).over(inside)
-    flagged = days.withColumn("_new", F.when(step < gap, 0).otherwise(1))
+    flagged = sliced.withColumn("_new", F.when(step < gap, 0).otherwise(1))
     runs = (flagged.withColumn("_run", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
-            .groupBy(key, "_day", "_run")
+            .groupBy(key, "_hour", "_run")
             .agg(F.min(moment).alias("_from"), F.max(moment).alias("_to"), F.count(F.lit(1)).alias("_n")))
-    # a day holds at most 86400 / idle_seconds + 1 runs of a key, whatever its number of rows
+    # an hour holds at most 3600 / idle_seconds + 1 runs of a key, whatever its number of rows
     per_key = W.partitionBy(key).orderBy("_from")
     apart = micros("_from") - F.lag(micros("_to")).over(per_key)
     joined = runs.withColumn("_new", F.when(apart < gap, 0).otherwise(1))
@@ -45,23 +49,23 @@ def session_rows(found: DataFrame, key: str, now: Column, idle_seconds: int = 72
 
 def failure_runs(df: DataFrame, key: str, moment: str, tie: str, failed: Column) -> DataFrame:
     """Add ``run``: failures in a row up to this row (0 after a success), ordered by moment and tie."""
-    days = df.withColumn("_day", F.to_date(moment)).withColumn("_fail", F.when(failed, 1).otherwise(0))
-    order = W.partitionBy(key, "_day").orderBy(moment, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-    grouped = days.withColumn("_resets", F.sum(1 - F.col("_fail")).over(order))
-    since = W.partitionBy(key, "_day", "_resets").orderBy(moment, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sliced = df.withColumn("_hour", _hour(moment)).withColumn("_fail", F.when(failed, 1).otherwise(0))
+    order = W.partitionBy(key, "_hour").orderBy(moment, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
+    grouped = sliced.withColumn("_resets", F.sum(1 - F.col("_fail")).over(order))
+    since = W.partitionBy(key, "_hour", "_resets").orderBy(moment, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
     counted = grouped.withColumn("_inside", F.sum("_fail").over(since))
     last = F.max_by("_inside", F.struct(moment, tie))
-    per_day = counted.groupBy(key, "_day").agg(last.alias("_trailing"), F.max("_resets").alias("_had"))
-    by_day = W.partitionBy(key).orderBy("_day")
-    upto = by_day.rowsBetween(W.unboundedPreceding, W.currentRow)
-    blocks = per_day.withColumn("_block", F.sum(F.when(F.col("_had") > 0, 1).otherwise(0)).over(upto))
+    per_hour = counted.groupBy(key, "_hour").agg(last.alias("_trailing"), F.max("_resets").alias("_had"))
+    by_hour = W.partitionBy(key).orderBy("_hour")
+    upto = by_hour.rowsBetween(W.unboundedPreceding, W.currentRow)
+    blocks = per_hour.withColumn("_block", F.sum(F.when(F.col("_had") > 0, 1).otherwise(0)).over(upto))
     at_end = blocks.withColumn("_at_end", F.sum("_trailing").over(
-        W.partitionBy(key, "_block").orderBy("_day").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    carried = at_end.select(key, "_day", F.coalesce(F.lag("_at_end").over(by_day), F.lit(0)).alias("_carried"))
-    out = counted.join(carried, [key, "_day"])
+        W.partitionBy(key, "_block").orderBy("_hour").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    carried = at_end.select(key, "_hour", F.coalesce(F.lag("_at_end").over(by_hour), F.lit(0)).alias("_carried"))
+    out = counted.join(carried, [key, "_hour"])
     run = F.col("_inside") + F.when(F.col("_resets") == 0, F.col("_carried")).otherwise(F.lit(0))
     return out.withColumn("run", F.when(F.col("_fail") == 1, run).otherwise(F.lit(0)).cast("bigint")).drop(
-        "_day", "_fail", "_resets", "_inside", "_carried")
+        "_hour", "_fail", "_resets", "_inside", "_carried")
 
 
 def last_rows(df: DataFrame, key: str, order: list, n: int) -> DataFrame:

@@ -84,3 +84,22 @@ def test_last_rows_limits_before_the_shuffle(clicks):
     df = sequences.last_rows(clicks, "user_id", ["ts", "event_id"], 12)
     assert df.groupBy("user_id").count().agg(F.max("count")).first()[0] == 12
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_copies_of_one_row_are_split(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+        parts = ordering.ordered_slots(df, ["k"]).groupBy("_part").count().collect()
+        assert len(parts) > 2 and max(r["count"] for r in parts) < 10_000
+        rows = ordering.with_position(df, ["k"]).orderBy("position").collect()
+        assert [r["position"] for r in rows] == list(range(30_000))
+        assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_hot_session_key_is_sliced(clicks):
+    """No window before the per-hour summary partitions by the key alone."""
+    plan = sequences.sessions(clicks, "user_id", "ts")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[user_id" in plan and "_hour" in plan
