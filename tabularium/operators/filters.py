@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabularium.functions import parsing
 from tabularium.operators import stats
@@ -15,9 +15,18 @@ def _all(parts: list[Column]) -> Column:
     return reduce(and_, parts) if parts else F.lit(True)
 
 
-def one_of(column: str, values: list) -> Column:
-    """Text equality with any of ``values``; an empty list keeps everything."""
-    return F.col(f"`{column}`").cast("string").isin([str(v) for v in values]) if values else F.lit(True)
+def one_of(column: str, values: list, df: DataFrame | None = None) -> Column:
+    """Text equality with any of ``values``; an empty list keeps everything.
+
+    With the frame given, a whole-number column is compared as numbers, which is the same rows and reaches the scan.
+    """
+    if not values:
+        return F.lit(True)
+    texts = [str(v) for v in values]
+    if df is not None and isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        whole = [int(v) for v in texts if v.lstrip("-").isdigit() and str(int(v)) == v]
+        return F.col(f"`{column}`").isin(whole)
+    return F.col(f"`{column}`").cast("string").isin(texts)
 
 
 def in_range(df: DataFrame, column: str, low=None, high=None) -> Column:
@@ -41,7 +50,7 @@ def matching(df: DataFrame, wanted: dict) -> DataFrame:
         if isinstance(rule, dict):
             parts.append(in_range(df, column, rule.get("min"), rule.get("max")))
         else:
-            parts.append(one_of(column, list(rule)))
+            parts.append(one_of(column, list(rule), df))
     return df.filter(_all(parts))
 
 

@@ -451,7 +451,7 @@ def chart_sampled_trend(t):
 @query("flt_in_list", "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus FROM lineitem "
                       "WHERE l_returnflag IN ('A', 'R') AND CAST(l_linenumber AS VARCHAR) IN ('1', '3')")
 def flt_in_list(t):
-    rows = t.lineitem.filter(filters.one_of("l_returnflag", ["A", "R"]) & filters.one_of("l_linenumber", [1, 3])
+    rows = t.lineitem.filter(filters.one_of("l_returnflag", ["A", "R"]) & filters.one_of("l_linenumber", [1, 3], t.lineitem)
                              & filters.one_of("l_linestatus", []))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
 

@@ -11,8 +11,8 @@ from tabularium.tables import Tables
 def table_stream(t: Tables, name: str, batch_bytes: int = 64 << 30) -> DataFrame:
     """The Parquet table as a stream with the table's own schema, at most ``batch_bytes`` of files per micro-batch."""
     schema = getattr(t, name).schema
-    return (t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*")
-            .option("maxBytesPerTrigger", batch_bytes).parquet(t.folder))
+    pattern = f"{t.folder}/{name}.[p]arquet"  # as a pattern the table may be one file or a folder of files
+    return t.spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(pattern)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:

@@ -86,3 +86,12 @@ def test_wizard(spark, tmp_path):
     assert [s for s, _, _ in w.history] == ["initial", "null_values"] and w.current.count() == 2
     w.finalize(str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_stream_reads_a_file_or_a_folder(spark, tables, tmp_path):
+    from tabularium.tables import Tables
+    tables.events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    folder = Tables(spark, str(tmp_path))
+    n = tables.events.count()
+    assert run.drain(run.table_stream(tables, "events"), "one").count() == n
+    assert run.drain(run.table_stream(folder, "events", batch_bytes=1), "many").count() == n
