@@ -3,7 +3,7 @@
 Rows are range partitioned and sorted once, written to the shared scratch folder together with their slot
 (partition number and place inside it), and read back. The written copy is what keeps the numbering the same
 for every later use, also when executors are lost. Global positions are the place plus the sizes of the earlier
-partitions. That size table has one row per shuffle partition, which is why it may be broadcast.
+partitions. That size table has one row per partition of a few million rows, which is why it may be broadcast.
 """
 
 from __future__ import annotations
@@ -13,25 +13,32 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabularium.session import scratch_path
 
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
+_PART_ROWS, _SMALL_PART_ROWS = 4_000_000, 50_000
+
+
+def _partitions(spark, rows: int) -> int:
+    """Range partitions of a few million rows; enough of them to use a small cluster's cores on small tables."""
+    return max(-(-rows // _PART_ROWS), min(spark.sparkContext.defaultParallelism, -(-rows // _SMALL_PART_ROWS)), 1)
 
 
 def ordered_slots(df: DataFrame, keys: list, unique: bool = False) -> DataFrame:
     """``df`` sorted by ``keys`` with ``_part`` and ``_place`` columns, written and read back.
 
-    Range partitions cannot split rows with equal keys, and copies of one row may be many. Unless the keys are
-    unique, the rows are therefore numbered in a first written copy (so that a re-run task sees the same numbers)
-    and the number is the last sort key.
+    The input is written first: sampling the range bounds and shuffling would otherwise compute it twice, and its
+    row count (from the file footers) sets the number of partitions. Range partitions cannot split rows with equal
+    keys, and copies of one row may be many; unless the keys are unique, the rows are numbered in that first copy (a
+    re-run task reads the same numbers) and the number is the last sort key.
     """
     spark = df.sparkSession
-    if not unique:
-        numbered = scratch_path(spark, "numbered")
-        df.withColumn("_tie", F.monotonically_increasing_id()).write.parquet(numbered)
-        df, keys = spark.read.parquet(numbered), [*keys, "_tie"]
+    staged = scratch_path(spark, "staged")
+    (df if unique else df.withColumn("_tie", F.monotonically_increasing_id())).write.parquet(staged)
+    df = spark.read.parquet(staged)
+    keys = keys if unique else [*keys, "_tie"]
     path = scratch_path(spark, "ordered")
-    (df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+    (df.repartitionByRange(_partitions(spark, df.count()), *keys).sortWithinPartitions(*keys).drop("_tie")
        .withColumn("_slot", F.monotonically_increasing_id())
        .write.parquet(path))
-    back = spark.read.parquet(path)
+    back = spark.read.schema(df.drop("_tie").schema.add("_slot", "long")).parquet(path)
     return (back.withColumn("_part", F.shiftright("_slot", _PLACE_BITS))
                 .withColumn("_place", F.col("_slot").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
                 .drop("_slot"))

@@ -86,17 +86,20 @@ def test_last_rows_limits_before_the_shuffle(clicks):
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_many_copies_of_one_row_are_split(spark):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
-        parts = ordering.ordered_slots(df, ["k"]).groupBy("_part").count().collect()
-        assert len(parts) > 2 and max(r["count"] for r in parts) < 10_000
-        rows = ordering.with_position(df, ["k"]).orderBy("position").collect()
-        assert [r["position"] for r in rows] == list(range(30_000))
-        assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+def test_many_copies_of_one_row_are_split(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "_PART_ROWS", 5_000)
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    parts = ordering.ordered_slots(df, ["k"]).groupBy("_part").count().collect()
+    assert len(parts) == 6 and max(r["count"] for r in parts) < 8_000
+    rows = ordering.with_position(df, ["k"]).orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(30_000))
+    assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
+
+
+def test_empty_frames_have_no_positions(spark):
+    empty = spark.range(0).withColumn("x", F.col("id") * 1.0)
+    assert ordering.with_position(empty, ["id"]).count() == 0
+    assert ordering.fill_along(empty, "x", ["id"]).count() == 0
 
 
 def test_hot_session_key_is_sliced(clicks):
