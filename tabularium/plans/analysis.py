@@ -22,6 +22,11 @@ class Analysis:
     def column(self, role: str) -> str | None:
         return self.columns.get(role)
 
+    def _sales(self) -> str:
+        if "sales" not in self.columns:
+            raise ValueError("no column of this table can serve as sales")
+        return self.columns["sales"]
+
     def validation(self) -> DataFrame:
         return profile.validate(self.df)
 
@@ -29,14 +34,14 @@ class Analysis:
         return learning.training_mode(self.df)
 
     def kpis(self) -> DataFrame:
-        return kpi.summary(self.df, self.column("sales"), self.column("profit"))
+        return kpi.summary(self.df, self._sales(), self.column("profit"))
 
     def metrics(self) -> DataFrame:
         sales, profit, quantity, date = (self.column(r) for r in ("sales", "profit", "quantity", "date"))
         return metrics.evaluate(self.df, metrics.definitions(sales, profit, None, quantity, date))
 
     def insights(self) -> DataFrame:
-        sales, date = self.column("sales"), self.column("date")
+        sales, date = self._sales(), self.column("date")
         found = insights.anomalies(self.df, sales).unionByName(insights.margin(self.metrics()))
         if not date:
             return found

@@ -286,26 +286,28 @@ FILLED_SQL = f"""{DIRTY_SQL}, filled AS (SELECT * EXCLUDE (note, quantity, flag)
   coalesce(quantity, (SELECT quantile_cont(quantity, 0.5) FROM dirty)) AS quantity,
   coalesce(flag, (SELECT flag FROM dirty WHERE flag IS NOT NULL GROUP BY flag ORDER BY count(*) DESC, flag LIMIT 1)) AS flag FROM dirty),
 single AS (SELECT DISTINCT * FROM filled),
-n AS (SELECT (SELECT count(*) FROM dirty) AS r0, (SELECT count(*) FROM single) AS r1,
+n AS (SELECT (SELECT count(*) FROM dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS d0,
+  (SELECT count(*) FROM dirty) AS r0, (SELECT count(*) FROM single) AS r1,
   (SELECT count(*) FILTER (quantity IS NULL) + count(*) FILTER (flag IS NULL) + count(*) FILTER (note IS NULL) FROM dirty) AS n0,
   (SELECT count(*) FILTER (qty_text = 'n/a') + count(*) FILTER (date_text = 'unknown') FROM single) AS n1)"""
 
 
-def _lineage_row(position, step, mode, rows, cols, nulls):
-    names = ["rows_before", "rows_after", "cols_before", "cols_after", "nulls_before", "nulls_after"]
-    values = [f"CAST({v} AS BIGINT)" for v in rows] + [f"CAST({v} AS INTEGER)" for v in cols] + [f"CAST({v} AS BIGINT)" for v in nulls]
-    return (f"SELECT CAST({position} AS INTEGER) AS position, '{step}' AS step, '{mode}' AS mode, "
-            + ", ".join(f"{v} AS {n}" for n, v in zip(names, values)) + " FROM n")
+def _lineage_row(position, step, mode, decisions, **counts):
+    values = [f"CAST({v} AS {'INTEGER' if name == 'cols' else 'BIGINT'}) AS {name}_{when}"
+              for name, pair in counts.items() for when, v in zip(("before", "after"), pair)]
+    return (f"SELECT CAST({position} AS INTEGER) AS position, '{step}' AS step, '{mode}' AS mode, '{decisions}' AS decisions, "
+            + ", ".join(values) + " FROM n")
 
 
 @query("wizard_lineage", f"WITH {FILLED_SQL} " + " UNION ALL ".join([
-    _lineage_row(1, "null_values", "auto", ("r0", "r0"), (12, 11), ("n0", "0")),
-    _lineage_row(2, "duplicates", "auto", ("r0", "r1"), (11, 11), ("0", "0")),
-    _lineage_row(3, "data_types", "auto", ("r1", "r1"), (11, 11), ("0", "n1")),
-    _lineage_row(4, "outliers", "auto", ("r1", "r1"), (11, 11), ("n1", "n1")),
-    _lineage_row(5, "feature_engineering", "manual", ("r1", "r1"), (11, 12), ("n1", "n1"))]))
+    _lineage_row(1, "null_values", "auto", "flag: Fill with mode, note: dropped_column (>70% missing), quantity: Fill with median",
+                 rows=("r0", "r0"), cols=(12, 11), nulls=("n0", "0"), copies=("d0", "r0 - r1")),
+    _lineage_row(2, "duplicates", "auto", "strategy: Keep first", rows=("r0", "r1"), cols=(11, 11), nulls=("0", "0"), copies=("r0 - r1", "0")),
+    _lineage_row(3, "data_types", "auto", "date_text: Date, qty_text: Float", rows=("r1", "r1"), cols=(11, 11), nulls=("0", "n1"), copies=("0", "0")),
+    _lineage_row(4, "outliers", "auto", "price: IQR capping", rows=("r1", "r1"), cols=(11, 11), nulls=("n1", "n1"), copies=("0", "0")),
+    _lineage_row(5, "feature_engineering", "manual", "line_value: product", rows=("r1", "r1"), cols=(11, 12), nulls=("n1", "n1"), copies=("0", "0"))]))
 def wizard_lineage(t):
-    return _run_wizard(t).lineage()
+    return _run_wizard(t).lineage(copies=True)
 
 
 @query("cleaning_report", f"""WITH {FILLED_SQL}, q AS (SELECT price, quantity, discount, qty_text FROM single),

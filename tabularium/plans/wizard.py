@@ -12,12 +12,19 @@ from tabularium.session import scratch_path
 # The steps in order.
 STEPS = ("null_values", "duplicates", "data_types", "outliers", "feature_engineering")
 
-AUTOMATIC: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "null_values": lambda df: clean.auto_fill(df)[0],
-    "duplicates": lambda df: clean.dedup(df, "first"),
-    "data_types": lambda df: clean.auto_cast(df)[0],
-    "outliers": lambda df: clean.auto_cap(df)[0],
-    "feature_engineering": lambda df: features.derive_all(df, features.suggest(df)),
+
+def _suggested(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    specs = features.suggest(df)
+    return features.derive_all(df, specs), {s["col"]: s["operation"] for s in specs}
+
+
+# Every automatic step returns the changed frame and what it decided per column.
+AUTOMATIC: dict[str, Callable[[DataFrame], tuple[DataFrame, dict[str, str]]]] = {
+    "null_values": clean.auto_fill,
+    "duplicates": lambda df: (clean.dedup(df, "first"), {"strategy": "Keep first"}),
+    "data_types": clean.auto_cast,
+    "outliers": clean.auto_cap,
+    "feature_engineering": _suggested,
 }
 
 _FILLS = {"Fill with 0": "zero", "Fill with mean": "mean", "Fill with median": "median", "Fill with mode": "mode",
@@ -55,50 +62,60 @@ class Wizard:
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.root = scratch_path(self.spark, "wizard")
-        self.history: list[tuple[str, str, str]] = []  # (step, mode, path)
+        self.history: list[tuple[str, str, str, dict]] = []  # (step, mode, path, decisions)
         self._written = 0
-        self._write("initial", "raw", df)
+        self._write("initial", "raw", df, {})
 
-    def _write(self, step: str, mode: str, df: DataFrame):
+    def _write(self, step: str, mode: str, df: DataFrame, decisions: dict):
         path = f"{self.root}/v={self._written}"
         df.write.parquet(path)
         self._written += 1
-        self.history.append((step, mode, path))
+        self.history.append((step, mode, path, decisions))
 
     def _before(self, step: str) -> int:
-        done = [s for s, _, _ in self.history]
+        done = [entry[0] for entry in self.history]
         return done.index(step) if step in done else len(done)
 
+    def _change(self, step: str, params: dict | None) -> tuple[DataFrame, dict]:
+        base = self.spark.read.parquet(self.history[self._before(step) - 1][2])
+        if params is None:
+            return AUTOMATIC[step](base)
+        said = {f["col"]: f["operation"] for f in params["features"]} if step == "feature_engineering" else params
+        return manual(base, step, params), said
+
     @property
     def current(self) -> DataFrame:
         return self.spark.read.parquet(self.history[-1][2])
 
     def preview(self, step: str, params: dict | None = None) -> DataFrame:
-        base = self.spark.read.parquet(self.history[self._before(step) - 1][2])
-        return AUTOMATIC[step](base) if params is None else manual(base, step, params)
+        return self._change(step, params)[0]
 
     def apply(self, step: str, params: dict | None = None) -> DataFrame:
-        changed = self.preview(step, params)
+        changed, decisions = self._change(step, params)
         del self.history[self._before(step):]
-        self._write(step, "auto" if params is None else "manual", changed)
+        self._write(step, "auto" if params is None else "manual", changed, decisions)
         return self.current
 
     def finalize(self, path: str) -> None:
         self.current.write.mode("overwrite").parquet(path)
 
-    def lineage(self) -> DataFrame:
-        """``(position, step, mode, rows/cols/nulls before and after)``, one row per applied step."""
+    def lineage(self, copies: bool = False) -> DataFrame:
+        """One row per applied step: mode, decisions, and rows, cols and nulls before and after.
+
+        ``copies`` adds the number of repeated rows, which costs one grouping of all columns per version.
+        """
         out = None
-        shapes = [(self.spark.read.parquet(path), step, mode) for step, mode, path in self.history]
-        for i, (df, step, mode) in enumerate(shapes):
+        for i, (step, mode, path, decisions) in enumerate(self.history):
+            df = self.spark.read.parquet(path)
+            said = ", ".join(f"{c}: {d}" for c, d in sorted(decisions.items()))
             one = stats.null_counts(df).agg(F.max("total_rows").alias("rows"), F.sum("null_count").alias("nulls")).select(
-                F.lit(i).alias("position"), F.lit(step).alias("step"), F.lit(mode).alias("mode"), "rows",
-                F.lit(len(df.columns)).alias("cols"), "nulls")
+                F.lit(i).alias("position"), F.lit(step).alias("step"), F.lit(mode).alias("mode"), F.lit(said).alias("decisions"),
+                "rows", F.lit(len(df.columns)).alias("cols"), "nulls",
+                *([stats.duplicate_count(df).alias("copies")] if copies else []))
             out = one if out is None else out.unionByName(one)
-        before = out.select((F.col("position") + 1).alias("position"), F.col("rows").alias("rows_before"),
-                            F.col("cols").alias("cols_before"), F.col("nulls").alias("nulls_before"))
-        after = out.withColumnsRenamed({"rows": "rows_after", "cols": "cols_after", "nulls": "nulls_after"})
-        return after.join(before, "position")
+        counted = ["rows", "cols", "nulls", *(["copies"] if copies else [])]
+        before = out.select((F.col("position") + 1).alias("position"), *[F.col(c).alias(f"{c}_before") for c in counted])
+        return out.withColumnsRenamed({c: f"{c}_after" for c in counted}).join(before, "position")
 
 
 def report(lineage: DataFrame, capped: int, converted: int) -> DataFrame:

@@ -83,7 +83,9 @@ def test_wizard(spark, tmp_path):
     w.apply("duplicates", {"strategy": "Keep first"})
     assert w.current.count() == 3
     w.apply("null_values", {"x": "Drop rows"})  # redoing a step drops the later ones
-    assert [s for s, _, _ in w.history] == ["initial", "null_values"] and w.current.count() == 2
+    assert [h[0] for h in w.history] == ["initial", "null_values"] and w.current.count() == 2
+    step = w.lineage(copies=True).first()
+    assert (step["mode"], step["decisions"], step["rows_before"], step["rows_after"], step["copies_before"]) == ("manual", "x: Drop rows", 4, 2, 1)
     w.finalize(str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
