@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def day(c) -> Column:
-    return F.to_date(c)
-
-
 def month_start(c) -> Column:
     return F.trunc(F.to_date(c), "month")
 

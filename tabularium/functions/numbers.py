@@ -23,7 +23,3 @@ def display2_sql(expr: str) -> str:
 def clip(c: Column, low, high) -> Column:
     """Clip to [low, high]; null stays null (``greatest``/``least`` would replace it)."""
     return F.when(c < low, low).when(c > high, high).otherwise(c)
-
-
-def percent(part: Column, whole: Column) -> Column:
-    return F.try_divide(part * F.lit(100.0), whole)

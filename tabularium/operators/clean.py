@@ -6,7 +6,7 @@ Statistics enter a plan either as a scalar subquery (mean, mode) or as a few lit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabularium.functions import numbers, parsing
 from tabularium.operators import stats
@@ -125,20 +125,16 @@ NUMBER_SHARE, DATE_SHARE = 0.85, 0.75
 
 
 def cast_decisions(df: DataFrame) -> dict[str, str]:
-    """Text columns that read as numbers or dates, from one aggregate over all of them."""
-    text = stats.string_columns(df)
-    if not text:
-        return {}
-    shares = df.agg(*[F.try_divide(F.count_if(test(F.col(f"`{c}`"))), F.count(F.col(f"`{c}`"))).alias(f"{k}{i}")
-                      for i, c in enumerate(text)
-                      for k, test in (("n", parsing.is_number),
-                                      ("d", lambda x: parsing.to_datetime(x).isNotNull()))]).first()
+    """Text columns that read as numbers or dates."""
     chosen = {}
-    for i, c in enumerate(text):
-        if (shares[f"n{i}"] or 0) >= NUMBER_SHARE:
-            chosen[c] = "Float"
-        elif (shares[f"d{i}"] or 0) >= DATE_SHARE:
-            chosen[c] = "Date"
+    for part in stats.in_batches(stats.string_columns(df)):
+        shares = df.agg(*[F.try_divide(F.count_if(test(F.col(f"`{c}`"))), F.count(F.col(f"`{c}`")))
+                          for c in part for test in (parsing.is_number, lambda x: parsing.to_datetime(x).isNotNull())]).first()
+        for i, c in enumerate(part):
+            if (shares[2 * i] or 0) >= NUMBER_SHARE:
+                chosen[c] = "Float"
+            elif (shares[2 * i + 1] or 0) >= DATE_SHARE:
+                chosen[c] = "Date"
     return chosen
 
 

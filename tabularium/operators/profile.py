@@ -178,9 +178,14 @@ def quality(df: DataFrame) -> DataFrame:
     """One row: score, the three shares, and the counts behind them."""
     numeric = stats.numeric_columns(df)
     beyond = stats.beyond_fences(df, numeric)
-    one = df.agg(F.count(F.lit(1)).alias("total_rows"),
-                 sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0)).alias("total_nulls"),
-                 sum((F.count_if(test) for test in beyond.values()), F.lit(0)).cast("bigint").alias("total_outliers"))
+    if len(df.columns) <= stats.COLUMNS_PER_PASS:
+        one = df.agg(F.count(F.lit(1)).alias("total_rows"),
+                     sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0)).alias("total_nulls"),
+                     sum((F.count_if(test) for test in beyond.values()), F.lit(0)).cast("bigint").alias("total_outliers"))
+    else:
+        one = stats.null_counts(df).agg(F.max("total_rows").alias("total_rows"), F.sum("null_count").alias("total_nulls"))
+        cells = stats.per_column(df, list(beyond), {"n": lambda c: F.count_if(beyond[c])}) if beyond else None
+        one = one.withColumn("total_outliers", cells.agg(F.sum("n")).scalar() if beyond else F.lit(0).cast("bigint"))
     one = one.withColumn("total_cols", F.lit(len(df.columns))).withColumn("total_duplicates", stats.duplicate_count(df))
     share = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(0.0))
     missing = share(F.col("total_nulls"), F.col("total_rows") * F.col("total_cols"))

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tabularium.functions.dates import month_start
+
 
 def totals_by(df: DataFrame, moment: str, measure: str, unit: str = "month", by: list[str] | None = None) -> DataFrame:
     """``(by…, period, total)``; rows without a moment or a measure are left out."""
-    period = F.trunc(F.to_date(moment), "month") if unit == "month" else F.to_date(moment)
+    period = month_start(moment) if unit == "month" else F.to_date(moment)
     return (df.filter(F.col(moment).isNotNull() & F.col(measure).isNotNull())
               .groupBy(*(by or []), period.alias("period")).agg(F.sum(measure).alias("total")))
 

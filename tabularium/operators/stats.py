@@ -15,6 +15,16 @@ PERCENTILE_ROWS = 100_000
 _BINS = 1024
 
 
+# Columns per aggregate: one huge aggregate over a wide table outgrows what the JVM compiles. Batches read different
+# columns, so every column is still read once.
+COLUMNS_PER_PASS = 40
+
+
+def in_batches(columns: list[str], size: int | None = None) -> list[list[str]]:
+    size = size or COLUMNS_PER_PASS
+    return [columns[i:i + size] for i in range(0, len(columns), size)]
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
 
@@ -40,28 +50,28 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
     Small frames use ``percentile``. Large ones count values per histogram bin and zoom into the bin that holds
     each wanted rank until one value is left; a pass shuffles bin counts only, never the data.
     """
-    if not columns:
-        return {}
-    shape = df.agg(*[f(_value(c)).alias(f"{k}{i}") for i, c in enumerate(columns)
-                     for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    if max(shape[f"n{i}"] for i in range(len(columns))) <= percentile_rows:
-        row = df.agg(*[F.percentile(_value(c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
-                       for i, c in enumerate(columns)]).first()
-        return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
+    shape: dict[str, tuple] = {}
+    for part in in_batches(columns):
+        row = df.agg(*[f(_value(c)) for c in part for f in (F.count, F.min, F.max)]).first()
+        shape |= {c: (row[3 * i], row[3 * i + 1], row[3 * i + 2]) for i, c in enumerate(part)}
+    out: dict[str, list[float | None]] = {}
+    if max((n for n, _, _ in shape.values()), default=0) <= percentile_rows:
+        for part in in_batches(columns):
+            row = df.agg(*[F.percentile(_value(c), F.array(*[F.lit(float(p)) for p in probs])) for c in part]).first()
+            out |= {c: list(row[i] or [None] * len(probs)) for i, c in enumerate(part)}
+        return out
 
     wanted: dict[tuple[str, int], tuple[float, float, int]] = {}
     plan: dict[str, list[tuple[int, int, float]]] = {}
-    for i, c in enumerate(columns):
-        n = shape[f"n{i}"]
+    for c, (n, low, high) in shape.items():
         plan[c] = []
         for p in probs if n else []:
             at = (n - 1) * p
             below, above = math.floor(at), math.ceil(at)
             plan[c].append((below, above, at - below))
             for rank in (below, above):
-                wanted[(c, rank)] = (shape[f"lo{i}"], shape[f"hi{i}"], 0)
+                wanted[(c, rank)] = (low, high, 0)
     found = _select_ranks(df, wanted)
-    out: dict[str, list[float | None]] = {}
     for c in columns:
         out[c] = [found[(c, a)] + (found[(c, b)] - found[(c, a)]) * w for a, b, w in plan[c]] or [None] * len(probs)
     return out
@@ -189,26 +199,28 @@ def mode_of(df: DataFrame, column: str) -> Column:
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, position, total_rows, null_count)``, one row per column, from one aggregate."""
-    columns = columns or df.columns
-    one = df.agg(F.count(F.lit(1)).alias("total"),
-                 *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(columns)])
-    return one.select("total", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(i + 1).alias("position"), F.col(f"n{i}").alias("null_count"))
-        for i, c in enumerate(columns)])).alias("s")).select(
-        "s.column_name", "s.position", F.col("total").alias("total_rows"), "s.null_count")
+    """``(column_name, position, total_rows, null_count)``, one row per column."""
+    return per_column(df, columns or df.columns, {
+        "total_rows": lambda c: F.count(F.lit(1)), "null_count": lambda c: F.count_if(F.col(f"`{c}`").isNull())})
 
 
 def per_column(df: DataFrame, columns: list[str], measures: dict) -> DataFrame:
-    """One aggregate over all columns, one output row per column.
+    """One aggregate per batch of columns, one output row per column.
 
     ``measures`` maps an output name to ``fn(column name) -> aggregate Column``.
     """
-    one = df.agg(*[fn(c).alias(f"{name}__{i}") for i, c in enumerate(columns) for name, fn in measures.items()])
-    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(i + 1).alias("position"),
-                     *[F.col(f"{name}__{i}").alias(name) for name in measures])
-            for i, c in enumerate(columns)]
-    return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    if not columns:
+        return df.sparkSession.createDataFrame([], ", ".join(
+            ["column_name string", "position int", *[f"`{name}` double" for name in measures]]))
+    out = None
+    for part in in_batches(columns):
+        one = df.agg(*[fn(c).alias(f"{name}__{i}") for i, c in enumerate(part) for name, fn in measures.items()])
+        rows = [F.struct(F.lit(c).alias("column_name"), F.lit(columns.index(c) + 1).alias("position"),
+                         *[F.col(f"{name}__{i}").alias(name) for name in measures])
+                for i, c in enumerate(part)]
+        stacked = one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+        out = stacked if out is None else out.unionAll(stacked)
+    return out
 
 
 def duplicate_count(df: DataFrame) -> Column:

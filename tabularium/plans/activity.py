@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabularium.functions.dates import seconds_between
 from tabularium.functions.numbers import r4
 from tabularium.operators import access, clean, filters, sequences, stats
 from tabularium.plans.registry import query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabularium.functions.numbers import display2, display2_sql, r4
+from tabularium.functions.numbers import display2_sql, r4
 from tabularium.operators import charts, filters, insights, kpi, metrics, ordering, series, stats
 from tabularium.plans.inputs import (
     DIRTY_SQL, SALES_SQL, dirty_lineitem, sales_by_customer, sales_by_order, sales_by_part, sales_wide,

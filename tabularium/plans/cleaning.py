@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabularium.functions.numbers import display2, display2_sql, r4
+from tabularium.functions.dates import weekday_number
+from tabularium.functions.numbers import display2, r4
 from tabularium.functions.parsing import DATE_FORMATS_SQL, NUMBER
 from tabularium.operators import clean, features, ordering, stats
 from tabularium.plans.inputs import DIRTY_SQL, SALES_SQL, dirty_lineitem, sales_wide
@@ -338,7 +339,7 @@ def feat_derived_sales(t):
 def feat_date_parts(t):
     at = F.to_date("o_orderdate")
     return t.orders.select("o_orderkey", F.year(at).alias("y"), F.month(at).alias("m"),
-                           F.dayofmonth(at).alias("d"), F.weekday(at).alias("dow"))
+                           F.dayofmonth(at).alias("d"), weekday_number(at).alias("dow"))
 
 
 @query("feat_label_encode", f"""WITH {DIRTY_SQL}, x AS (SELECT *, coalesce(flag, 'nan') AS f, coalesce(note, 'nan') AS o

@@ -6,11 +6,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from tabularium.functions import nested, text
+from tabularium.functions import dates, nested, text
 from tabularium.functions.numbers import r4
 from tabularium.functions.parsing import DATE_FORMATS_SQL, NUMBER, is_number
 from tabularium.operators import match, profile, roles, stats
-from tabularium.plans.inputs import DIRTY_COLUMNS, DIRTY_SQL, SALES_SQL, dirty_lineitem, sales_wide
+from tabularium.plans.inputs import DIRTY_COLUMNS, DIRTY_SQL, dirty_lineitem, sales_wide
 from tabularium.plans.registry import query
 
 DIRTY_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "quantity", "price", "discount"]
@@ -456,8 +456,8 @@ def fn_format_duration(t):
 @query("fn_date_labels", """SELECT event_id, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%a') AS weekday
 FROM events""")
 def fn_date_labels(t):
-    return t.events.select("event_id", F.date_format("ts", "yyyy-MM").alias("month"),
-                           F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "EEE").alias("weekday"))
+    return t.events.select("event_id", dates.month_label("ts").alias("month"), F.date_format("ts", "yyyy-MM-dd").alias("day"),
+                           dates.weekday_label("ts").alias("weekday"))
 
 
 @query("fn_json_get", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabularium.functions.numbers import r4
-from tabularium.operators import clean, features, filters, profile, stats
+from tabularium.operators import clean, filters, stats
 from tabularium.plans import adhoc, wizard
 from tabularium.plans.inputs import DIRTY_SQL, SALES_SQL, dirty_lineitem, sales_by_part, sales_wide
 from tabularium.plans.registry import query

@@ -154,3 +154,24 @@ def test_suggested_features(spark):
     specs = features.suggest(spark.createDataFrame([], names))
     assert [s["col"] for s in specs] == ["sales_per_quantity", "profit_margin", "discount_rate", "order_id_log", "sales_amount_log", "quantity_log"]
     assert features.suggest(spark.createDataFrame([], "Len double"))[0]["col"] == "len_normalized"
+
+
+def test_wide_tables_are_read_in_batches(spark):
+    from tabularium.operators import profile
+    wide = spark.range(200).select(*[(F.when(F.col("id") % (i + 2) != 0, F.col("id") * 1.0)).alias(f"n{i}") for i in range(60)],
+                                   *[F.lit("7").alias(f"t{i}") for i in range(45)])
+    known = {r["column_name"]: r for r in profile.facts(wide).collect()}
+    assert len(known) == 105 and sorted(r["position"] for r in known.values()) == list(range(1, 106))
+    assert known["n0"]["null_count"] == 100 and known["t44"]["nunique"] == 1
+    assert set(clean.cast_decisions(wide).values()) == {"Float"} and len(clean.cast_decisions(wide)) == 45
+    one = profile.quality(wide).first()
+    assert one["total_nulls"] == sum(r["null_count"] for r in known.values()) and one["total_cols"] == 105
+    assert len(stats.quantiles(wide, stats.numeric_columns(wide), [0.5], percentile_rows=0)) == 60
+
+
+def test_tables_without_numbers(spark):
+    from tabularium.operators import profile
+    df = spark.createDataFrame([("a", None), ("b", "x")], "k string, t string")
+    assert profile.quality(df).first()["total_nulls"] == 1
+    assert profile.catalog(df).count() == 2 and stats.outlier_cells(df).count() == 0
+    assert clean.auto_cap(df)[1] == {} and profile.summary_cards(df).count() == 2
