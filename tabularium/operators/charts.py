@@ -50,10 +50,16 @@ def top(df: DataFrame, x: str, y: str, n: int = 10) -> DataFrame:
               .orderBy(F.desc("y"), "x").limit(n).select(F.substring(F.col("x").cast("string"), 1, 20).alias("x"), "y"))
 
 
-def time_series(df: DataFrame, moment: str, y: str, points: int = 30) -> DataFrame:
-    """``(x, y)``: the last points; raw rows when there are no more than ``points``, else months with data."""
+def time_series(df: DataFrame, moment: str, y: str, points: int = 30, many: bool | None = None) -> DataFrame:
+    """``(x, y)``: the last points; raw rows when there are no more than ``points``, else months with data.
+
+    Whether there are more is looked up with a small limit, which is cheap on a scan; for a frame behind joins or
+    groupings the caller can say so with ``many``.
+    """
     rows = df.filter(F.col(moment).isNotNull() & F.col(y).isNotNull())
-    if rows.limit(points + 1).count() <= points:
+    if many is None:
+        many = rows.limit(points + 1).count() > points
+    if not many:
         return rows.select(F.col(moment).cast("string").alias("x"), F.col(y).alias("y")).orderBy("x")
     months = series.totals_by(rows, moment, y).select(F.date_format("period", "yyyy-MM").alias("x"), F.col("total").alias("y"))
     return months.orderBy(F.desc("x")).limit(points).orderBy("x")

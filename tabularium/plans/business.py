@@ -341,9 +341,14 @@ SERIES_SQL = """SELECT * FROM (SELECT strftime(order_date, '%Y-%m') AS x, round(
 ORDER BY 1 DESC LIMIT 30)"""
 
 
+def _many(t) -> bool:
+    """More orders than points on a chart; the count comes from the file footers."""
+    return t.orders.count() > 30
+
+
 @query("chart_time_series", f"WITH {SALES_SQL} {SERIES_SQL.format(y='sales')}")
 def chart_time_series(t):
-    return charts.time_series(sales_by_order(t), "order_date", "sales").withColumn("y", r4(F.col("y")))
+    return charts.time_series(sales_by_order(t), "order_date", "sales", many=_many(t)).withColumn("y", r4(F.col("y")))
 
 
 @query("chart_top_products", f"WITH {SALES_SQL} {_top_sql('product', 'sales', 10)}")
@@ -378,7 +383,7 @@ def chart_qty(t):
 @query("chart_profit_trend", f"WITH {SALES_SQL} {SERIES_SQL.format(y='profit')}")
 def chart_profit_trend(t):
     wide = sales_wide(t, ["order_date", "profit"])
-    return charts.time_series(wide, "order_date", "profit").withColumn("y", r4(F.col("y")))
+    return charts.time_series(wide, "order_date", "profit", many=_many(t)).withColumn("y", r4(F.col("y")))
 
 
 @query("chart_revenue_area", f"WITH {SALES_SQL}, {MONTHS_SQL} SELECT strftime(period, '%Y-%m') AS x, round(total, 4) AS y FROM months")
@@ -419,7 +424,7 @@ def _board_sql(chart_id: str, kind: str, sql: str, order: str) -> str:
     _board_sql("profit_trend", "area", SERIES_SQL.format(y="profit"), "x")]))
 def dashboard_all(t):
     """All charts as ranked rows; sales charts share the per-part, per-order and per-customer sums."""
-    months = charts.time_series(sales_by_order(t), "order_date", "sales")
+    months = charts.time_series(sales_by_order(t), "order_date", "sales", many=_many(t))
     boards = [
         (months, "trend_line", "line", "x"),
         (charts.top(sales_by_part(t), "product", "sales"), "product_bar", "bar", "y"),
@@ -427,7 +432,7 @@ def dashboard_all(t):
         (months, "revenue_area", "area", "x"),
         (charts.top(sales_by_customer(t), "customer", "sales", 8), "customer_bar", "bar", "y"),
         (charts.top(sales_by_part(t), "product", "quantity"), "qty_bar", "bar", "y"),
-        (charts.time_series(sales_wide(t, ["order_date", "profit"]), "order_date", "profit"), "profit_trend", "area", "x"),
+        (charts.time_series(sales_wide(t, ["order_date", "profit"]), "order_date", "profit", many=_many(t)), "profit_trend", "area", "x"),
     ]
     out = None
     for data, chart_id, kind, by in boards:
