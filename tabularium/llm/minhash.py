@@ -50,7 +50,7 @@ def superminhash(values: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
         np.minimum.at(sig, doc * m + slot, np.uint64(j) << np.uint64(54) | draw >> np.uint64(10))
         open_ = (sig.reshape(n, m) == EMPTY).any(axis=1)[doc]
         if perm is None:
-            perm = np.broadcast_to(np.arange(m, dtype=np.uint16), (int(open_.sum()), m)).copy()
+            perm = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (int(open_.sum()), m)).copy()
         else:
             perm = perm[open_]
         live, doc, pick = live[open_], doc[open_], pick[open_]
@@ -71,7 +71,7 @@ def bands_of(sig: np.ndarray, bands: int) -> np.ndarray:
 def features(bands: int, rows: int, k: int):
     def make(batches):
         for batch in batches:
-            for part in words.slices(batch, "text", 1 << 19, 512):
+            for part in words.slices(batch, "text", 1 << 18, 256):
                 values, at = words.shingle_sets(part.column("text"), k)
                 some = np.diff(at) > 0
                 sums = [np.r_[np.uint64(0), np.cumsum(words.mix(values ^ np.uint64(seed)))] for seed in (1, 2)]
@@ -90,7 +90,7 @@ def similar(threshold_pct: int, k: int):
     """Keeps the pairs whose full sets reach the threshold; equal neighbouring texts are parsed once per batch."""
     def check(batches):
         for batch in batches:
-            for part in words.slices(batch, "text_a", 1 << 19, 512):
+            for part in words.slices(batch, "text_a", 1 << 18, 256):
                 sets = {}
                 for side in ("a", "b"):
                     ids = part.column(side).to_numpy(zero_copy_only=False)
