@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabularium.llm import minhash
+from tabularium.llm import labelled, minhash, quality, toxicity
 from tabularium.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +25,21 @@ def query(name: str):
 def op1(t: Tables) -> DataFrame:
     """Near-duplicate groups of whole documents at Jaccard 0.85 on five-word shingles."""
     return minhash.near_duplicates(t.documents)
+
+
+def scored(t: Tables, model, cut: float) -> DataFrame:
+    score = model.column("text")
+    return (t.documents.select("doc_id", labelled.held_out().alias("held_out"), score.alias("score"))
+            .withColumn("predicted", (F.col("score") >= cut).cast("int")))
+
+
+@query("op6_quality")
+def op6(t: Tables) -> DataFrame:
+    """Quality scores of all whole documents."""
+    return scored(t, quality.fit(t.documents, t.labels), 0.5)
+
+
+@query("op9_toxicity")
+def op9(t: Tables) -> DataFrame:
+    """Toxicity scores of all whole documents."""
+    return scored(t, toxicity.fit(t.documents, t.labels), 0.7)
