@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import labelled, minhash, quality, toxicity
+from tabularium.llm import labelled, minhash, packing, quality, toxicity
 from tabularium.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,9 @@ def op6(t: Tables) -> DataFrame:
 def op9(t: Tables) -> DataFrame:
     """Toxicity scores of all whole documents."""
     return scored(t, toxicity.fit(t.documents, t.labels), 0.7)
+
+
+@query("op10_packing")
+def op10(t: Tables) -> DataFrame:
+    """All whole documents packed into windows of 2048 tokens."""
+    return packing.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
