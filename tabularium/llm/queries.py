@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import labelled, minhash, packing, quality, toxicity
+from tabularium.llm import labelled, minhash, packing, quality, toxicity, vectors
 from tabularium.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,9 @@ def op9(t: Tables) -> DataFrame:
 def op10(t: Tables) -> DataFrame:
     """All whole documents packed into windows of 2048 tokens."""
     return packing.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_projections")
+def op7(t: Tables) -> DataFrame:
+    """Near-duplicate groups and links of all embeddings at cosine 0.95."""
+    return vectors.near_duplicates(t.embeddings)
