@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import labelled, minhash, packing, quality, toxicity, vectors
+from tabularium.llm import labelled, minhash, packing, quality, sharding, toxicity, vectors
 from tabularium.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op10(t: Tables) -> DataFrame:
 def op7(t: Tables) -> DataFrame:
     """Near-duplicate groups and links of all embeddings at cosine 0.95."""
     return vectors.near_duplicates(t.embeddings)
+
+
+@query("op8_ring")
+def op8(t: Tables) -> DataFrame:
+    """All documents on 16 shards of near-equal bytes."""
+    return sharding.sharded(t.documents)
