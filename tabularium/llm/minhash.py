@@ -7,9 +7,9 @@ words). Two documents are linked if their sets' Jaccard similarity reaches the t
    Equal sets are one node, named by the smallest doc_id, so that copies cost nothing further on.
 2. Signatures are cut into bands. Within each bucket of a band, every node is compared with the bucket's smallest node
    (a star, never all pairs) on the full sets, and verified links are united.
-3. Buckets in which more than one component is left are compared in bounded tiles by their signatures; pairs of different
-   components whose estimate is within six standard deviations of the threshold are verified on the full sets as well.
-   This is the exact way for what the star leaves open, so no candidate is capped.
+3. Buckets in which more than one component is left are compared in bounded tiles by their signatures. Nodes with a partner of
+   another component whose estimate is within six standard deviations of the threshold meet again in the same tile with their
+   full sets, and the tile emits its forest of verified links. No pairs become rows, and no candidate is capped.
 
 With 32 bands of 8 rows a pair of similarity 0.85 misses all bands with probability 4e-5; nothing below the threshold is linked.
 """
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.llm import words
-from tabularium.llm.components import components
+from tabularium.llm.components import components, forest
 from tabularium.llm.store import drop, kept
 
 BANDS, ROWS = 32, 8
-TILE = 1024
+TILE = 512
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -119,21 +119,43 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold_pct: int, k: int) -> D
 
 
 def candidates(limit: float):
-    """Pairs of different components in one tile of a bucket whose marks agree on at least ``limit`` of the slots."""
+    """The nodes of a tile that agree with one of another component on at least ``limit`` of the slots."""
     def compare(key, table):
-        left, right = key[1].as_py(), key[2].as_py()
-        block = table.column("block").to_numpy()
-        node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
+        block, node, comp = (table.column(c).to_numpy() for c in ("block", "node", "component"))
         marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(node), -1)
-        rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        found = []
+        rows, cols = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        some = np.zeros(len(node), bool)
         for i in rows:
-            to = cols[(node[cols] > node[i]) | (left != right)]
-            to = to[comp[to] != comp[i]]
+            to = cols[comp[cols] != comp[i]]
             to = to[(marks[to] == marks[i]).mean(axis=1) >= limit]
-            found.append(np.stack([np.full(len(to), node[i]), node[to]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+            some[to] = True
+            some[i] |= len(to) > 0
+        return table.filter(pa.array(some)).drop_columns(["marks", "block"])
+    return compare
+
+
+def confirmed(threshold_pct: int, k: int):
+    """The forest of links between different components in a tile, by an inverted index of the members' full sets."""
+    def compare(key, table):
+        node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
+        values, at = words.shingle_sets(table.column("text"), k)
+        size = np.diff(at)
+        _, term, often = np.unique(values, return_inverse=True, return_counts=True)
+        order = np.argsort(term, kind="stable")
+        member, first = np.repeat(np.arange(len(node)), size)[order], np.r_[0, np.cumsum(often)]
+        a, b = [], []
+        for i in range(len(node)):
+            own = term[at[i]:at[i + 1]]
+            own = own[often[own] > 1]
+            count = often[own]
+            reach = np.repeat(first[own] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            both = np.bincount(member[reach], minlength=len(node))
+            near = (both > 0) & (100 * both >= threshold_pct * (size[i] + size - both)) & (comp != comp[i])
+            near[:i + 1] = False
+            b.append(node[near])
+            a.append(np.full(len(b[-1]), node[i]))
+        links = pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        return pa.Table.from_batches(list(forest([links]))).rename_columns(["b", "a"])
     return compare
 
 
@@ -169,8 +191,11 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 85, k: int = 5, bands:
             "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component", "marks")
         j = threshold_pct / 100
         limit = j - 6 * (j * (1 - j) / (bands * rows)) ** 0.5
-        pairs = tiles.groupBy("band", "one", "two").applyInArrow(candidates(limit), "a long, b long")
-        more = verified(pairs, texts, threshold_pct, k)
+        near = kept(tiles.groupBy("band", "one", "two").applyInArrow(candidates(limit), "band long, one int, two int, node long, component long"), "near")
+        ids = near.select(F.col("node").alias("doc_id")).distinct()
+        read = kept(texts.join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"), "texts")
+        more = kept(near.join(read, "node").groupBy("band", "one", "two").applyInArrow(confirmed(threshold_pct, k), "a long, b long").distinct(), "links")
+        drop(near, read)
         if more.head(1):
             before = labels
             labels = kept(components(before.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "labels")
