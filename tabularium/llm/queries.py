@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import labelled, minhash, packing, quality, sharding, toxicity, vectors
+from tabularium.llm import labelled, minhash, packing, quality, sharding, sketch, toxicity, vectors
 from tabularium.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,9 @@ def op7(t: Tables) -> DataFrame:
 def op8(t: Tables) -> DataFrame:
     """All documents on 16 shards of near-equal bytes."""
     return sharding.sharded(t.documents)
+
+
+@query("op4_sketch")
+def op4(t: Tables) -> DataFrame:
+    """Fingerprints of all whole documents and of their edited texts."""
+    return sketch.with_edits(t.documents)
