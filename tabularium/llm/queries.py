@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import labelled, minhash, packing, quality, sharding, sketch, toxicity, vectors
+from tabularium.llm import labelled, language, minhash, packing, quality, sharding, sketch, toxicity, vectors
 from tabularium.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,11 @@ def op8(t: Tables) -> DataFrame:
 def op4(t: Tables) -> DataFrame:
     """Fingerprints of all whole documents and of their edited texts."""
     return sketch.with_edits(t.documents)
+
+
+@query("op5_language")
+def op5(t: Tables) -> DataFrame:
+    """The language of every whole document."""
+    found = language.fit(t.documents).column("text")
+    return (t.documents.select("doc_id", labelled.held_out("doc_id", language.FOLDS, language.HELD).alias("held_out"), found.alias("found"))
+            .select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.languages", "found.shares"))
