@@ -33,29 +33,30 @@ def letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)])
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-grams (orders, letters) ending at each letter or word end, the places where words begin among them, and the
-    n + 1 places where documents begin among the words. Words are runs of letters in lower case."""
+def word_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of letters in lower case): for the distinct ones their hashed n-grams (orders, letters) ending at each letter
+    or word end and the places where words begin among them; which distinct word each word is; and the n + 1 places where
+    documents begin among the words."""
     low = [t.lower() if t else "" for t in texts.to_pylist()]
-    code = np.frombuffer("\0".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    code = np.frombuffer("\0".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
     letter = letters()[code]
-    docs_at = np.cumsum([0, *(len(t) + 1 for t in low)])
-    after = ~letter & np.r_[False, letter[:-1]]
-    keep = letter | after
-    first = letter & ~np.r_[False, letter[:-1]]
-    unit = np.where(letter, code, 32)[keep].astype(np.uint64)
-    begin = np.flatnonzero(first[keep])
-    docs = np.searchsorted(np.flatnonzero(first), docs_at)
-    size = np.diff(np.r_[begin, len(unit)])
-    depth = np.arange(len(unit)) - np.repeat(begin, size)
-    out, acc = [], np.zeros(len(unit), np.uint64)
+    begin = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
+    end = np.flatnonzero(letter & ~np.r_[letter[1:], False]) + 1
+    docs = np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in low)]))
+    _, some, which = np.unique(words.span_hashes(code, begin, end), return_index=True, return_inverse=True)
+    size = end[some] - begin[some] + 1
+    at = np.r_[0, np.cumsum(size)].astype(np.int64)
+    depth = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    unit = code[np.repeat(begin[some], size) + depth].astype(np.uint64)
+    unit[at[1:] - 1] = 32
+    out, acc = np.zeros((len(ORDERS), len(unit)), np.int64), np.zeros(len(unit), np.uint64)
     for n in ORDERS:
         back = np.full(len(unit), np.uint64(32))
-        back[n - 1:] = unit[:len(unit) - n + 1] if n > 1 else unit
-        back = np.where(depth >= n - 1, back, np.uint64(32))
+        back[n - 1:] = unit[:len(unit) - n + 1]
+        back[depth < n - 1] = 32
         acc = words.mix(acc * np.uint64(0xD6E8FEB86659FD93) + back)
-        out.append((acc % np.uint64(BUCKETS)).astype(np.int64))
-    return np.stack(out) if out else np.zeros((len(ORDERS), 0), np.int64), begin, docs
+        out[n - 1] = acc % np.uint64(BUCKETS)
+    return out, at[:-1], which, docs
 
 
 def counted(names: list[str]):
@@ -66,12 +67,13 @@ def counted(names: list[str]):
         total = np.zeros((len(names), len(ORDERS), BUCKETS))
         for batch in batches:
             for part in words.slices(batch, "text"):
-                hashed, begin, docs = grams(part.column("text"))
-                lang = np.array([index[x] for x in part.column("lang").to_pylist()], np.int64)
-                ends = np.r_[begin, hashed.shape[1]][docs]
-                each = np.repeat(lang, np.diff(ends))
-                for o in range(len(ORDERS)):
-                    total[:, o] += np.bincount(each * BUCKETS + hashed[o], minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
+                hashed, begin, which, docs = word_grams(part.column("text"))
+                lang = np.repeat([index[x] for x in part.column("lang").to_pylist()], np.diff(docs))
+                size = np.diff(np.r_[begin, hashed.shape[1]])
+                for i in np.unique(lang):
+                    often = np.repeat(np.bincount(which[lang == i], minlength=len(begin)), size)
+                    for o in range(len(ORDERS)):
+                        total[i, o] += np.bincount(hashed[o], often, BUCKETS)
         for i in range(len(names)):
             for b in range(0, BUCKETS, BLOCK):
                 if total[i, :, b:b + BLOCK].any():
@@ -106,7 +108,7 @@ class Languages:
 
     def infer(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Language shares (n, languages), all zero where there is no letter, and the number of words."""
-        hashed, begin, docs = grams(texts)
+        hashed, begin, which, docs = word_grams(texts)
         n, k = len(docs) - 1, len(self.names)
         shares, count = np.zeros((n, k)), np.diff(docs)
         if not k or not len(begin):
@@ -115,35 +117,39 @@ class Languages:
         for o in range(len(ORDERS)):
             logs += self.logs[o][hashed[o]]
         logs = np.add.reduceat(logs, begin, axis=0).astype(np.float64)
-        top = logs.max(axis=1, keepdims=True)
-        like = np.exp(np.maximum(logs - top, -60.0))
+        logs = np.maximum(logs - logs.max(axis=1, keepdims=True), -60.0)
+        like = np.exp(logs).T[:, which]
         some = np.flatnonzero(count)
-        at, doc = docs[:-1][some], np.repeat(np.arange(len(some)), count[some])
-        sums = lambda v: np.add.reduceat(v, at, axis=0)
-
-        def fit(chosen: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            """Shares within the chosen languages of each document, and the log likelihood."""
-            pi = chosen / chosen.sum(axis=1, keepdims=True)
-            for _ in range(rounds):
-                part = like * pi[doc]
-                part /= part.sum(axis=1, keepdims=True)
-                pi = sums(part) / count[some, None]
-            return pi, sums(np.log((like * pi[doc]).sum(axis=1)))
-
-        alone = sums(np.log(like))
-        chosen = np.zeros((len(some), k))
-        chosen[np.arange(len(some)), alone.argmax(axis=1)] = 1
-        best, score = chosen.copy(), alone.max(axis=1)
-        full, most = fit(np.ones((len(some), k)), ROUNDS)
-        open_ = most - score > PENALTY * np.log(count[some] + 1)  # no larger set can gain more than the full one
-        while open_.any() and k > 1:
-            rest = np.where(chosen > 0, -1.0, full)
+        size = count[some]
+
+        def estimate(open_: np.ndarray, chosen: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+            """Shares within the chosen languages, and the log likelihood, of the documents that are open."""
+            mine = like[:, np.repeat(open_, size)] if not open_.all() else like
+            times = size[open_]
+            at = np.r_[0, np.cumsum(times)[:-1]]
+            pi = (chosen / chosen.sum(axis=1, keepdims=True)).T
+            for step in range(rounds + 1):
+                mixed = sum(row * np.repeat(share, times) for row, share in zip(mine, pi))
+                if step < rounds:
+                    pi = np.stack([share * np.add.reduceat(row / mixed, at) for row, share in zip(mine, pi)]) / times
+            return pi.T, np.add.reduceat(np.log(mixed), at)
+
+        alone = np.stack([np.add.reduceat(row[which], docs[:-1][some]) for row in logs.T], axis=1)
+        best = np.zeros((len(some), k))
+        best[np.arange(len(some)), alone.argmax(axis=1)] = 1
+        chosen, score, least = best > 0, alone.max(axis=1), PENALTY * np.log(size + 1)
+        everyone = np.ones(len(some), bool)
+        full, most = estimate(everyone, np.ones((len(some), k)), ROUNDS)
+        open_ = (most - score > least) & (k > 1)  # no smaller set can gain more than the full one
+        while open_.any():
+            rest = np.where(chosen, -1.0, full)
             trial = chosen.copy()
-            trial[np.arange(len(some)), rest.argmax(axis=1)] = 1
-            pi, value = fit(trial, ROUNDS)
-            open_ &= (value - score > PENALTY * np.log(count[some] + 1)) & (rest.max(axis=1) >= 0)
-            chosen = np.where(open_[:, None], trial, chosen)
-            best, score = np.where(open_[:, None], pi, best), np.where(open_, value, score)
+            trial[np.arange(len(some)), rest.argmax(axis=1)] = True
+            pi, value = estimate(open_, trial[open_].astype(float), ROUNDS)
+            more = np.zeros(len(some), bool)
+            more[open_] = value - score[open_] > least[open_]
+            best[more], score[more], chosen[more] = pi[more[open_]], value[more[open_]], trial[more]
+            open_ = more & ~chosen.all(axis=1)
         shares[some] = best
         return shares, count
 
