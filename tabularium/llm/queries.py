@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import labelled, language, minhash, packing, quality, sharding, sketch, toxicity, vectors
+from tabularium.llm import chat, labelled, language, minhash, packing, quality, sharding, sketch, toxicity, vectors
 from tabularium.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,11 @@ def op5(t: Tables) -> DataFrame:
     found = language.fit(t.documents).column("text")
     return (t.documents.select("doc_id", labelled.held_out("doc_id", language.FOLDS, language.HELD).alias("held_out"), found.alias("found"))
             .select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.languages", "found.shares"))
+
+
+@query("op3_chat")
+def op3(t: Tables) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    text = "</s>[INST] ok [/INST]"
+    extra = t.spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted(t.conversations.select("conv_id", "turn", "role", "text").unionByName(extra)))
