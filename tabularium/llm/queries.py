@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import chat, labelled, language, minhash, packing, quality, sharding, sketch, toxicity, vectors
+from tabularium.llm import chat, labelled, language, minhash, packing, pieces, quality, sharding, sketch, toxicity, vectors
 from tabularium.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op3(t: Tables) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     extra = t.spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.formatted(t.conversations.select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
+@query("op2_viterbi")
+def op2(t: Tables) -> DataFrame:
+    """Piece ids of all whole documents, decoded again."""
+    return pieces.digested(t.documents, public_tokenizers.path("piece_bpe_32k.model"))
