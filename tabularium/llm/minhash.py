@@ -106,16 +106,11 @@ def similar(threshold_pct: int, k: int):
     return check
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold_pct: int, k: int) -> DataFrame:
-    """The distinct pairs (a, b) whose texts reach the threshold, written."""
-    pairs = kept(pairs.distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = kept(docs.join(ids, "doc_id", "left_semi"), "texts")
+def verified(pairs: DataFrame, texts: DataFrame, threshold_pct: int, k: int) -> DataFrame:
+    """The pairs (a, b) whose texts reach the threshold, written."""
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    links = kept(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-                 .mapInArrow(similar(threshold_pct, k), "a long, b long").distinct(), "links")
-    drop(pairs, texts)
-    return links
+    return kept(pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+                .mapInArrow(similar(threshold_pct, k), "a long, b long").distinct(), "links")
 
 
 def candidates(limit: float):
@@ -177,7 +172,8 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 85, k: int = 5, bands:
     spread = kept(own.select("node", F.explode("bands").alias("band")), "bands")
     crowd = spread.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
     bucket = kept(spread.join(crowd, "band"), "buckets")
-    texts = docs.where("doc_id IS NOT NULL")
+    # every node that shares a bucket, and so all texts that are read from here on
+    texts = kept(docs.join(bucket.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     links = verified(bucket.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")), texts, threshold_pct, k)
     drop(spread)
     labels = kept(components(links.unionByName(member.where("doc_id <> node").toDF("b", "a").select("a", "b"))), "labels")
@@ -192,16 +188,14 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 85, k: int = 5, bands:
         j = threshold_pct / 100
         limit = j - 6 * (j * (1 - j) / (bands * rows)) ** 0.5
         near = kept(tiles.groupBy("band", "one", "two").applyInArrow(candidates(limit), "band long, one int, two int, node long, component long"), "near")
-        ids = near.select(F.col("node").alias("doc_id")).distinct()
-        read = kept(texts.join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"), "texts")
-        more = kept(near.join(read, "node").groupBy("band", "one", "two").applyInArrow(confirmed(threshold_pct, k), "a long, b long").distinct(), "links")
-        drop(near, read)
+        more = kept(near.join(texts.withColumnRenamed("doc_id", "node"), "node").groupBy("band", "one", "two").applyInArrow(confirmed(threshold_pct, k), "a long, b long").distinct(), "links")
+        drop(near)
         if more.head(1):
             before = labels
             labels = kept(components(before.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "labels")
             drop(before)
         drop(more)
-    drop(left, bucket, links)
+    drop(left, bucket, links, texts)
     return (made.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
