@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int
     width = 4
     x = np.array(made.column("vector").to_pylist(), float).reshape(made.num_rows, len(MARGINS), width)
     y = made.column("y").to_numpy().astype(float)
-    order = np.lexsort((*x.reshape(len(x), -1).T, y))  # the order of arrival must not change the fit
+    order = np.lexsort((*x.reshape(len(x), len(MARGINS) * width).T, y))  # the order of arrival must not change the fit
     x, y = x[order], y[order]
     fits = [(m, Network(x[:, i], y, hidden=6)) for i, m in enumerate(MARGINS)]
     margin, network = min(fits, key=lambda f: np.mean((f[1].score(x[:, MARGINS.index(f[0])]) - y) ** 2) if len(y) else 0)
