@@ -1,7 +1,8 @@
 """Per-key event sequences that stay balanced when one key holds a large share of all rows.
 
-Rows are windowed by (key, hour); what crosses the hour is carried by a summary with a few rows per key and hour, so
-the per-key windows below never see the rows themselves.
+Sessions need no window over rows: events of one key in one slot as wide as the idle time always belong together, so a
+partial aggregate per (key, slot) comes first and the per-key windows see a row per slot. Runs of failures are counted in
+one distributed order of all rows, cut by rows and not by keys; a summary with one row per partition carries the rest.
 """
 
 from __future__ import annotations
@@ -9,32 +10,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabularium.functions.dates import seconds_between
+from tabularium.operators import ordering
 
 
-def _hour(moment: str) -> Column:
-    return F.floor(F.unix_micros(F.col(moment).cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def sessions(df: DataFrame, key: str, moment: str, idle_seconds: int = 7200) -> DataFrame:
-    """``(key, session_start, session_end, events)``: a gap of at least ``idle_seconds`` starts a new session."""
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    gap = idle_seconds * 1_000_000
-    sliced = df.select(key, moment, _hour(moment).alias("_hour"))
-    inside = W.partitionBy(key, "_hour").orderBy(moment)
-    step = micros(moment) - F.lag(micros(moment)).over(inside)
-    flagged = sliced.withColumn("_new", F.when(step < gap, 0).otherwise(1))
-    runs = (flagged.withColumn("_run", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
-            .groupBy(key, "_hour", "_run")
-            .agg(F.min(moment).alias("_from"), F.max(moment).alias("_to"), F.count(F.lit(1)).alias("_n")))
-    # an hour holds at most 3600 / idle_seconds + 1 runs of a key, whatever its number of rows
-    per_key = W.partitionBy(key).orderBy("_from")
-    apart = micros("_from") - F.lag(micros("_to")).over(per_key)
-    joined = runs.withColumn("_new", F.when(apart < gap, 0).otherwise(1))
-    numbered = joined.withColumn("_session", F.sum("_new").over(per_key.rowsBetween(W.unboundedPreceding, W.currentRow)))
+def session_runs(df: DataFrame, key: str, moment: str, idle_seconds: int = 7200) -> DataFrame:
+    """``(key, slot, first, last, n)``: the events of each key in each time slot as wide as the idle time, which cannot be
+    apart by that much. Runs of parts of the rows can be put together again by :func:`joined_runs`."""
+    slot = F.floor(_micros(moment) / F.lit(idle_seconds * 1_000_000)).cast("bigint")
+    return df.filter(F.col(moment).isNotNull()).groupBy(key, slot.alias("slot")).agg(
+        F.min(moment).alias("first"), F.max(moment).alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def joined_runs(runs: DataFrame, key: str, idle_seconds: int = 7200) -> DataFrame:
+    """``(key, session_start, session_end, events)`` from runs; a gap of at least ``idle_seconds`` starts a new session."""
+    whole = runs.groupBy(key, "slot").agg(F.min("first").alias("_from"), F.max("last").alias("_to"), F.sum("n").alias("_n"))
+    per_key = W.partitionBy(key).orderBy("slot")
+    apart = _micros("_from") - F.lag(_micros("_to")).over(per_key)
+    flagged = whole.withColumn("_new", F.when(apart < idle_seconds * 1_000_000, 0).otherwise(1))
+    numbered = flagged.withColumn("_session", F.sum("_new").over(per_key.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return numbered.groupBy(key, "_session").agg(
         F.min("_from").alias("session_start"), F.max("_to").alias("session_end"), F.sum("_n").alias("events")).drop("_session")
 
 
+def sessions(df: DataFrame, key: str, moment: str, idle_seconds: int = 7200) -> DataFrame:
+    """``(key, session_start, session_end, events)``: a gap of at least ``idle_seconds`` starts a new session."""
+    return joined_runs(session_runs(df, key, moment, idle_seconds), key, idle_seconds)
+
+
+def paired_sessions(df: DataFrame, key: str, moment: str, tie: str, opens: Column, closes: Column, now: Column) -> DataFrame:
+    """``(key, status, ts, ended, duration_seconds)``: each opening event with the first closing event of its key before the
+    next opening; without one the session is still open if it is the key's last, and lasts until ``now``, else it was lost.
+
+    Only opening and closing events are windowed; a row is written once however many other events a key has.
+    """
+    marks = df.filter(opens | closes).withColumn("_open", F.coalesce(opens, F.lit(False)))
+    order = W.partitionBy(key).orderBy(moment, tie)
+    # the next mark decides: a closing one ends the session, an opening one means that it was lost
+    paired = (marks.withColumn("_next_open", F.lead("_open").over(order)).withColumn("_next", F.lead(moment).over(order))
+                   .filter("_open"))
+    status = F.when(F.col("_next_open").isNull(), "active").when(F.col("_next_open"), "lost").otherwise("completed")
+    ended = F.when(status == "completed", F.col("_next"))
+    length = F.when(status == "active", seconds_between(moment, now)).when(status == "completed", seconds_between(moment, F.col("_next")))
+    return paired.select(key, status.alias("status"), F.col(moment).alias("ts"), ended.alias("ended"), length.alias("duration_seconds"))
+
+
 def session_rows(found: DataFrame, key: str, now: Column, idle_seconds: int = 7200) -> DataFrame:
     """Log rows of sessions: active while ``now`` is less than the idle time after the last event."""
     quiet = seconds_between("session_end", now)
@@ -49,23 +72,29 @@ def session_rows(found: DataFrame, key: str, now: Column, idle_seconds: int = 72
 
 def failure_runs(df: DataFrame, key: str, moment: str, tie: str, failed: Column) -> DataFrame:
     """Add ``run``: failures in a row up to this row (0 after a success), ordered by moment and tie."""
-    sliced = df.withColumn("_hour", _hour(moment)).withColumn("_fail", F.when(failed, 1).otherwise(0))
-    order = W.partitionBy(key, "_hour").orderBy(moment, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-    grouped = sliced.withColumn("_resets", F.sum(1 - F.col("_fail")).over(order))
-    since = W.partitionBy(key, "_hour", "_resets").orderBy(moment, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = grouped.withColumn("_inside", F.sum("_fail").over(since))
-    last = F.max_by("_inside", F.struct(moment, tie))
-    per_hour = counted.groupBy(key, "_hour").agg(last.alias("_trailing"), F.max("_resets").alias("_had"))
-    by_hour = W.partitionBy(key).orderBy("_hour")
-    upto = by_hour.rowsBetween(W.unboundedPreceding, W.currentRow)
-    blocks = per_hour.withColumn("_block", F.sum(F.when(F.col("_had") > 0, 1).otherwise(0)).over(upto))
-    at_end = blocks.withColumn("_at_end", F.sum("_trailing").over(
-        W.partitionBy(key, "_block").orderBy("_hour").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    carried = at_end.select(key, "_hour", F.coalesce(F.lag("_at_end").over(by_hour), F.lit(0)).alias("_carried"))
-    out = counted.join(carried, [key, "_hour"])
-    run = F.col("_inside") + F.when(F.col("_resets") == 0, F.col("_carried")).otherwise(F.lit(0))
-    return out.withColumn("run", F.when(F.col("_fail") == 1, run).otherwise(F.lit(0)).cast("bigint")).drop(
-        "_hour", "_fail", "_resets", "_inside", "_carried")
+    slots = ordering.ordered_slots(df.withColumn("_fail", F.coalesce(failed, F.lit(False))), [key, moment, tie])
+    order = W.partitionBy("_part").orderBy("_place")
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    turned = ~F.col(key).eqNullSafe(F.lag(key).over(order)) & (F.col("_place") > 0)
+    # a block ends at a success (which lies in the block that it begins) or where the key changes
+    blocks = (slots.withColumn("_ends", F.when(~F.col("_fail") | turned, 1).otherwise(0))
+                   .withColumn("_block", F.sum("_ends").over(upto))
+                   .withColumn("_inside", F.sum(F.col("_fail").cast("long")).over(
+                       W.partitionBy("_part", "_block").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow))))
+    per_part = blocks.groupBy("_part").agg(
+        F.min_by(key, "_place").alias("_first"), F.max_by(key, "_place").alias("_last"), F.max_by("_inside", "_place").alias("_trailing"),
+        (F.max("_block") == 0).alias("_whole"))
+    by_part = W.orderBy("_part")  # one row per partition
+    joins = F.coalesce(F.col("_first").eqNullSafe(F.lag("_last").over(by_part)), F.lit(False))
+    chains = (per_part.withColumn("_joins", joins)
+              .withColumn("_chain", F.sum(F.when(F.col("_joins") & F.col("_whole"), 0).otherwise(1)).over(by_part.rowsBetween(W.unboundedPreceding, W.currentRow))))
+    # what a partition hands on: its own trailing run, plus those before it while partitions are wholly one key's failures
+    at_end = chains.withColumn("_at_end", F.sum("_trailing").over(
+        W.partitionBy("_chain").orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    carried = at_end.select("_part", F.when(F.col("_joins"), F.coalesce(F.lag("_at_end").over(by_part), F.lit(0))).otherwise(F.lit(0)).alias("_carried"))
+    run = F.col("_inside") + F.when(F.col("_block") == 0, F.col("_carried")).otherwise(F.lit(0))
+    return blocks.join(F.broadcast(carried), "_part").withColumn("run", F.when(F.col("_fail"), run).otherwise(F.lit(0)).cast("bigint")).drop(
+        "_part", "_place", "_fail", "_ends", "_block", "_inside", "_carried")
 
 
 def last_rows(df: DataFrame, key: str, order: list, n: int) -> DataFrame:

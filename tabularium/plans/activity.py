@@ -315,17 +315,15 @@ def stream_ingest_counts(t):
 FROM events GROUP BY 1, 2 HAVING count(*) >= 2""")
 def stream_rate_limit(t):
     hits = windows.busy_windows(run.table_stream(t, "events"), "user_id", "ts", "1 hour")
-    final = run.drain_updates(hits, "rate", ["user_id", "window_start"])
-    return final.filter("hits >= 2").withColumn("window_start", stamp("window_start"))
+    return hits.filter("hits >= 2").withColumn("window_start", stamp("window_start"))
 
 
 @query("stream_sessions", f"""WITH {SESSIONS_SQL} SELECT user_id, strftime(session_start, '{STAMP}') AS session_start,
-  strftime(session_end, '{STAMP}') AS session_end, events FROM sessions
-WHERE session_end + INTERVAL 120 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+  strftime(session_end, '{STAMP}') AS session_end, CAST(events AS BIGINT) AS events FROM sessions""")
 def stream_sessions(t):
-    """Closed sessions only: append mode emits a session when the watermark passes its end."""
-    closed = run.drain(windows.idle_sessions(run.table_stream(t, "events"), "user_id", "ts"), "sessions")
-    return closed.select("user_id", stamp("session_start").alias("session_start"), stamp("session_end").alias("session_end"), "events")
+    """All sessions; those still open end with their last event so far."""
+    found = windows.idle_sessions(run.table_stream(t, "events"), "user_id", "ts")
+    return found.select("user_id", stamp("session_start").alias("session_start"), stamp("session_end").alias("session_end"), "events")
 
 
 @query("stream_dedup", "SELECT count(*) AS events, count(DISTINCT user_id) AS users FROM events")
@@ -333,12 +331,23 @@ def stream_dedup(t):
     """Every event delivered twice, kept once."""
     feed = run.table_stream(t, "events").select("event_id", "user_id", "ts")
     twice = feed.union(run.table_stream(t, "events").select("event_id", "user_id", "ts"))
-    kept = run.drain(windows.once(twice, ["event_id"], "ts"), "once")
+    kept = windows.once(twice, ["event_id"], "ts")
     return kept.agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))
 
 
-@query("lockout_state")
+@query("lockout_state", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'error' AS failed,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+s AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS event_id, 0 AS failures, CAST(-9000000000000000000 AS BIGINT) AS until, false AS locked
+  FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT e.user_id, e.r, e.event_id,
+    CASE WHEN e.us < s.until THEN s.failures WHEN e.failed THEN s.failures + 1 ELSE 0 END,
+    CASE WHEN e.us >= s.until AND e.failed AND s.failures + 1 >= 3 THEN e.us + 300000000 ELSE s.until END,
+    e.us >= s.until AND e.failed AND s.failures + 1 >= 3
+  FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)
+SELECT user_id, event_id, failures, strftime(make_timestamp(until), '{STAMP}') AS locked_until FROM s WHERE locked""")
 def lockout_state(t):
-    """Locks of the state machine. No SQL: whether a failure counts depends on the locks before it."""
-    feed = run.table_stream(t, "events", 1 << 30).select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
-    return run.drain_updates(lockout.lockouts(feed), "lockout").withColumn("locked_until", stamp("locked_until"))
+    """Locks of the state machine."""
+    feed = run.table_stream(t, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    return lockout.lockouts(feed).withColumn("locked_until", stamp("locked_until"))

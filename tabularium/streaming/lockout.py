@@ -4,44 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from tabularium.streaming.run import drain_parts
 
 # Failures before a lock, and its length.
 FAILURES, LOCK_SECONDS = 3, 300
 
 OUTPUT = "user_id long, event_id long, failures int, locked_until timestamp_ntz"
-STATE = "failures int, locked_until_us long"
 
 
 def lockouts(stream: DataFrame, failures: int = FAILURES, lock_seconds: int = LOCK_SECONDS) -> DataFrame:
     """``stream``: (user_id, event_id, ts, failed). One row per lock.
 
     While a key is locked its attempts are refused: they neither count nor reset. A success resets the count, a
-    failure at or above the limit locks (again). State per key is two numbers; a micro-batch brings a bounded
-    number of rows per key, which are put in event order first.
+    failure at or above the limit locks (again). Whether a failure counts depends on all earlier attempts, so the
+    machine runs in event order over everything that has arrived, whatever micro-batch it came in. Keys are sorted
+    inside tasks and stream through; the machine holds two numbers, whatever the size of a key.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, until = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        at = rows["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
-        for event, us, failed in zip(rows["event_id"], at, rows["failed"]):
-            if us < until:
-                continue
-            if not failed:
-                count = 0
-                continue
-            count += 1
-            if count >= failures:
-                until = us + lock_seconds * 1_000_000
-                out.append((key[0], event, count, pd.Timestamp(until, unit="us")))
-        state.update((int(count), int(until)))
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "failures", "locked_until"]).astype(
-                {"user_id": "int64", "event_id": "int64", "failures": "int32", "locked_until": "datetime64[us]"})
-
-    return stream.groupBy("user_id").applyInPandasWithState(
-        step, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    stored = drain_parts(stream.select("user_id", "event_id", "ts", "failed"), lambda batch: batch, "attempts")
+    ordered = (stored.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "failed")
+                     .repartition("user_id").sortWithinPartitions("user_id", "us", "event_id"))
+    return (ordered.mapInArrow(machine(failures, lock_seconds), "user_id long, event_id long, failures int, until long")
+                   .select("user_id", "event_id", "failures", F.timestamp_micros("until").cast("timestamp_ntz").alias("locked_until")))
+
+
+def machine(failures: int, lock_seconds: int):
+    """Task function over attempts in (key, time) order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, count, until = None, 0, 0
+        for batch in batches:
+            out = []
+            for key, event, us, failed in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != user:
+                    user, count, until = key, 0, np.iinfo(np.int64).min
+                if us < until:
+                    continue
+                count = count + 1 if failed else 0
+                if count >= failures:
+                    until = us + lock_seconds * 1_000_000
+                    out.append((key, event, count, until))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)],
+                                             names=["user_id", "event_id", "failures", "until"])
+
+    return run

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 
 from tabularium.session import scratch_path
 from tabularium.tables import Tables
 
 
 def table_stream(t: Tables, name: str, batch_bytes: int = 64 << 30) -> DataFrame:
-    """The Parquet table as a stream with the table's own schema, at most ``batch_bytes`` of files per micro-batch."""
+    """The Parquet table as a stream with the table's own schema, at most ``batch_bytes`` of files per micro-batch.
+
+    The results of the operators do not depend on how files fall into micro-batches.
+    """
     schema = getattr(t, name).schema
     pattern = f"{t.folder}/{name}.[p]arquet"  # as a pattern the table may be one file or a folder of files
     return t.spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(pattern)
@@ -24,25 +29,22 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def drain_updates(stream: DataFrame, label: str, keys: list[str] | None = None) -> DataFrame:
-    """Write every micro-batch's changed rows under its batch number; with keys, the newest row per key wins.
+def drain_parts(stream: DataFrame, part: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """Write ``part(micro-batch)`` under the batch's number, and read the parts of all batches back.
 
     A batch that is run again overwrites its own folder, so a restart does not double rows.
     """
     spark = stream.sparkSession
     path = scratch_path(spark, label)
+    schema = part(spark.createDataFrame([], stream.schema)).schema
 
     def keep(batch: DataFrame, number: int):
-        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        part(batch).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
+    spark.createDataFrame([], schema).write.parquet(f"{path}/data/batch=-1")
     (stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint")
-           .outputMode("update").trigger(availableNow=True).start().awaitTermination())
-    rows = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
-    if keys is None:
-        return rows.drop("batch")
-    rest = [c for c in stream.columns if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_row"))
-    return newest.select(*keys, "_row.*").select(*stream.columns)
+           .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.option("basePath", f"{path}/data").schema(schema).parquet(f"{path}/data")
 
 
 def append_log(df: DataFrame, path: str) -> None:

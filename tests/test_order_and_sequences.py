@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import Window as W, functions as F
 
@@ -102,7 +104,29 @@ def test_empty_frames_have_no_positions(spark):
     assert ordering.fill_along(empty, "x", ["id"]).count() == 0
 
 
-def test_hot_session_key_is_sliced(clicks):
-    """No window before the per-hour summary partitions by the key alone."""
-    plan = sequences.sessions(clicks, "user_id", "ts")._jdf.queryExecution().optimizedPlan().toString()
-    assert "[user_id" in plan and "_hour" in plan
+def test_sessions_see_a_row_per_slot_only(clicks):
+    """The rows of a key are summed per time slot before any window, below the shuffle."""
+    runs = sequences.session_runs(clicks, "user_id", "ts")
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_a_hot_key_and_hour_is_split(spark, monkeypatch):
+    """Nine of ten rows in one key and hour: runs of failures go on across many small partitions."""
+    monkeypatch.setattr(ordering, "_PART_ROWS", 300)
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        hot = rng.random() < 0.9
+        moment = dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(3600) if hot else rng.randrange(10**6))
+        rows.append((i, 1 if hot else rng.randrange(2, 9), moment, rng.random() < 0.995))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, bad boolean")
+    assert ordering.ordered_slots(df, ["user_id", "ts", "event_id"]).select("_part").distinct().count() >= 15
+    want, state = {}, {}
+    for event, user, _, bad in sorted(rows, key=lambda r: (r[2], r[0])):
+        state[user] = state.get(user, 0) + 1 if bad else 0
+        want[event] = state[user]
+    got = {r["event_id"]: r["run"] for r in sequences.failure_runs(df, "user_id", "ts", "event_id", F.col("bad")).collect()}
+    assert got == want and max(want.values()) > 600
+    found = {(r["user_id"], r["session_start"], r["session_end"], r["events"]) for r in sequences.sessions(df, "user_id", "ts").collect()}
+    assert found == plain_sessions(df, 7200)

@@ -10,20 +10,23 @@ from tabularium.streaming import lockout, run, windows
 from tabularium.tables import Tables
 
 
-def make_events(spark, path, parts=3):
-    """Attempts in time order, one file per part; user 1 has most of them."""
+def make_events(spark, path, parts=6):
+    """Attempts, one file per part in no order of time; user 1 has most of them, many in one hour."""
     rng = random.Random(11)
     start, rows = dt.datetime(2024, 1, 1), []
     for i in range(900):
         start += dt.timedelta(seconds=rng.choice([1, 20, 70, 400, 9000]))
         rows.append((i, start, 1 if rng.random() < 0.6 else rng.randint(2, 5), "error" if rng.random() < 0.6 else "view", 1.0, "{}"))
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    step = len(rows) // parts
+    shuffled = rng.sample(rows, len(rows))
     for p in range(parts):
-        spark.createDataFrame(rows[p * step:(p + 1) * step], schema).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+        spark.createDataFrame(shuffled[p::parts], schema).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
     return rows
 
 
+BATCHES = (1, 64 << 30)  # one file per micro-batch, and everything in one
+
+
 def test_lockouts_match_a_plain_loop(spark, tmp_path):
     rows = make_events(spark, tmp_path)
     want, count, until = set(), {}, {}
@@ -35,23 +38,39 @@ def test_lockouts_match_a_plain_loop(spark, tmp_path):
             until[user] = ts + dt.timedelta(minutes=5)
             want.add((user, event, count[user], until[user]))
     t = Tables(spark, str(tmp_path))
-    for batch_bytes in (1, 1 << 30):  # one file per micro-batch, and everything in one
+    for batch_bytes in BATCHES:
         feed = run.table_stream(t, "events", batch_bytes).select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
-        got = run.drain_updates(lockout.lockouts(feed), "lock").collect()
+        got = lockout.lockouts(feed).collect()
         assert {(r["user_id"], r["event_id"], r["failures"], r["locked_until"]) for r in got} == want and want
 
 
 def test_windows_equal_batch(spark, tmp_path):
     make_events(spark, tmp_path)
     t = Tables(spark, str(tmp_path))
-    hits = windows.busy_windows(run.table_stream(t, "events", 1), "user_id", "ts", "10 minutes")
-    stream = run.drain_updates(hits, "hits", ["user_id", "window_start"]).filter("hits >= 2")
-    batch = sequences.busy_windows(t.events, "user_id", "ts", "10 minutes", 2)
-    assert {tuple(r) for r in stream.collect()} == {tuple(r) for r in batch.collect()}
+    batch = {tuple(r) for r in sequences.busy_windows(t.events, "user_id", "ts", "10 minutes", 1).collect()}
+    for batch_bytes in BATCHES:
+        assert {tuple(r) for r in windows.busy_windows(run.table_stream(t, "events", batch_bytes), "user_id", "ts", "10 minutes").collect()} == batch
+
+
+def test_sessions_equal_batch_and_a_plain_loop(spark, tmp_path):
+    rows = make_events(spark, tmp_path)
+    want, last = {}, {}
+    for _, ts, user, _, _, _ in rows:
+        if user not in last or ts - last[user][1] >= dt.timedelta(hours=2):
+            last[user] = [ts, ts, 0]
+            want.setdefault(user, []).append(last[user])
+        last[user][1] = ts
+        last[user][2] += 1
+    want = {(u, *s) for u, found in want.items() for s in found}
+    t = Tables(spark, str(tmp_path))
+    assert {tuple(r) for r in sequences.sessions(t.events, "user_id", "ts").collect()} == want
+    for batch_bytes in BATCHES:
+        assert {tuple(r) for r in windows.idle_sessions(run.table_stream(t, "events", batch_bytes), "user_id", "ts").collect()} == want
 
 
 def test_repeats_are_dropped(spark, tmp_path):
     rows = make_events(spark, tmp_path)
     t = Tables(spark, str(tmp_path))
-    twice = run.table_stream(t, "events").union(run.table_stream(t, "events"))
-    assert run.drain(windows.once(twice, ["event_id"], "ts"), "once").count() == len(rows)
+    for batch_bytes in BATCHES:
+        twice = run.table_stream(t, "events", batch_bytes).union(run.table_stream(t, "events", batch_bytes))
+        assert windows.once(twice, ["event_id"], "ts").count() == len(rows)
