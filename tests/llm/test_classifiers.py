@@ -37,8 +37,8 @@ def test_teaching_is_bounded_and_leaves_the_held_out_part(spark):
 
 def test_network_is_calibrated():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(4000, 3))
-    y = (rng.random(4000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    x = rng.normal(size=(9000, 3))
+    y = (rng.random(9000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
     net = labelled.Network(x[:3000], y[:3000], hidden=6)
     p = net.score(x[3000:])
     for low in (0.0, 0.25, 0.5, 0.75):

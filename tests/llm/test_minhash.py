@@ -65,8 +65,8 @@ def test_chains_and_unlinked_near_copies_meet_in_tiles(spark):
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.9):
-        both, one = rng.integers(0, 1 << 63, 400), rng.integers(0, 1 << 63, 400)
         n = int(400 * (1 - share) / 2 / share)
+        both, one = rng.integers(0, 1 << 63, 400), rng.integers(0, 1 << 63, 2 * n)
         a, b = np.unique(np.r_[both, one[:n]]), np.unique(np.r_[both, one[n:2 * n]])
         sig = minhash.superminhash(np.r_[a, b].astype(np.uint64), np.array([0, len(a), len(a) + len(b)]), 256)
         assert (sig[0] == sig[1]).mean() == pytest.approx(len(both) / (len(both) + 2 * n), abs=0.12)

@@ -76,7 +76,8 @@ def test_neighbours_are_the_best_by_bm25():
 
 def test_related_documents_share_windows(spark):
     rng = np.random.default_rng(6)
-    topics = [[f"topic{t}word{i}" for i in range(30)] for t in range(20)]
+    whole = sorted(t[1:] for t in Tokenizer.from_file(PATH).get_vocab() if t[0] == "Ġ" and t[1:].isalpha() and t.isascii() is False and len(t) > 6)
+    topics = rng.choice(whole, (20, 30), replace=False)
     rows = [(i, " ".join(rng.choice(topics[i % 20], 40))) for i in range(200)]
     made = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 1024).collect()
     mates = defaultdict(set)
