@@ -27,6 +27,8 @@ from tabularium.llm.store import drop, kept
 
 BANDS, ROWS = 32, 8
 TILE = 512
+#: Of the filter that goes to every task: 2 MB.
+FILTER_BITS = 1 << 24
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -114,18 +116,22 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold_pct: int, k: int) ->
 
 
 def candidates(limit: float):
-    """The nodes of a tile that agree with one of another component on at least ``limit`` of the slots."""
+    """The nodes of a tile that agree with one of another component on at least ``limit`` of the slots and share no band before
+    this one with it, so that each pair counts in one bucket."""
     def compare(key, table):
         block, node, comp = (table.column(c).to_numpy() for c in ("block", "node", "component"))
         marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(node), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        band = int(np.argmax(bands[0] == key[0].as_py()))
         rows, cols = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
         some = np.zeros(len(node), bool)
         for i in rows:
             to = cols[comp[cols] != comp[i]]
             to = to[(marks[to] == marks[i]).mean(axis=1) >= limit]
+            to = to[~(bands[to, :band] == bands[i, :band]).any(axis=1)]
             some[to] = True
             some[i] |= len(to) > 0
-        return table.filter(pa.array(some)).drop_columns(["marks", "block"])
+        return table.filter(pa.array(some)).drop_columns(["marks", "bands", "block"])
     return compare
 
 
@@ -154,6 +160,30 @@ def confirmed(threshold_pct: int, k: int):
     return compare
 
 
+def maybe_in(ids: DataFrame, bits: int = FILTER_BITS):
+    """A Bloom filter over one long column, as a column function: false only for values that are not there.
+
+    Two bits are set per value in ``bits`` bits, whatever the number of values; more values only let more through. It keeps
+    most of the other rows' texts out of the shuffle of the join that decides.
+    """
+    place = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits))
+    value = F.col(ids.columns[0])
+    places = ids.select(F.explode(F.array(place(value, 1), place(value, 2))).alias("bit"))
+    one = F.expr("shiftleft(1L, CAST(pmod(bit, 64) AS INT))")
+    rows = places.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(one).alias("mask")).toArrow()
+    mask = np.zeros(bits // 64, np.int64)
+    mask[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
+    table = mask.view(np.uint64)
+
+    def test(first: pa.Array, second: pa.Array) -> pa.Array:
+        hit = np.ones(len(first), bool)
+        for at in (first.to_numpy(), second.to_numpy()):
+            hit &= (table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pa.array(hit, pa.bool_())
+
+    return lambda column: F.arrow_udf(test, "boolean")(place(F.col(column), 1), place(F.col(column), 2))
+
+
 def near_duplicates(docs: DataFrame, threshold_pct: int = 85, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (columns doc_id and text; others are not read).
 
@@ -173,7 +203,8 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 85, k: int = 5, bands:
     crowd = spread.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
     bucket = kept(spread.join(crowd, "band"), "buckets")
     # every node that shares a bucket, and so all texts that are read from here on
-    texts = kept(docs.join(bucket.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    crowded = kept(bucket.select(F.col("node").alias("doc_id")).distinct(), "crowded")
+    texts = kept(docs.where(maybe_in(crowded)("doc_id")).join(crowded, "doc_id", "left_semi"), "texts")
     links = verified(bucket.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")), texts, threshold_pct, k)
     drop(spread)
     labels = kept(components(links.unionByName(member.where("doc_id <> node").toDF("b", "a").select("a", "b"))), "labels")
@@ -182,9 +213,9 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 85, k: int = 5, bands:
     left = kept(named.join(left.select("band", "size"), "band").select("band", "node", "component", "size"), "left")
     if left.head(1):
         blocks = F.ceil(F.col("size") / TILE).cast("int")
-        marked = left.join(own.select("node", "marks"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        marked = left.join(own, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         tiles = marked.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-            "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component", "marks")
+            "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component", "marks", "bands")
         j = threshold_pct / 100
         limit = j - 6 * (j * (1 - j) / (bands * rows)) ** 0.5
         near = kept(tiles.groupBy("band", "one", "two").applyInArrow(candidates(limit), "band long, one int, two int, node long, component long"), "near")
@@ -195,7 +226,7 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 85, k: int = 5, bands:
             labels = kept(components(before.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "labels")
             drop(before)
         drop(more)
-    drop(left, bucket, links, texts)
+    drop(left, bucket, links, texts, crowded)
     return (made.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
