@@ -32,10 +32,14 @@ def counted(users: DataFrame, items: DataFrame, user_key: str, item_key: str, na
                  .withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint")))
 
 
-def matrix(grants: DataFrame, user: str, dataset: str, datasets: list[str]) -> DataFrame:
-    """``(user, dataset, granted)`` for every user group and each of a short list of datasets.
+def matrix(grants: DataFrame, user: str, datasets: DataFrame) -> DataFrame:
+    """``(user, dataset, granted)`` for every user of ``grants`` and every row of ``datasets`` (one column, also in grants).
 
-    A pivot fills the grid, so the two sides are never multiplied by a join.
+    Each user's grants become one map; each user then writes a row per dataset, all of which come as one scalar array. The
+    product of users and datasets is the result asked for; nothing is joined, and rows leave the task that holds the user.
     """
-    wide = grants.groupBy(user).pivot(dataset, datasets).agg(F.count(F.lit(1)))
-    return wide.unpivot([user], datasets, dataset, "n").select(user, dataset, (F.coalesce("n", F.lit(0)) > 0).alias("granted"))
+    dataset = datasets.columns[0]
+    every = datasets.agg(F.array_sort(F.collect_set(dataset))).scalar()
+    mine = grants.groupBy(user).agg(F.collect_set(dataset).alias("_mine"))
+    return (mine.withColumn(dataset, F.explode(every))
+                .select(user, dataset, F.array_contains("_mine", F.col(dataset)).alias("granted")))

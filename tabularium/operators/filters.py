@@ -77,8 +77,9 @@ def optional(df: DataFrame, equal: dict | None = None, contains: dict | None = N
 
 
 def last_days(df: DataFrame, moment: str, days: int) -> Column:
-    """Rows of the last ``days`` calendar days (1 to 30) before and including the newest row's day."""
-    days = min(30, max(1, days))
+    """Rows of the last ``days`` calendar days before and including the newest row's day."""
+    if days < 1:
+        raise ValueError("days must be at least 1")
     newest = df.agg(F.max(F.to_date(moment))).scalar()
     return F.to_date(moment) >= F.date_sub(newest, days - 1)
 

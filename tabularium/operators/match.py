@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tabularium.functions import text
 from tabularium.functions.nested import l2_normalise
@@ -42,10 +42,10 @@ ROLE_WORDS: dict[str, tuple[str, ...]] = {
 # Score from which a fuzzy match counts, and the shortest name tried.
 FUZZY_SCORE, FUZZY_LENGTH = 80.0, 4
 
-# Largest query side that is sent to every task, in values (tokens or vector entries); beyond it both sides are cut
-# into blocks and each pair of blocks is one group.
-BROADCAST_VALUES = 4_000_000
-_BLOCK_VALUES = 1_000_000
+# Largest query side that is sent to every task, in bytes of its tokens or vector entries; beyond it both sides are cut
+# into blocks of at most so many bytes, and each pair of blocks is one group.
+BROADCAST_BYTES = 32 << 20
+_BLOCK_BYTES = 8 << 20
 _CELLS = 4_000_000  # scores held by a task at one time
 
 
@@ -97,14 +97,23 @@ def match_names(df: DataFrame, column: str, words: dict[str, tuple[str, ...]] =
 SCORES = "query_id long, item_id long, score double"
 
 
-def best_k(queries: DataFrame, items: DataFrame, k: int, score: Callable, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+def _bytes(df: DataFrame) -> int:
+    """Bytes of all payloads: 8 per number, a token's UTF-8 length and 8 more per token."""
+    kind = df.schema["payload"].dataType.elementType
+    each = F.size("payload").cast("long") * 8
+    if isinstance(kind, T.StringType):
+        each = each + F.octet_length(F.array_join("payload", ""))
+    return df.agg(F.coalesce(F.sum(each + 8), F.lit(0))).first()[0]
+
+
+def best_k(queries: DataFrame, items: DataFrame, k: int, score: Callable, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(query_id, item_id, score, rank)``: exact top k items per query, the smaller item id on ties.
 
     Both frames are ``(id long, payload array)``. ``score(query payloads)`` prepares a block of queries and returns
     ``fn(flat item values, item lengths) -> matrix`` of doubles (NaN = no match). No pair is ever a row: a task
-    scores Arrow batches in numpy and emits at most k candidates per query. A query side within
-    ``broadcast_values`` goes to every task; a larger one is cut into blocks, and every (query block, item block)
-    pair is one bounded group.
+    scores Arrow batches in numpy and emits at most k candidates per query. A query side whose
+    bytes have been counted and lie within ``broadcast_bytes`` goes to every task; a larger one is cut into blocks, and every
+    (query block, item block) pair is one bounded group. The work is queries times items: meant for a stated set of queries.
     """
     import numpy as np
     import pyarrow as pa
@@ -145,8 +154,8 @@ def best_k(queries: DataFrame, items: DataFrame, k: int, score: Callable, broadc
                 pa.array(join([s for s, _ in best.values()], "float64"))]
 
     names = ["query_id", "item_id", "score"]
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("payload")), F.lit(0)).alias("values")).first()
-    if size["values"] <= broadcast_values:
+    size = _bytes(queries)
+    if size <= broadcast_bytes:
         rows = queries.collect()  # size checked above
         q_ids = np.array([r["id"] for r in rows], dtype="int64")
         payloads = [r["payload"] for r in rows]
@@ -161,9 +170,8 @@ def best_k(queries: DataFrame, items: DataFrame, k: int, score: Callable, broadc
 
         found = items.mapInArrow(scan, SCORES)
     else:
-        i_size = items.agg(F.coalesce(F.sum(F.size("payload")), F.lit(0)).alias("values")).first()
-        q_blocks = max(1, -(-size["values"] // _BLOCK_VALUES))
-        i_blocks = max(1, -(-i_size["values"] // _BLOCK_VALUES))
+        q_blocks = max(1, -(-size // _BLOCK_BYTES))
+        i_blocks = max(1, -(-_bytes(items) // _BLOCK_BYTES))
 
         def meet(q, i):
             best: dict = {}

@@ -111,13 +111,14 @@ def busy_windows(df: DataFrame, key: str, moment: str, width: str, at_least: int
 
 def daily_volume(df: DataFrame, moment: str, days: int = 7) -> DataFrame:
     """``(day, day_label, hits, normalized)`` for each of the last days, empty days as 0, largest day = 100."""
-    days = min(30, max(1, days))
+    if days < 1:
+        raise ValueError("days must be at least 1")
     newest = df.agg(F.max(F.to_date(moment)).alias("d"))
     anchor = newest.scalar()
     counted = df.filter(F.to_date(moment) >= F.date_sub(anchor, days - 1)).groupBy(F.to_date(moment).alias("day")).agg(
         F.count(F.lit(1)).alias("hits"))
     slots = newest.select(F.explode(F.sequence(F.date_sub("d", days - 1), F.col("d"))).alias("day"))
     full = slots.join(counted, "day", "left").select("day", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
-    most = F.greatest(F.lit(1), F.max("hits").over(W.partitionBy()))  # at most 30 rows
+    most = F.greatest(F.lit(1), F.max("hits").over(W.partitionBy()))  # one row per day asked for
     return full.select("day", F.date_format("day", "EEE").alias("day_label"), "hits",
                        F.floor(F.col("hits") * 100.0 / most + 0.5).cast("bigint").alias("normalized"))

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tabularium.operators import ordering
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
-# Up to this many rows the built-in exact percentile is used: its buffer holds one entry per distinct value.
-PERCENTILE_ROWS = 100_000
-_BINS = 1024
-
+# Accuracy of the quantile sketch: its ranks are off by a twenty-thousandth of the rows at most.
+ACCURACY = 20_000
 
 # Columns per aggregate: one huge aggregate over a wide table outgrows what the JVM compiles. Batches read different
 # columns, so every column is still read once.
@@ -43,99 +41,56 @@ def _value(name: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float],
-              percentile_rows: int = PERCENTILE_ROWS) -> dict[str, list[float | None]]:
-    """Exact quantiles with linear interpolation, a few numbers per column, for every column at once.
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation, a few numbers per column, for every column at once, in three scans.
 
-    Small frames use ``percentile``. Large ones count values per histogram bin and zoom into the bin that holds
-    each wanted rank until one value is left; a pass shuffles bin counts only, never the data.
+    The first scan's sketch brackets each wanted rank: the approximate quantiles a little to its left and right hold it
+    between them. The second counts the rows below each bracket, the third counts the values inside (a few ten-thousandths
+    of the rows), among which the ranks are picked in order. Values may be infinite and spread over any range. NaN is null.
     """
-    shape: dict[str, tuple] = {}
+    sketched: dict[str, tuple] = {}
+    slack = 4.0 / accuracy
+    edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)} | {0.0, 1.0})
     for part in in_batches(columns):
-        row = df.agg(*[f(_value(c)) for c in part for f in (F.count, F.min, F.max)]).first()
-        shape |= {c: (row[3 * i], row[3 * i + 1], row[3 * i + 2]) for i, c in enumerate(part)}
-    out: dict[str, list[float | None]] = {}
-    if max((n for n, _, _ in shape.values()), default=0) <= percentile_rows:
-        for part in in_batches(columns):
-            row = df.agg(*[F.percentile(_value(c), F.array(*[F.lit(float(p)) for p in probs])) for c in part]).first()
-            out |= {c: list(row[i] or [None] * len(probs)) for i, c in enumerate(part)}
-        return out
-
-    wanted: dict[tuple[str, int], tuple[float, float, int]] = {}
-    plan: dict[str, list[tuple[int, int, float]]] = {}
-    for c, (n, low, high) in shape.items():
-        plan[c] = []
-        for p in probs if n else []:
-            at = (n - 1) * p
-            below, above = math.floor(at), math.ceil(at)
-            plan[c].append((below, above, at - below))
-            for rank in (below, above):
-                wanted[(c, rank)] = (low, high, 0)
-    found = _select_ranks(df, wanted)
+        row = df.agg(*[f for c in part for f in (F.count(_value(c)), F.min(_value(c)), F.max(_value(c)),
+                                                 F.percentile_approx(_value(c), F.array(*[F.lit(e) for e in edges]), accuracy))]).first()
+        sketched |= {c: tuple(row[4 * i:4 * i + 4]) for i, c in enumerate(part)}
+    out = {c: [None] * len(probs) for c in columns}
+    brackets = []  # (column, place of the probability, lower and upper edge)
     for c in columns:
-        out[c] = [found[(c, a)] + (found[(c, b)] - found[(c, a)]) * w for a, b, w in plan[c]] or [None] * len(probs)
+        n, least, most, at = sketched[c]
+        for k, p in enumerate(probs if n else []):
+            low, high = (at[edges.index(min(1.0, max(0.0, p + d)))] for d in (-slack, slack))
+            brackets.append((c, k, least if p <= slack else low, most if p >= 1 - slack else high))
+    ranks = lambda c, k: (math.floor((sketched[c][0] - 1) * probs[k]), math.ceil((sketched[c][0] - 1) * probs[k]))
+    found: dict[tuple[str, int], dict[int, float]] = {}
+    for wide in (False, True):  # a sketch that misses its bound would be widened to the whole range; none has been seen to
+        todo = [(c, k, *((sketched[c][1], sketched[c][2]) if wide else (lo, hi))) for c, k, lo, hi in brackets if (c, k) not in found]
+        for part in in_batches(todo, COLUMNS_PER_PASS):
+            found |= _pick_ranks(df, [(c, lo, hi, ranks(c, k)) for c, k, lo, hi in part], [(c, k) for c, k, _, _ in part])
+    for c, k, _, _ in brackets:
+        at = (sketched[c][0] - 1) * probs[k]
+        a, b, w = found[c, k][math.floor(at)], found[c, k][math.ceil(at)], at - math.floor(at)
+        finite = math.isfinite(a) and math.isfinite(b)
+        out[c][k] = a if a == b or not w else a + (b - a) * w if finite else a * (1 - w) + b * w
     return out
 
 
-def _select_ranks(df: DataFrame, wanted: dict) -> dict:
-    """Value at each (column, rank), by repeated histograms over the bracket that still holds the rank."""
-    found: dict = {}
-    while True:
-        for key, (lo, hi, _) in list(wanted.items()):
-            if lo == hi:
-                found[key] = lo
-                del wanted[key]
-        if not wanted:
-            return found
-        brackets = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in wanted.items()})
-        names = sorted({c for c, _, _ in brackets})
-        counted = df.select(*[_value(c).alias(f"v{i}") for i, c in enumerate(names)]).mapInArrow(
-            _histograms([(names.index(c), lo, hi) for c, lo, hi in brackets]),
-            "bracket int, bin int, n long, lo double, hi double")
-        bins = (counted.groupBy("bracket", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-                       .orderBy("bracket", "bin").collect())  # at most _BINS rows per wanted rank
-        for key, (lo, hi, before) in list(wanted.items()):
-            number = brackets.index((key[0], lo, hi))
-            for b in bins:
-                if b["bracket"] != number:
-                    continue
-                if key[1] < before + b["n"]:
-                    wanted[key] = (b["lo"], b["hi"], before)
-                    break
-                before += b["n"]
-
-
-def _histograms(brackets: list[tuple[int, float, float]]):
-    """Task function: per bracket and bin the count, smallest and largest value, emitted once per task."""
-
-    def scan(batches):
-        import numpy as np
-        import pyarrow as pa
-        n = np.zeros((len(brackets), _BINS), dtype="int64")
-        low, high = np.full(n.shape, np.inf), np.full(n.shape, -np.inf)
-        for batch in batches:
-            for number, (column, lo, hi) in enumerate(brackets):
-                v = batch.column(column).to_numpy(zero_copy_only=False)
-                v = v[(v >= lo) & (v <= hi)]
-                if not len(v):
-                    continue
-                # halves where the width would overflow; every step is monotone, so bins are in value order
-                part = 1.0 if np.isfinite(hi - lo) else 0.5
-                place = ((v * part - lo * part) / (hi * part - lo * part) * _BINS).astype("int16")
-                np.minimum(place, _BINS - 1, out=place)
-                order = np.argsort(place, kind="stable")
-                v, place = v[order], place[order]
-                starts = np.flatnonzero(np.diff(place, prepend=-1))
-                at = place[starts]
-                n[number, at] += np.diff(starts, append=len(v))
-                low[number, at] = np.minimum(low[number, at], np.minimum.reduceat(v, starts))
-                high[number, at] = np.maximum(high[number, at], np.maximum.reduceat(v, starts))
-        which, place = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(which.astype("int32")), pa.array(place.astype("int32")), pa.array(n[which, place]),
-             pa.array(low[which, place]), pa.array(high[which, place])], names=["bracket", "bin", "n", "lo", "hi"])
-
-    return scan
+def _pick_ranks(df: DataFrame, brackets: list[tuple], names: list[tuple]) -> dict:
+    """The values at the wanted ranks of each bracket (column, lower, upper, ranks), for brackets that hold them all."""
+    number = lambda x: F.lit(float(x))
+    below = df.agg(*[F.count_if(_value(c) < number(lo)) for c, lo, _, _ in brackets]).first()
+    inside = [F.struct(F.lit(i).alias("b"), _value(c).alias("v"), _value(c).between(number(lo), number(hi)).alias("ok")) for i, (c, lo, hi, _) in enumerate(brackets)]
+    held = (df.select(F.explode(F.filter(F.array(*inside), lambda s: s["ok"])).alias("s")).groupBy("s.b", "s.v").agg(F.count(F.lit(1)).alias("n")))
+    upto = W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    base = F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in below]), F.col("b") + 1)
+    spans = held.withColumn("to", base + F.sum("n").over(upto)).withColumn("from", F.col("to") - F.col("n"))
+    wanted = F.element_at(F.array(*[F.array(*[F.lit(r).cast("long") for r in sorted(set(rs))]) for _, _, _, rs in brackets]), F.col("b") + 1)
+    hits = spans.select("b", "v", F.explode(wanted).alias("rank"), "from", "to").filter("rank >= `from` AND rank < `to`").collect()
+    got: dict = {}
+    for r in hits:  # at most two rows per bracket
+        got.setdefault(names[r["b"]], {})[r["rank"]] = r["v"]
+    return {name: got[name] for name, (_, _, _, rs) in zip(names, brackets) if name in got and set(rs) <= set(got[name])}
 
 
 def iqr_bounds(df: DataFrame, columns: list[str], **kw) -> dict[str, tuple[float, float]]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabularium.functions.numbers import r4
 from tabularium.operators import access, clean, filters, sequences, stats
 from tabularium.plans.registry import query
-from tabularium.session import short_list
+from tabularium.session import scratch_path
 from tabularium.streaming import lockout, run, windows
 
 PERMS_SQL = """perms AS (SELECT o_custkey AS user_id, l_partkey AS dataset_id, bool_or(l_returnflag <> 'R') AS can_view,
@@ -118,16 +118,14 @@ def dataset_assignments(t):
 
 
 @query("perm_matrix", """WITH g AS (SELECT DISTINCT c_nationkey, p_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49 AND l_returnflag = 'A')
+  JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)
 SELECT u.c_nationkey, d.p_type, g.p_type IS NOT NULL AS granted FROM (SELECT DISTINCT c_nationkey FROM g) u
 CROSS JOIN (SELECT DISTINCT p_type FROM part) d LEFT JOIN g ON g.c_nationkey = u.c_nationkey AND g.p_type = d.p_type""")
 def perm_matrix(t):
-    """Nation by part type, granted where the nation bought the type in bulk and kept it."""
-    bulk = t.lineitem.filter("l_quantity >= 49 and l_returnflag = 'A'")
-    lines = (bulk.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    """Nation by part type, granted where the nation has bought the type."""
+    lines = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
              .join(t.part, F.col("l_partkey") == F.col("p_partkey")))
-    types = [r[0] for r in short_list(t.part.select("p_type").distinct().orderBy("p_type"), 1000)]  # columns of the grid
-    return access.matrix(lines.select("c_nationkey", "p_type"), "c_nationkey", "p_type", types)
+    return access.matrix(lines.select("c_nationkey", "p_type").distinct(), "c_nationkey", t.part.select("p_type"))
 
 
 # ---- logs ----------------------------------------------------------------------------------------------
@@ -233,6 +231,31 @@ def session_durations(t):
     return _session_rows(t).withColumn("ts", stamp("ts"))
 
 
+@query("session_pairs", f"""WITH marks AS (SELECT user_id, event_id, ts, event_type = 'signup' AS opens,
+  lead(event_type = 'signup') OVER w AS next_opens, lead(ts) OVER w AS next_ts FROM events WHERE event_type IN ('signup', 'purchase')
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), now AS (SELECT max(ts) AS n FROM events)
+SELECT user_id, CASE WHEN next_opens IS NULL THEN 'active' WHEN next_opens THEN 'lost' ELSE 'completed' END AS status, strftime(ts, '{STAMP}') AS ts,
+  CASE WHEN NOT next_opens THEN strftime(next_ts, '{STAMP}') END AS ended,
+  CAST(floor(CASE WHEN next_opens IS NULL THEN epoch_us(n) - epoch_us(ts) WHEN NOT next_opens THEN epoch_us(next_ts) - epoch_us(ts) END / 1000000) AS BIGINT)
+  AS duration_seconds FROM marks, now WHERE opens""")
+def session_pairs(t):
+    """Sessions from pairs of an opening (signup) and a closing (purchase) event, as logins and logouts."""
+    now = t.events.agg(F.max("ts")).scalar()
+    found = sequences.paired_sessions(t.events, "user_id", "ts", "event_id", F.col("event_type") == "signup", F.col("event_type") == "purchase", now)
+    return found.withColumns({"ts": stamp("ts"), "ended": stamp("ended")})
+
+
+@query("audit_append", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def audit_append(t):
+    """Log rows appended in several writes, read back as one log."""
+    path = scratch_path(t.spark, "audit")
+    log = t.events.select("event_id", "user_id", "ts", "event_type")
+    for error in (True, False):
+        run.append_log(log.filter((F.col("event_type") == "error") == error), path)
+    stored = t.spark.read.schema(log.schema).parquet(path)
+    return stored.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+
+
 @query("log_with_sessions", f"""WITH {SESSION_ROWS_SQL} SELECT user_id, event_type, status, strftime(ts, '{STAMP}') AS ts, duration_seconds FROM session_rows
 UNION ALL SELECT user_id, event_type, {STATUS}, strftime(ts, '{STAMP}'), NULL FROM events""")
 def log_with_sessions(t):

@@ -10,9 +10,6 @@ from pyspark.errors import PySparkException
 
 from tabularium.operators import stats
 
-# Rows kept of a result, size up to which a result is shown as it is, and questions per plan.
-RESULT_ROWS, SMALL_ROWS, MAX_QUESTIONS = 50, 20, 4
-
 _READS = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
 
 
@@ -21,13 +18,14 @@ class Result:
     frame: DataFrame | None
     error: str | None = None
 
-    def facts(self) -> DataFrame:
-        """One row: true row count and whether the kept rows are cut off."""
-        return self.frame.agg(F.count(F.lit(1)).alias("total_rows")).withColumn(
-            "truncated", F.col("total_rows") > RESULT_ROWS)
+    def facts(self, most: int | None = None) -> DataFrame:
+        """One row: the row count, and whether ``most`` rows would not hold them all."""
+        cut = F.lit(False) if most is None else F.col("total_rows") > most
+        return self.frame.agg(F.count(F.lit(1)).alias("total_rows")).withColumn("truncated", cut)
 
-    def rows(self) -> DataFrame:
-        return self.frame.limit(RESULT_ROWS)
+    def rows(self, most: int | None = None, order: list | None = None) -> DataFrame:
+        """All rows, or the first ``most`` of them in the order of ``order`` (all columns unless given)."""
+        return self.frame if most is None else self.frame.orderBy(*(order or self.frame.columns)).limit(most)
 
 
 def run_sql(df: DataFrame, text: str) -> Result:
@@ -42,8 +40,8 @@ def run_sql(df: DataFrame, text: str) -> Result:
 
 
 def summary(result: Result) -> DataFrame:
-    """``(column_name, detail)``: min, max, mean, sum of numbers and the top 5 values of texts in the kept rows."""
-    kept = result.rows()
+    """``(column_name, detail)``: min, max, mean, sum of numbers and the top 5 values of texts of a result."""
+    kept = result.frame
     numeric, texts = stats.numeric_columns(kept), stats.string_columns(kept)
     two = lambda c: F.round(c.cast("double"), 2).cast("decimal(38,2)").cast("string")
     out = None
@@ -62,12 +60,13 @@ def summary(result: Result) -> DataFrame:
     return out
 
 
-def run_plan(df: DataFrame, questions: list[tuple[str, str]]) -> DataFrame:
-    """``(query_no, question, total_rows, truncated, error)`` for up to four queries."""
+def run_plan(df: DataFrame, questions: list[tuple[str, str]], most_questions: int | None = None, most_rows: int | None = None) -> DataFrame:
+    """``(query_no, question, total_rows, truncated, error)`` per query; beyond ``most_questions`` a row says that it was not run."""
     out = None
-    for number, (question, text) in enumerate(questions[:MAX_QUESTIONS], 1):
-        result = run_sql(df, text)
-        facts = result.facts() if result.error is None else df.sparkSession.range(1).select(
+    for number, (question, text) in enumerate(questions, 1):
+        late = most_questions is not None and number > most_questions
+        result = Result(None, f"not run: beyond {most_questions} questions") if late else run_sql(df, text)
+        facts = result.facts(most_rows) if result.error is None else df.sparkSession.range(1).select(
             F.lit(None).cast("bigint").alias("total_rows"), F.lit(None).cast("boolean").alias("truncated"))
         one = facts.select(F.lit(number).alias("query_no"), F.lit(question).alias("question"), "total_rows", "truncated",
                            F.lit(result.error).cast("string").alias("error"))

@@ -13,7 +13,7 @@ from tabularium.plans import adhoc, wizard
 from tabularium.plans.inputs import DIRTY_SQL, SALES_SQL, dirty_lineitem, sales_by_part, sales_wide
 from tabularium.plans.registry import query
 from tabularium.session import scratch_path
-from tabularium.sources import erp, files, pages, readers, sinks
+from tabularium.sources import files, pages, readers, sinks
 from tabularium.tables import TABLE_NAMES
 
 LINE_SCHEMA = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double, l_returnflag string, day date"
@@ -185,18 +185,19 @@ def src_preview(t):
     return files.preview(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"])
 
 
-@query("src_capped_rows", """SELECT count(*) AS total_rows, least(count(*), 10000) AS row_count_stored, count(*) > 10000 AS truncated FROM orders""")
+@query("src_capped_rows", """SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders) AS total_rows, (SELECT least(count(*), 10000) FROM orders) AS row_count_stored,
+  (SELECT count(*) > 10000 FROM orders) AS truncated FROM orders ORDER BY o_orderkey LIMIT 10000""")
 def src_capped_rows(t):
-    kept, facts = files.capped(t.orders)
-    return facts
+    """The preview store's first 10,000 rows; the cap is the feature."""
+    return files.capped(t.orders.select("o_orderkey", "o_custkey"), ["o_orderkey"], 10_000)
 
 
 @query("src_list_tables", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLE_NAMES))
 def src_list_tables(t):
     """Tables of the folder with their sizes; counts come from the file footers."""
     out = None
-    for name in TABLE_NAMES:
-        one = getattr(t, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+    for name in files.list_tables(t.spark, t.folder):
+        one = t.spark.read.parquet(t.path(name)).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -227,12 +228,6 @@ def src_magic_bytes(t):
         (F.count_if(F.col("looks_safe")) == F.count(F.lit(1))).alias("all_safe"))
 
 
-@query("gen_erp_sales")
-def gen_erp_sales(t):
-    """One wide sales row per order. No SQL: values are hash picks."""
-    return erp.sales_rows(t.orders, "o_orderkey", "o_orderdate")
-
-
 # ---- sinks ---------------------------------------------------------------------------------------------
 
 @query("snk_json_artifact", f"""WITH {SALES_SQL} SELECT product, round(sum(sales), 4) AS sales, round(sum(profit), 4) AS profit FROM sales_wide GROUP BY 1""")
@@ -320,9 +315,9 @@ UNION ALL SELECT 'Data Types', 2, 'Converted to standard format'""")
 def cleaning_report(t):
     steps = wizard.Wizard(dirty_lineitem(t))
     steps.apply("null_values")
-    before = steps.apply("duplicates")
-    converted = len(clean.cast_decisions(before))
+    steps.apply("duplicates")
     typed = steps.apply("data_types")
+    converted = len(steps.history[-1][3])  # as the step itself has decided
     found = stats.outlier_cells(typed).agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("n")).first()["n"]
     return wizard.report(steps.lineage(), found, converted)
 
@@ -404,4 +399,4 @@ def sql_multi_plan(t):
     wide = sales_wide(t, ["region", "customer", "sales"])
     return adhoc.run_plan(wide, [("sales by region", "SELECT region, sum(sales) AS s FROM dataset GROUP BY region"),
                                  ("sales by customer", "SELECT customer, sum(sales) AS s FROM dataset GROUP BY customer"),
-                                 ("remove everything", "DELETE FROM dataset")])
+                                 ("remove everything", "DELETE FROM dataset")], most_rows=50)

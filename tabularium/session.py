@@ -46,11 +46,3 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, never reused path below the shared scratch folder."""
     return f"{scratch_root(spark)}/tabularium/{label}-{uuid.uuid4().hex}"
-
-
-def short_list(df: DataFrame, most: int) -> list:
-    """All rows of a frame that must be short (names, categories); a longer one is an error, never cut."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows where a short list is needed")
-    return rows

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from tabularium.operators import filters, stats
 
@@ -21,77 +18,89 @@ def read_csv(spark: SparkSession, path: str, schema=None, encoding: str = "UTF-8
 
 
 def read_csv_text(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Every column as text; the encoding is probed unless given."""
-    encoding = encoding or probe_encoding(spark, path)
-    return spark.read.option("header", True).option("encoding", encoding).option("escape", '"').csv(path)
-
-
-def probe_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line does not decode as such; stops at the first bad line."""
-    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
-
-
-def _cells(line: str) -> list[str]:
-    return next(csv.reader(io.StringIO(line)), [])
-
-
-def header_row(lines: list[str]) -> int:
-    """Index of the line that most looks like a header: short non-numeric cells, well filled lines below."""
-    rows = [_cells(line) for line in lines[:SCAN_LINES]]
-    width = max((len(r) for r in rows), default=0)
-    if not width:
-        return 0
-
-    def number(cell: str) -> bool:
-        try:
-            float(cell.replace(",", "").strip())
-            return True
-        except ValueError:
-            return False
-
-    best, best_score = 0, -1.0
-    for i, row in enumerate(rows[:CANDIDATES]):
-        filled = [c for c in row if c != ""]
-        if not filled:
-            continue
-        names = sum(1 for c in filled if not number(c) and len(c) <= HEADER_CHARS)
-        below = rows[i + 1:]
-        full = sum(1 for r in below for c in r if c != "") / (len(below) * width) if below else 0.0
-        score = HEADER_WEIGHT * names / width + BELOW_WEIGHT * full
-        if score > best_score:
-            best, best_score = i, score
-    return best
-
-
-def read_csv_with_preamble(spark: SparkSession, path: str) -> DataFrame:
+    """Every column as text. Without an encoding, each cell is UTF-8 if its bytes are, and Latin-1 otherwise.
+
+    The file is read once, as Latin-1, which keeps every byte; cells that are UTF-8 are then decoded as such.
+    """
+    df = spark.read.option("header", True).option("encoding", encoding or "ISO-8859-1").option("escape", '"').csv(path)
+    if encoding:
+        return df
+    return df.select(*[utf8_or_latin(F.col(f"`{c}`")).alias(_utf8_name(c)) for c in df.columns])
+
+
+def utf8_or_latin(c: Column) -> Column:
+    """Text that was read as Latin-1, decoded as UTF-8 where its bytes allow it."""
+    return F.coalesce(F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string")), c)
+
+
+def _utf8_name(name: str) -> str:
+    try:
+        return name.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return name
+
+
+def _outside_quotes(line: Column) -> Column:
+    return F.regexp_replace(line, '"([^"]|"")*"', "")
+
+
+def header_line(spark: SparkSession, lines: list[str]) -> tuple[int, list[str]]:
+    """Place and cells of the line that most looks like a header.
+
+    A candidate's score weighs its share of short cells that are no numbers with how well the lines below are filled, both
+    over the widest line; the earliest of the best wins. A few lines go in, one row comes out.
+    """
+    head = spark.createDataFrame(list(enumerate(lines[:SCAN_LINES])), "at int, line string")
+    widths = head.select("*", F.size(F.split(_outside_quotes(F.col("line")), ",")).alias("cells"))
+    width = widths.agg(F.max("cells")).first()[0] or 1
+    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"escape": '"'})
+    filled = F.filter(F.array(*[F.col("r")[f"c{i}"] for i in range(width)]), lambda c: F.length(c) > 0)
+    name = lambda c: F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("double").isNull() & (F.length(c) <= HEADER_CHARS)
+    scored = widths.withColumn("r", fields).select(
+        "at", "r", F.size(filled).alias("full"), F.size(F.filter(filled, name)).alias("names"))
+    below = W.orderBy("at").rowsBetween(1, W.unboundedFollowing)  # SCAN_LINES rows
+    share = F.coalesce(F.sum("full").over(below) / (F.count("full").over(below) * width), F.lit(0.0))
+    ranked = scored.withColumn("score", HEADER_WEIGHT * F.col("names") / width + BELOW_WEIGHT * share)
+    best = ranked.filter((F.col("full") > 0) & (F.col("at") < CANDIDATES)).orderBy(F.desc("score"), "at").first()
+    if best is None:
+        return 0, []
+    cells = [best["r"][f"c{i}"] for i in range(width)]
+    return best["at"], cells
+
+
+def read_csv_with_preamble(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Text CSV whose header may follow some junk lines in the first file (by name).
 
-    Thirty lines are looked at to find the header. The lines above it are dropped by their place in the first block
-    of that file; all other lines are parsed where they are read. Quoted line breaks are not supported here.
+    Thirty lines are looked at to find the header; everything above it is dropped by its place in the first file. Lines are
+    parsed where they are read, and a quoted line break raises an error; with ``multi_line`` files are read whole, one
+    task each, and quoted line breaks are kept.
     """
     in_order = sorted(spark.read.text(path).inputFiles())
-    first, head = in_order[0], []
+    first, head = in_order[0].rsplit("/", 1)[-1], []
     for name in in_order[:SCAN_LINES]:
         head += [r["value"] for r in spark.read.text(name).limit(SCAN_LINES - len(head)).collect()]
         if len(head) == SCAN_LINES:
             break
-    at = header_row(head)
-    names = [c.strip().replace("`", "") or f"Unnamed: {i}" for i, c in enumerate(_cells(head[at]))]
+    at, cells = header_line(spark, head)
+    names = [(c or "").strip().replace("`", "") or f"Unnamed: {i}" for i, c in enumerate(cells)]
+    schema = ", ".join(f"`{n}` string" for n in names)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    lines = spark.read.text(path).select(
-        "value", (F.col("_metadata.file_name") == first.rsplit("/", 1)[-1]).alias("_first"), F.col("_metadata.file_block_start").alias("_start"),
-        place.alias("_place"))
-    lines = _by_first_block(lines, at)
-    parsed = lines.select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names)).alias("r"))
+    marks = [(F.col("_metadata.file_name") == first).alias("_first"), F.col("_metadata.file_block_start").alias("_start"), place.alias("_place")]
+    if multi_line:
+        rows = (spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv(path).select("*", *marks))
+        return _below_header(rows, at).select(*[f"`{n}`" for n in names])
+    lines = _below_header(spark.read.text(path).select("value", *marks), at).filter(F.length("value") > 0)
+    whole = F.assert_true(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 0,
+                          "a quoted line break: read the file with multi_line=True")
+    parsed = lines.select(F.when(whole.isNull(), F.from_csv("value", schema, {"escape": '"'})).alias("r"))
     return parsed.select("r.*")
 
 
-def _by_first_block(lines: DataFrame, at: int) -> DataFrame:
-    """Drop the lines up to the header: the smallest places of the first file's first block."""
+def _below_header(rows: DataFrame, at: int) -> DataFrame:
+    """Drop the rows up to the header: the smallest places of the first file's first block."""
     block = F.col("_first") & (F.col("_start") == 0)
-    start = lines.filter(block).agg(F.min("_place")).scalar()
-    return lines.filter(~block | (F.col("_place") - start > at)).filter(F.length("value") > 0)
+    start = rows.filter(block).agg(F.min("_place")).scalar()
+    return rows.filter(~block | (F.col("_place") - start > at))
 
 
 def sanitise(df: DataFrame) -> DataFrame:
@@ -120,12 +129,20 @@ def read_json_rows(spark: SparkSession, path: str, field: str | None = None, mul
     return df.select(F.explode(F.col(f"`{field}`")).alias("_r")).select("_r.*") if field else df
 
 
-def capped(df: DataFrame, cap: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """The first ``cap`` rows for a preview store, and one row saying how many there are and were kept."""
-    kept = F.least(F.col("total_rows"), F.lit(cap))
-    facts = df.agg(F.count(F.lit(1)).alias("total_rows")).select(
-        "total_rows", kept.alias("row_count_stored"), (F.col("total_rows") > cap).alias("truncated"))
-    return df.limit(cap), facts
+def capped(df: DataFrame, order: list, cap: int) -> DataFrame:
+    """The first ``cap`` rows in the order of ``order`` for a preview store, each with how many rows there are in all
+    (total_rows), how many were kept (row_count_stored) and whether that is fewer (truncated)."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.orderBy(*order).limit(cap).withColumns({
+        "total_rows": total, "row_count_stored": F.least(total, F.lit(cap)).cast("bigint"), "truncated": total > cap})
+
+
+def list_tables(spark: SparkSession, folder: str, suffix: str = ".parquet") -> list[str]:
+    """Names of the tables (files or folders ending in ``suffix``) of a folder, in the folder's own file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found]
+    return sorted(n.removesuffix(suffix) for n in names if n.endswith(suffix))
 
 
 def export_values(df: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabularium.session import short_list
 
 
 def records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -46,7 +45,7 @@ def typed_properties(spark: SparkSession, path: str, names: list[str] | None = N
     rows = spark.read.schema(TYPED_PAGE).json(path).select(F.explode("results").alias("r")).select("r.id", "r.properties")
     if names is None:
         found = rows.select(F.explode(F.map_keys("properties")).alias("name")).distinct().orderBy("name")
-        names = [r["name"] for r in short_list(found, 2000)]
+        names = [r["name"] for r in found.collect()]  # one per output column
     return rows.select("id", *[_plain_value(F.element_at("properties", F.lit(n))).alias(n) for n in names])
 
 

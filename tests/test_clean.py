@@ -88,18 +88,36 @@ def test_outliers(messy):
     assert clean.outliers(constant, "x", "zscore").select("x").distinct().collect()[0][0] == 2.0
 
 
-def test_quantiles_by_zoom_equal_percentile(spark):
+def test_quantiles_equal_percentile(spark):
     df = spark.range(5000).select(
         (F.pmod(F.xxhash64("id"), F.lit(997)) / 7.0).alias("spread"),
         F.when(F.col("id") % 3 == 0, 1.5).otherwise(F.exp(F.col("id") / 100.0)).alias("skewed"),
         F.when(F.col("id") % 5 != 0, F.col("id").cast("double")).alias("gaps"),
         F.lit(4.0).alias("flat"), F.lit(None).cast("double").alias("none"),
-        F.when(F.col("id") == 0, 1e300).when(F.col("id") == 1, -1e300).otherwise(F.col("id") / 3.0).alias("wide"))
+        F.when(F.col("id") == 0, 1e300).when(F.col("id") == 1, -1e300).otherwise(F.col("id") / 3.0).alias("wide"),
+        F.when(F.col("id") % 100 == 0, float("inf")).when(F.col("id") % 99 == 0, float("-inf")).otherwise(F.col("id") * 1.0).alias("endless"),
+        F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.pow(10.0, F.col("id") % 600 - 300)).alias("decades"))
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
-    fast, zoomed = stats.quantiles(df, df.columns, probs), stats.quantiles(df, df.columns, probs, percentile_rows=0)
-    for c in df.columns:
-        for a, b in zip(fast[c], zoomed[c]):
-            assert (a is None and b is None) or math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12), c
+    want = df.agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), F.array(*map(F.lit, probs))).alias(c) for c in df.columns]).first()
+    for accuracy in (stats.ACCURACY, 50):
+        found = stats.quantiles(df, df.columns, probs, accuracy)
+        for c in df.columns:
+            for a, b in zip(want[c] or [None] * len(probs), found[c]):
+                assert (a is None and b is None) or a == b or math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12), (c, a, b)
+
+
+def test_quantiles_take_three_scans(spark):
+    """However the values lie, jobs are a sketch, the counts below, and the values inside the brackets."""
+    seen = []
+    plain = stats._pick_ranks
+    df = spark.range(300_000).select(F.when(F.col("id") == 5, float("inf")).otherwise(F.exp(F.col("id") % 700)).alias("x"))
+    stats._pick_ranks = lambda *a: seen.append(a[1]) or plain(*a)
+    try:
+        got = stats.quantiles(df, ["x"], [0.25, 0.5, 0.999999])["x"]
+    finally:
+        stats._pick_ranks = plain
+    assert [len(s) for s in seen] == [3]
+    assert got == pytest.approx(list(df.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.999999)))).first()[0]))
 
 
 def test_group_quantiles(spark):
@@ -152,7 +170,7 @@ def test_relationships_against_corr(spark):
 def test_suggested_features(spark):
     names = "order_id int, sales_amount double, quantity int, profit double, unit_price double, discount double"
     specs = features.suggest(spark.createDataFrame([], names))
-    assert [s["col"] for s in specs] == ["sales_per_quantity", "profit_margin", "discount_rate", "order_id_log", "sales_amount_log", "quantity_log"]
+    assert [s["col"] for s in specs] == ["sales_per_quantity", "profit_margin", "discount_rate", *[f"{c}_log" for c in ("order_id", "sales_amount", "quantity", "profit", "unit_price", "discount")]]
     assert features.suggest(spark.createDataFrame([], "Len double"))[0]["col"] == "len_normalized"
 
 
@@ -166,7 +184,7 @@ def test_wide_tables_are_read_in_batches(spark):
     assert set(clean.cast_decisions(wide).values()) == {"Float"} and len(clean.cast_decisions(wide)) == 45
     one = profile.quality(wide).first()
     assert one["total_nulls"] == sum(r["null_count"] for r in known.values()) and one["total_cols"] == 105
-    assert len(stats.quantiles(wide, stats.numeric_columns(wide), [0.5], percentile_rows=0)) == 60
+    assert len(stats.quantiles(wide, stats.numeric_columns(wide), [0.5])) == 60
 
 
 def test_tables_without_numbers(spark):

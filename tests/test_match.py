@@ -17,24 +17,24 @@ def brute(queries, items, k, least, otherwise):
     return out
 
 
-@pytest.mark.parametrize("limit", [match.BROADCAST_VALUES, 10])
+@pytest.mark.parametrize("limit", [match.BROADCAST_BYTES, 10])
 def test_nearest_equals_brute_force(spark, limit, monkeypatch):
-    monkeypatch.setattr(match, "_BLOCK_VALUES", 300)
+    monkeypatch.setattr(match, "_BLOCK_BYTES", 2400)
     rng = np.random.default_rng(5)
     q, v = rng.normal(size=(17, 8)), rng.normal(size=(230, 8))
     q[3] = -np.abs(q[3])
     v[:, 0] = np.abs(v[:, 0])
     frame = lambda m: spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(m)], "id long, v array<double>").repartition(5)
-    got = match.nearest(frame(q), frame(v), 4, 0.8, 3, broadcast_values=limit)
+    got = match.nearest(frame(q), frame(v), 4, 0.8, 3, broadcast_bytes=limit)
     assert {(r["query_id"], r["item_id"]) for r in got.collect()} == brute(q, v, 4, 0.8, 3)
 
 
-@pytest.mark.parametrize("limit", [match.BROADCAST_VALUES, 1])
+@pytest.mark.parametrize("limit", [match.BROADCAST_BYTES, 1])
 def test_token_overlap(spark, limit, monkeypatch):
-    monkeypatch.setattr(match, "_BLOCK_VALUES", 4)
+    monkeypatch.setattr(match, "_BLOCK_BYTES", 40)
     items = spark.createDataFrame([(1, "red green"), (2, "red red blue"), (3, "grey"), (4, "RED, green! blue?")], "id int, t string")
     asks = spark.createDataFrame([(10, "red green"), (11, "x 1 yy")], "id int, t string")
-    got = match.overlapping(match.word_sets(asks, "id", "t"), match.word_sets(items, "id", "t"), 3, broadcast_values=limit)
+    got = match.overlapping(match.word_sets(asks, "id", "t"), match.word_sets(items, "id", "t"), 3, broadcast_bytes=limit)
     rows = {(r["query_id"], r["rank"]): (r["item_id"], round(r["score"], 4)) for r in got.collect()}
     assert rows == {(10, 1): (1, 1.0), (10, 2): (4, 0.6667), (10, 3): (2, 0.3333), (11, 1): (1, 0.0), (11, 2): (2, 0.0), (11, 3): (3, 0.0)}
 

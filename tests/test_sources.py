@@ -7,11 +7,20 @@ from tabularium.sources import files, readers, sinks
 from tabularium.streaming import run
 
 
-def test_header_row():
+def test_header_line(spark):
     lines = ["Report", "", "made 2024", "id,name,amount", "1,a,2.5", "2,b,3.5", "3,c,4.5"]
-    assert files.header_row(lines) == 3
-    assert files.header_row(["id,name", "1,a", "2,b"]) == 0
-    assert files.header_row([]) == 0 and files.header_row(["", ""]) == 0
+    assert files.header_line(spark, lines) == (3, ["id", "name", "amount"])
+    assert files.header_line(spark, ["id,name", "1,a", "2,b"])[0] == 0
+    assert files.header_line(spark, [""])[0] == 0 and files.header_line(spark, ["", ""])[0] == 0
+    assert files.header_line(spark, ['"a, b",c', "1,2"]) == (0, ["a, b", "c"])
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('made 2024\nid,note\n1,"two\nlines"\n2,one\n')
+    rows = files.read_csv_with_preamble(spark, str(tmp_path / "a.csv"), multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [("1", "two\nlines"), ("2", "one")]
+    with pytest.raises(Exception, match="quoted line break"):
+        files.read_csv_with_preamble(spark, str(tmp_path / "a.csv")).collect()
 
 
 def test_raw_load(spark, tmp_path):
@@ -36,8 +45,16 @@ def test_json_rows(spark, tmp_path):
 
 
 def test_capped(spark):
-    kept, facts = files.capped(spark.range(25), 10)
-    assert kept.count() == 10 and tuple(facts.first()) == (25, 10, True)
+    kept = files.capped(spark.range(25).repartition(4), [F.desc("id")], 10).collect()
+    assert [tuple(r) for r in kept] == [(24 - i, 25, 10, True) for i in range(10)]
+    assert not files.capped(spark.range(5), ["id"], 10).first()["truncated"]
+
+
+def test_list_tables(spark, tmp_path):
+    spark.range(1).write.parquet(str(tmp_path / "b.parquet"))
+    spark.range(1).write.parquet(str(tmp_path / "a.parquet"))
+    (tmp_path / "note.txt").write_text("x")
+    assert files.list_tables(spark, str(tmp_path)) == ["a", "b"]
 
 
 def test_magic_bytes(spark, tmp_path):
@@ -69,7 +86,10 @@ def test_upsert_and_log(spark):
 def test_adhoc(spark):
     df = spark.range(120).select("id", (F.col("id") % 3).cast("string").alias("k"))
     good = adhoc.run_sql(df, "SELECT * FROM dataset")
-    assert tuple(good.facts().first()) == (120, True) and good.rows().count() == 50
+    assert tuple(good.facts(50).first()) == (120, True) and good.rows(50).count() == 50
+    assert tuple(good.facts().first()) == (120, False) and good.rows().count() == 120
+    left = adhoc.run_plan(df, [(str(i), "SELECT 1") for i in range(3)], most_questions=2).collect()
+    assert [r["error"] for r in sorted(left)] == [None, None, "not run: beyond 2 questions"]
     assert "UNRESOLVED" in adhoc.run_sql(df, "SELECT nope FROM dataset").error
     assert adhoc.run_sql(df, "DROP TABLE dataset").error
 
