@@ -61,32 +61,44 @@ def compare_periods(marked: DataFrame, measure: str) -> DataFrame:
                                              F.col("delta") / F.col("first_total") * 100.0).otherwise(F.lit(0.0))))
 
 
-def drivers(marked: DataFrame, columns: list[str], measure: str, compared: DataFrame, most: int = 5) -> DataFrame:
-    """Per category column the value that moved most in the direction of the total.
+def period_sums(marked: DataFrame, keys: list[str], measure: str) -> DataFrame:
+    """``(keys, first, second, in1, in2)``: sums and row counts of both periods per key, which can be summed up further."""
+    return marked.groupBy(*keys).agg(_sum_in(1, measure).alias("first"), _sum_in(2, measure).alias("second"),
+                                     F.count_if(F.col("period") == 1).alias("in1"), F.count_if(F.col("period") == 2).alias("in2"))
 
-    ``compared`` is the frame of :func:`compare_periods`. Only values seen in both periods count. One pass: every row becomes one (column, value) pair per category,
-    summed map-side by period, so a value with many rows is one row per task.
-    """
-    wide = marked.select("period", measure, *[F.col(c).cast("string").alias(c) for c in columns])
-    moved = (wide.unpivot(["period", measure], columns, "column_name", "value")
-             .filter(F.col("value").isNotNull())
-             .groupBy("column_name", "value")
-             .agg(_sum_in(1, measure).alias("first"), _sum_in(2, measure).alias("second"),
-                  F.count_if(F.col("period") == 1).alias("in1"), F.count_if(F.col("period") == 2).alias("in2"))
-             .filter("in1 > 0 and in2 > 0")
-             .select("column_name", "value",
-                     (F.coalesce("second", F.lit(0.0)) - F.coalesce("first", F.lit(0.0))).alias("diff")))
+
+def sums_by(sums: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column_name, value, first, second, in1, in2)``: period sums per value of each category column."""
+    parts = ("first", "second", "in1", "in2")
+    return (sums.select(*[F.col(c).cast("string").alias(c) for c in columns], *parts)
+            .unpivot([*parts], columns, "column_name", "value").filter(F.col("value").isNotNull())
+            .groupBy("column_name", "value").agg(*[F.sum(p).alias(p) for p in parts]))
+
+
+def strongest(sums: DataFrame, columns: list[str], total: Column) -> DataFrame:
+    """``(column_name, position, value, diff)``: per column the value that moved most in the direction of ``total``, the change
+    over all rows. Only values seen in both periods count."""
+    moved = sums.filter("in1 > 0 and in2 > 0").select(
+        "column_name", "value", (F.coalesce("second", F.lit(0.0)) - F.coalesce("first", F.lit(0.0))).alias("diff"))
     per_column = moved.groupBy("column_name").agg(
         F.min_by("value", F.struct("diff", "value")).alias("drop_value"), F.min("diff").alias("drop"),
         F.min_by("value", F.struct(-F.col("diff"), F.col("value"))).alias("rise_value"), F.max("diff").alias("rise"))
-    total = compared.select("delta").scalar()
     order = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column_name"))
     fell, rose = (total < 0) & (F.col("drop") < 0), (total > 0) & (F.col("rise") > 0)
     return (per_column.filter(fell | rose)
             .select("column_name", order.cast("int").alias("position"),
                     F.when(fell, F.col("drop_value")).otherwise(F.col("rise_value")).alias("value"),
                     F.when(fell, F.col("drop")).otherwise(F.col("rise")).alias("diff"))
-            .orderBy("position").limit(most))
+            .orderBy("position"))
+
+
+def drivers(marked: DataFrame, columns: list[str], measure: str, compared: DataFrame) -> DataFrame:
+    """The strongest values of the category columns of marked rows; ``compared`` is the frame of :func:`compare_periods`.
+
+    Rows are summed per combination of categories first, map-side, and only the sums are unpivoted.
+    """
+    sums = sums_by(period_sums(marked, columns, measure), columns)
+    return strongest(sums, columns, compared.select("delta").scalar())
 
 
 def recommendations(losses: DataFrame, key: str, best: DataFrame, compared: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabularium.session import scratch_path
+from tabularium.session import delete, scratch_path
 
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 _PART_ROWS, _SMALL_PART_ROWS = 4_000_000, 50_000
@@ -38,6 +38,7 @@ def ordered_slots(df: DataFrame, keys: list, unique: bool = False) -> DataFrame:
     (df.repartitionByRange(_partitions(spark, df.count()), *keys).sortWithinPartitions(*keys).drop("_tie")
        .withColumn("_slot", F.monotonically_increasing_id())
        .write.parquet(path))
+    delete(spark, staged)
     back = spark.read.schema(df.drop("_tie").schema.add("_slot", "long")).parquet(path)
     return (back.withColumn("_part", F.shiftright("_slot", _PLACE_BITS))
                 .withColumn("_place", F.col("_slot").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))

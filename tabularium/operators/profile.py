@@ -205,11 +205,11 @@ def live_stats(df: DataFrame) -> DataFrame:
 
 
 # The limits a dataset must keep.
-MIN_ROWS, MAX_ROWS, MAX_COLUMNS, MAX_NULL_SHARE = 10, 5_000_000, 200, 0.90
+MIN_ROWS, MAX_NULL_SHARE = 10, 0.90
 
 
-def validate(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``(position, rule, passed, detail)``; the first failed rule is the one a user is told."""
+def validate(df: DataFrame, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:
+    """``(position, rule, passed, detail)``; the first failed rule is the one a user is told. Sizes are free unless limited."""
     names = df.columns
     if len(names) != len(set(names)):
         unique = df.toDF(*[f"c{i}" for i in range(len(names))])
@@ -221,8 +221,8 @@ def validate(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     rules = [
         ("unique_columns", F.lit(len(names) == len(set(names))), F.lit(len(set(names))).cast("string")),
         ("min_rows", F.col("n") >= MIN_ROWS, F.col("n").cast("string")),
-        ("max_rows", F.col("n") <= max_rows, F.col("n").cast("string")),
-        ("max_columns", F.lit(len(names) <= MAX_COLUMNS), F.lit(len(names)).cast("string")),
+        ("max_rows", F.lit(True) if max_rows is None else F.col("n") <= max_rows, F.col("n").cast("string")),
+        ("max_columns", F.lit(max_columns is None or len(names) <= max_columns), F.lit(len(names)).cast("string")),
         ("numeric_columns", F.lit(numeric > 0), F.lit(numeric).cast("string")),
         ("null_share", share <= MAX_NULL_SHARE, F.round(share, 4).cast("string")),
     ]

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tabularium.functions.numbers import display2_sql, r4
 from tabularium.operators import charts, filters, insights, kpi, metrics, ordering, series, stats
 from tabularium.plans.inputs import (
-    DIRTY_SQL, SALES_SQL, dirty_lineitem, sales_by_customer, sales_by_order, sales_by_part, sales_wide,
+    DIRTY_SQL, SALES_SQL, dirty_lineitem, net_sales, sales_by_customer, sales_by_order, sales_by_part, sales_wide,
 )
 from tabularium.plans.registry import query
+from tabularium.session import written
 
 LINE_KEYS = ["order_key", "line_no", "part_key", "supp_key"]
 
@@ -89,11 +90,10 @@ PERIOD_SQL = """cmp AS (SELECT sum(CASE WHEN period = 1 THEN sales END) AS a, su
   FROM marked)"""
 
 
-def _halves(t, *extra):
-    """Sales rows marked by half, and the same with category columns; the cut needs the lean rows only."""
+def _halves(t):
+    """Sales rows marked by half."""
     lean = sales_wide(t, ["order_date", *TIES])
-    second = ordering.split_after(lean, "order_date", TIES)
-    return kpi.halves(lean, second), kpi.halves(sales_wide(t, ["order_date", *TIES, *extra]), second)
+    return kpi.halves(lean, ordering.split_after(lean, "order_date", TIES))
 
 
 @query("rca_period_compare", f"""WITH {HALVES_SQL}, {PERIOD_SQL}
@@ -101,7 +101,7 @@ SELECT round(a, 4) AS first_total, round(b, 4) AS second_total, round(b - a, 4)
   CASE WHEN b - a > 0 THEN 'increased' ELSE 'decreased' END AS direction,
   CASE WHEN a > 0 THEN round((b - a) / a * 100, 2) ELSE 0.0 END AS change_pct FROM cmp""")
 def rca_period_compare(t):
-    one = kpi.compare_periods(_halves(t)[0], "sales")
+    one = kpi.compare_periods(_halves(t), "sales")
     return one.select(*[r4(F.col(c)).alias(c) for c in ("first_total", "second_total", "delta")], "direction",
                       (F.round("change_pct", 2) + F.lit(0.0)).alias("change_pct"))
 
@@ -120,9 +120,23 @@ SELECT column_name, CAST(list_position(['product', 'customer', 'region', 'segmen
   value, round(diff, 4) AS diff FROM r, cmp
 WHERE (b - a < 0 AND low = 1 AND diff < 0) OR (b - a > 0 AND high = 1 AND diff > 0)""")
 def rca_drivers(t):
-    lean, wide = _halves(t, *CATEGORIES)
-    out = kpi.drivers(wide, CATEGORIES, "sales", kpi.compare_periods(lean, "sales"))
-    return out.withColumn("diff", r4(F.col("diff")))
+    """Lines are marked once and summed per part and per customer; the names are joined to the sums."""
+    keys = ["order_date", *TIES]
+    lean = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_orderdate").alias("order_date"), F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"),
+        F.col("l_partkey").alias("part_key"), F.col("l_suppkey").alias("supp_key"), F.col("l_quantity").alias("quantity"),
+        net_sales().alias("sales"), F.col("o_custkey").alias("cust_key"))
+    second = ordering.split_after(lean.select(*keys), "order_date", TIES)
+    marked = written(kpi.halves(lean, second).select("period", "part_key", "cust_key", "sales"), "halves")
+    per_part = written(kpi.period_sums(marked, ["part_key"], "sales"), "part-sums")
+    parts = per_part.join(t.part, F.col("part_key") == F.col("p_partkey")).withColumnRenamed("p_brand", "product")
+    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    people = (kpi.period_sums(marked, ["cust_key"], "sales").join(t.customer, F.col("cust_key") == F.col("c_custkey"))
+              .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+              .withColumnsRenamed({"c_name": "customer", "r_name": "region", "c_mktsegment": "segment"}))
+    sums = kpi.sums_by(parts, ["product"]).unionByName(kpi.sums_by(people, ["customer", "region", "segment"]))
+    total = per_part.agg(F.sum(F.coalesce("second", F.lit(0.0))) - F.sum(F.coalesce("first", F.lit(0.0)))).scalar()
+    return kpi.strongest(sums, CATEGORIES, total).withColumn("diff", r4(F.col("diff")))
 
 
 @query("recommendations", f"""WITH {HALVES_SQL}, {PERIOD_SQL}, g AS (
@@ -138,7 +152,7 @@ def recommendations(t):
     parts = kpi.group_totals(sales_wide(t, ["part_key", "profit"]).withColumnRenamed("part_key", "part"), "part", "profit")
     losses = kpi.loss_makers(parts, "part").withColumn("part", F.col("part").cast("string"))
     best = kpi.best_and_worst(kpi.group_totals(sales_by_part(t), "product", "sales"), "product")
-    return kpi.recommendations(losses, "part", best, kpi.compare_periods(_halves(t)[0], "sales"))
+    return kpi.recommendations(losses, "part", best, kpi.compare_periods(_halves(t), "sales"))
 
 
 # ---- metrics and insights ------------------------------------------------------------------------------
@@ -263,10 +277,10 @@ UNION ALL SELECT 'trend_slope', CASE WHEN slope > 0 THEN 'info' ELSE 'critical'
 FROM f WHERE periods >= 3 AND ((slope > 0 AND r > 0.6) OR (slope < 0 AND r < -0.6))
 UNION ALL {RECENT_SQL} UNION ALL {_margin_sql('quantity * price')}""")
 def insights_all(t):
-    wide = sales_wide(t, ["sales", "profit", "order_date"])
+    wide = sales_wide(t, ["sales", "profit"])
     months = series.monthly(sales_by_order(t), "order_date", "sales")
     found = metrics.evaluate(wide.select("sales", "profit"), metrics.definitions("sales", "profit"))
-    return (insights.anomalies(wide, "sales")
+    return (insights.anomalies(sales_wide(t, ["sales"]), "sales")
             .unionByName(insights.trend(series.trend(months), "sales"))
             .unionByName(insights.recent_change(series.last_change(months), "sales"))
             .unionByName(insights.margin(found)))
@@ -423,16 +437,26 @@ def _board_sql(chart_id: str, kind: str, sql: str, order: str) -> str:
     _board_sql("qty_bar", "bar", _top_sql("product", "quantity", 10), "y DESC, x"),
     _board_sql("profit_trend", "area", SERIES_SQL.format(y="profit"), "x")]))
 def dashboard_all(t):
-    """All charts as ranked rows; sales charts share the per-part, per-order and per-customer sums."""
-    months = charts.time_series(sales_by_order(t), "order_date", "sales", many=_many(t))
+    """All charts as ranked rows, from three sums that are written once: per part, per customer and per month."""
+    parts, people = written(sales_by_part(t), "part-sums"), written(sales_by_customer(t), "customer-sums")
+    lines = sales_wide(t, ["order_date", "sales", "profit"])
+    month = F.date_format("order_date", "yyyy-MM")
+    monthly = written(lines.groupBy(month.alias("x")).agg(F.sum("sales").alias("sales"), F.sum("profit").alias("profit"), F.count(F.lit(1)).alias("n")), "month-sums")
+    many = (monthly.agg(F.sum("n")).first()[0] or 0) > 30
+
+    def trend(measure):
+        if not many:
+            return charts.time_series(lines, "order_date", measure, many=False)
+        return monthly.filter(F.col("x").isNotNull()).orderBy(F.desc("x")).limit(30).select("x", F.col(measure).alias("y"))
+
     boards = [
-        (months, "trend_line", "line", "x"),
-        (charts.top(sales_by_part(t), "product", "sales"), "product_bar", "bar", "y"),
-        (charts.top(sales_by_customer(t), "region", "sales"), "region_pie", "pie", "y"),
-        (months, "revenue_area", "area", "x"),
-        (charts.top(sales_by_customer(t), "customer", "sales", 8), "customer_bar", "bar", "y"),
-        (charts.top(sales_by_part(t), "product", "quantity"), "qty_bar", "bar", "y"),
-        (charts.time_series(sales_wide(t, ["order_date", "profit"]), "order_date", "profit", many=_many(t)), "profit_trend", "area", "x"),
+        (trend("sales"), "trend_line", "line", "x"),
+        (charts.top(parts, "product", "sales"), "product_bar", "bar", "y"),
+        (charts.top(people, "region", "sales"), "region_pie", "pie", "y"),
+        (trend("sales"), "revenue_area", "area", "x"),
+        (charts.top(people, "customer", "sales", 8), "customer_bar", "bar", "y"),
+        (charts.top(parts, "product", "quantity"), "qty_bar", "bar", "y"),
+        (trend("profit"), "profit_trend", "area", "x"),
     ]
     out = None
     for data, chart_id, kind, by in boards:

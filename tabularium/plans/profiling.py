@@ -10,7 +10,7 @@ from tabularium.functions import dates, nested, text
 from tabularium.functions.numbers import r4
 from tabularium.functions.parsing import DATE_FORMATS_SQL, NUMBER, is_number
 from tabularium.operators import match, profile, roles, stats
-from tabularium.plans.inputs import DIRTY_COLUMNS, DIRTY_SQL, dirty_lineitem, sales_wide
+from tabularium.plans.inputs import DIRTY_COLUMNS, DIRTY_SQL, SALES_SQL, dirty_lineitem, sales_wide
 from tabularium.plans.registry import query
 
 DIRTY_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "quantity", "price", "discount"]
@@ -247,9 +247,15 @@ def detect_roles(t):
     return roles.detect(wide.withColumnsRenamed({"sales": "net sales", "quantity": "qtty", "price": "Unit-Price"}))
 
 
-@query("prj_outlier_columns")
+OFFERED = ("sales", "quantity", "price", "profit")
+
+
+@query("prj_outlier_columns", f"WITH {SALES_SQL}, f AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.25) AS {c}_1, quantile_cont({c}, 0.75) AS {c}_3" for c in OFFERED) + " FROM sales_wide) " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count(*) FILTER ({c} < {c}_1 - 1.5 * ({c}_3 - {c}_1) OR {c} > {c}_3 + 1.5 * ({c}_3 - {c}_1)) AS outliers
+FROM sales_wide, f""" for c in OFFERED))
 def prj_outlier_columns(t):
-    """Outlier counts of the columns a user would be offered. No SQL: the choice is about column names."""
+    """Outlier counts of the columns a user would be offered."""
     wide = sales_wide(t, ["order_date", "sales", "quantity", "price", "profit"])
     return stats.outlier_cells(wide, profile.outlier_candidates(wide)).select("column_name", "outliers")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tabularium.operators import clean, features, stats
 from tabularium.session import scratch_path
@@ -63,14 +63,18 @@ class Wizard:
         self.spark = df.sparkSession
         self.root = scratch_path(self.spark, "wizard")
         self.history: list[tuple[str, str, str, dict]] = []  # (step, mode, path, decisions)
+        self.facts: dict[str, tuple[int, int, int]] = {}  # rows, nulls and columns of each version, counted while writing
         self._written = 0
         self._write("initial", "raw", df, {})
 
     def _write(self, step: str, mode: str, df: DataFrame, decisions: dict):
         path = f"{self.root}/v={self._written}"
-        df.write.parquet(path)
+        facts = Observation()
+        empty = sum((F.col(f"`{c}`").isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
+        df.observe(facts, F.count(F.lit(1)).alias("rows"), F.sum(empty).alias("nulls")).write.parquet(path)
         self._written += 1
         self.history.append((step, mode, path, decisions))
+        self.facts[path] = (facts.get["rows"], facts.get["nulls"] or 0, len(df.columns))
 
     def _before(self, step: str) -> int:
         done = [entry[0] for entry in self.history]
@@ -106,12 +110,12 @@ class Wizard:
         """
         out = None
         for i, (step, mode, path, decisions) in enumerate(self.history):
-            df = self.spark.read.parquet(path)
             said = ", ".join(f"{c}: {d}" for c, d in sorted(decisions.items()))
-            one = stats.null_counts(df).agg(F.max("total_rows").alias("rows"), F.sum("null_count").alias("nulls")).select(
+            rows, nulls, cols = self.facts[path]
+            one = self.spark.range(1).select(
                 F.lit(i).alias("position"), F.lit(step).alias("step"), F.lit(mode).alias("mode"), F.lit(said).alias("decisions"),
-                "rows", F.lit(len(df.columns)).alias("cols"), "nulls",
-                *([stats.duplicate_count(df).alias("copies")] if copies else []))
+                F.lit(rows).cast("bigint").alias("rows"), F.lit(cols).alias("cols"), F.lit(nulls).cast("bigint").alias("nulls"),
+                *([stats.duplicate_count(self.spark.read.parquet(path)).alias("copies")] if copies else []))
             out = one if out is None else out.unionByName(one)
         counted = ["rows", "cols", "nulls", *(["copies"] if copies else [])]
         before = out.select((F.col("position") + 1).alias("position"), *[F.col(c).alias(f"{c}_before") for c in counted])

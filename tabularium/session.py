@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_SCRATCH: list[str] = []
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def build_session(app: str = "tabularium", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,18 +31,52 @@ def build_session(app: str = "tabularium", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, one in the session's default file system.
+
+    A default file system that is each machine's own disk serves local mode only.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    fs, place = file_system(spark, "/tmp/checkpoints")
+    if fs.getScheme() == "file" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="tabularium-"))
-    return _LOCAL_SCRATCH[0]
+    return fs.makeQualified(place).toString()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, never reused path below the shared scratch folder."""
-    return f"{scratch_root(spark)}/tabularium/{label}-{uuid.uuid4().hex}"
+    """A fresh, never reused path below the shared scratch folder, deleted when this program ends."""
+    path = f"{scratch_root(spark)}/tabularium/{label}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the scratch folder and read again, for frames that several others are made of."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder that nothing reads any more."""
+    fs, place = file_system(spark, path)
+    fs.delete(place, True)
+
+
+@atexit.register
+def clean_scratch() -> None:
+    """Deletes the scratch folders of this program; frames that still read them stop working."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        try:
+            delete(spark, path)
+        except Exception:  # the JVM may have ended before
+            return

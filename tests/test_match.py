@@ -81,10 +81,12 @@ def test_score_golden(spark):
 
 
 def test_validation(spark):
-    failing = lambda df: [r["rule"] for r in profile.first_failure(profile.validate(df)).collect()]
+    failing = lambda df: [r["rule"] for r in profile.first_failure(profile.validate(df, 5_000_000, 200)).collect()]
     assert failing(spark.range(9).select("id")) == ["min_rows"]
     assert failing(spark.range(20).select(F.lit("a").alias("t"))) == ["numeric_columns"]
     assert failing(spark.range(20).select(*[F.col("id").alias(f"c{i}") for i in range(201)])) == ["max_columns"]
     assert failing(spark.range(20).select("id", *[F.lit(None).cast("int").alias(f"c{i}") for i in range(19)])) == ["null_share"]
     assert failing(spark.range(20).select("id", "id")) == ["unique_columns"]
     assert failing(spark.range(20).select("id")) == []
+    free = profile.validate(spark.range(20).select(*[F.col("id").alias(f"c{i}") for i in range(201)]))
+    assert profile.first_failure(free).count() == 0
