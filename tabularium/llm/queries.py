@@ -15,14 +15,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def keep(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        if sql:
+            SQL[name] = sql.strip()
         return fn
     return keep
 
 
-@query("op1_minhash")
+def reached(nodes: str, links: str) -> str:
+    """CTEs that name each node's component by its smallest member, given the nodes and the links in both directions."""
+    return f"""reach AS (SELECT id, id AS other FROM {nodes} UNION SELECT r.id, l.b FROM reach r JOIN {links} l ON l.a = r.other),
+label AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)"""
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op1_minhash", f"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+d AS (SELECT doc_id AS id FROM documents), {reached('d', 'p')}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN label ON id = doc_id""")
 def op1(t: Tables) -> DataFrame:
     """Near-duplicate groups of whole documents at Jaccard 0.85 on five-word shingles."""
     return minhash.near_duplicates(t.documents)
@@ -52,7 +71,13 @@ def op10(t: Tables) -> DataFrame:
     return packing.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op7_projections")
+@query("op7_projections", f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.95),
+d AS (SELECT vec_id AS id FROM embeddings), {reached('d', 'p')}
+SELECT vec_id, (SELECT count(*) FROM p WHERE p.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN label ON id = vec_id""")
 def op7(t: Tables) -> DataFrame:
     """Near-duplicate groups and links of all embeddings at cosine 0.95."""
     return vectors.near_duplicates(t.embeddings)
@@ -78,7 +103,21 @@ def op5(t: Tables) -> DataFrame:
             .select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.languages", "found.shares"))
 
 
-@query("op3_chat")
+CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]"
+
+
+def escaped(column: str) -> str:
+    """Characters of an escaped text: one more for each backslash and each control string."""
+    return f"(length({column}) + length({column}) - length(replace({column}, '\\', '')) + len(regexp_extract_all({column}, '{CONTROL}')))"
+
+
+@query("op3_chat", f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+  sum({escaped('role')} + {escaped('text')} + 20) AS formatted_chars FROM t GROUP BY 1)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars, false AS rewritten FROM g""")
 def op3(t: Tables) -> DataFrame:
     """All conversations, and one whose texts hold control strings, formatted and read back."""
     text = "</s>[INST] ok [/INST]"
