@@ -15,6 +15,14 @@ def label(c: Column, size: int = 18) -> Column:
     return F.substring(F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("Unknown")), 1, size)
 
 
+def shortened(data: DataFrame, column: str, size: int, within: list[str] = ()) -> DataFrame:
+    """Names cut for display, but whole where two groups of a chart would otherwise show the same name."""
+    full = F.col(column).cast("string")
+    cut = F.substring(full, 1, size)
+    alone = F.count(F.lit(1)).over(W.partitionBy(*within, cut)) == 1
+    return data.withColumn(column, F.when(alone, cut).otherwise(full))
+
+
 def aggregate(df: DataFrame, x: str, y: str | None, how: str, wanted: dict | None = None, limit: int | None = 10) -> DataFrame:
     """``(name, value, n)``: ``how`` of y per x after the filters, two decimals, largest first, top ``limit``."""
     key = F.coalesce(F.nullif(F.col(x).cast("string"), F.lit("")), F.lit("Unknown"))
@@ -23,7 +31,7 @@ def aggregate(df: DataFrame, x: str, y: str | None, how: str, wanted: dict | Non
         display2(value).alias("value"), F.count(F.lit(1)).alias("n"))
     ranked = grouped.orderBy(F.desc("value"), "name")
     ranked = ranked.limit(limit) if limit else ranked
-    return ranked.select(F.substring("name", 1, 18).alias("name"), "value", "n")
+    return shortened(ranked, "name", 18).select("name", "value", "n")
 
 
 def share(df: DataFrame, x: str, y: str, top: int = 8) -> DataFrame:
@@ -45,9 +53,9 @@ def footer(data: DataFrame) -> DataFrame:
 
 def top(df: DataFrame, x: str, y: str, n: int = 10) -> DataFrame:
     """``(x, y)``: groups with the largest sum of y; rows without x are left out."""
-    return (df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("x"))
-              .agg(F.coalesce(F.sum(y), F.lit(0.0)).alias("y"))
-              .orderBy(F.desc("y"), "x").limit(n).select(F.substring(F.col("x").cast("string"), 1, 20).alias("x"), "y"))
+    best = (df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("x"))
+              .agg(F.coalesce(F.sum(y), F.lit(0.0)).alias("y")).orderBy(F.desc("y"), "x").limit(n))
+    return shortened(best, "x", 20).select("x", "y")
 
 
 def time_series(df: DataFrame, moment: str, y: str, points: int = 30, many: bool | None = None) -> DataFrame:
@@ -84,8 +92,8 @@ def all_categories(df: DataFrame, category: str, measures: list[str], n: int = 1
         *[F.coalesce(F.sum(F.col(m).cast("double")), F.lit(0.0)).alias(m) for m in measures])
     long = one.unpivot(["x"], measures, "measure", "y")
     place = F.row_number().over(W.partitionBy("measure").orderBy(F.desc("y"), "x"))
-    return long.withColumn("rank", place).filter(F.col("rank") <= n).select(
-        "measure", "rank", F.substring(F.col("x").cast("string"), 1, 20).alias("x"), "y")
+    best = long.withColumn("rank", place).filter(F.col("rank") <= n)
+    return shortened(best, "x", 20, ["measure"]).select("measure", "rank", "x", "y")
 
 
 def importance_bar(importance: DataFrame, n: int = 10) -> DataFrame:

@@ -240,13 +240,6 @@ def detect_fallback_sales(t):
     return profile.widest(t.orders)
 
 
-@query("detect_roles")
-def detect_roles(t):
-    """Roles of the wide sales columns. No SQL: the result is about column names (metadata)."""
-    wide = sales_wide(t, ["order_date", "sales", "quantity", "price", "product", "customer", "region", "segment", "profit"])
-    return roles.detect(wide.withColumnsRenamed({"sales": "net sales", "quantity": "qtty", "price": "Unit-Price"}))
-
-
 OFFERED = ("sales", "quantity", "price", "profit")
 
 
@@ -335,6 +328,24 @@ def dict_match_fuzzy(t):
     return match.match_names(_headers(t), "header")
 
 
+ROLE_COLUMNS = ("order_date", "net sales", "qtty", "Unit-Price", "product", "customer", "region", "segment", "profit")
+
+
+@query("detect_roles", f"""WITH cols AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(ROLE_COLUMNS))}) AS v(position, header)
+  WHERE EXISTS (FROM lineitem)), {_words_sql()},
+n AS (SELECT position, header, {NORM_SQL} AS norm FROM cols),
+s AS (SELECT position, header, role, place, word = norm AS same, length(norm) > 3 AS long_enough,
+  100.0 * (1.0 - levenshtein(norm, word) / greatest(length(norm), length(word))) AS score FROM n, words),
+b AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY same DESC, score DESC, place, role DESC) AS r FROM s),
+m AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY score DESC, position) AS k FROM b WHERE r = 1 AND (same OR (score >= 80 AND long_enough)))
+SELECT role, header AS column_name, CASE WHEN same THEN 'dict' ELSE 'fuzzy' END AS method,
+  CASE WHEN same THEN 1.0::DOUBLE ELSE score / 100 END AS confidence FROM m WHERE k = 1""")
+def detect_roles(t):
+    """Roles of the wide sales columns, two of which have odd names."""
+    wide = sales_wide(t, ["order_date", "sales", "quantity", "price", "product", "customer", "region", "segment", "profit"])
+    return roles.detect(wide.toDF(*ROLE_COLUMNS))
+
+
 @query("vec_topk", """WITH v AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x
   FROM embeddings, generate_series(1, 64) AS g(i)),
 c AS (SELECT label, i, avg(x) AS x FROM v GROUP BY 1, 2),

@@ -123,3 +123,10 @@ def test_models_learn(spark, monkeypatch):
     assert learning.importance(df, "y", ["id"]).first()["feature"] == "a"
     two = df.withColumn("y", (F.col("y") > 5).cast("int"))
     assert {r["metric"] for r in learning.compare(two, "y", ["id"], classify=True).collect()} == {"accuracy", "f1"}
+
+
+def test_names_that_would_look_alike_stay_whole(spark):
+    long = "a name of more than twenty letters "
+    df = spark.createDataFrame([(long + "one", 3.0), (long + "two", 2.0), ("another quite long name too", 1.0)], "k string, v double")
+    assert [r["x"] for r in charts.top(df, "k", "v").orderBy(F.desc("y")).collect()] == [long + "one", long + "two", "another quite long n"]
+    assert sorted(r["name"] for r in charts.aggregate(df, "k", "v", "sum").collect()) == sorted([long + "one", long + "two", "another quite long"])
