@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tabularium.llm import words
 from tabularium.llm.store import drop, kept
 
-SHARDS, NODES, SLACK = 16, 256, 0.002
+SHARDS, NODES, SLACK = 16, 256, 0.0002
 CELLS, FINE, HEAVY = 2048, 64, 1 / 16
 SLOTS = 4096
 
