@@ -125,6 +125,11 @@ def digested(trained: str):
         for batch in batches:
             yield from zip(*(c.to_pylist() for c in batch.columns))
 
+    def table(out):
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewritten"]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=names)
+
     def make(batches):
         out = []
         for conv, turns in groupby(rows(batches), key=lambda r: r[0]):
@@ -143,10 +148,10 @@ def digested(trained: str):
                     loss_chars += len(text)
                     loss.update(text.encode())
             out.append((conv, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars, rewritten))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewritten"]
-        for at in range(0, max(1, len(out)), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out[at:at + 4096]], kind) for i, kind in enumerate(kinds)], names=names)
+            if len(out) >= 4096:
+                yield table(out)
+                out = []
+        yield table(out)
     return make
 
 

@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 85, k: int = 5, bands:
     full = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
     digest = ["high", "low", "n_shingles"]
     nodes = full.groupBy(*digest).agg(F.min("doc_id").alias("node"))
-    member = kept(full.select("doc_id", *digest).join(nodes, digest).select("doc_id", "node").distinct(), "members")
+    member = kept(full.select("doc_id", *digest).join(nodes, digest).select("doc_id", "node"), "members")
     own = full.select(F.col("doc_id").alias("node"), "bands", "marks").join(member.where("doc_id = node").select("node"), "node", "left_semi")
     spread = kept(own.select("node", F.explode("bands").alias("band")), "bands")
     crowd = spread.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
