@@ -6,7 +6,9 @@ in the last turn show where in its piece the text stands: their outputs differ t
 does not begin with the one before rewrites history; then pieces cannot be told apart, which the rows say.
 
 Conversations are sorted by turn inside tasks and stream through them: at most ``WINDOW`` turns are rendered together; longer
-conversations go on from their last turn, so memory and work per turn are bounded whatever a conversation's length.
+conversations go on from their last turn, so memory and work per turn are bounded whatever a conversation's length. The few
+conversations that hold more than a task's share of all rows are cut into ranges of turns, which different tasks render, each from
+the last turn of the range before.
 """
 
 from __future__ import annotations
@@ -14,15 +16,20 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.llm.store import partitions
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 WINDOW = 64
+#: Conversations of fewer turns are never cut, and a longer one into so many ranges at most.
+SPLIT, RANGES = 4096, 256
 PROBES = ("a", "b")
 #: Strings that mark turns; inside roles and texts they are escaped.
 BEGIN, HEAD, TAIL, END = "<s>", "[INST]", "[/INST]", "</s>"
@@ -63,9 +70,12 @@ def common(one: str, other: str) -> int:
     return low
 
 
-def pieces(turns: Iterator[Turn], template: Template, window: int) -> Iterator[tuple[str, str | None, int | None, int | None]]:
-    """For each turn its role, its piece and where its text begins and ends in the piece; None where history is rewritten."""
-    before, shown = [], template([])
+def pieces(turns: Iterator[Turn], template: Template, window: int, first: list[Turn] = ()) -> Iterator[tuple[str, str | None, int | None, int | None]]:
+    """For each turn its role, its piece and where its text begins and ends in the piece; None where history is rewritten.
+
+    ``first`` are turns that stand before these ones and have been rendered elsewhere."""
+    before = list(first)
+    shown = template(before)
     for turn in turns:
         if len(before) >= window:
             before = before[-1:]
@@ -83,15 +93,24 @@ def pieces(turns: Iterator[Turn], template: Template, window: int) -> Iterator[t
         shown = now
 
 
-def rendered(template: Template, window: int):
+def rendered(template: Template, window: int, starts: dict[int, int]):
+    """Pieces of the turns of a task in order; ``starts`` has the place of each range's first turn. A row that stands in front of
+    a range as its context is rendered with it but not put out."""
     def rows(batches):
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")))
+            yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "range", "context", "role", "text")))
 
     def make(batches):
         out = []
-        for conv, turns in groupby(rows(batches), key=lambda r: r[0]):
-            for seq, found in enumerate(pieces(((r[1] or "", r[2] or "") for r in turns), template, window)):
+        for (conv, part), turns in groupby(rows(batches), key=lambda r: r[:2]):
+            turns, first = iter(turns), []
+            head = next(turns)
+            if head[2]:
+                first = [(head[3] or "", head[4] or "")]
+            else:
+                turns = chain([head], turns)
+            plain = ((r[3] or "", r[4] or "") for r in turns)
+            for seq, found in enumerate(pieces(plain, template, window, first), starts.get(part, 0)):
                 out.append((conv, seq, *found))
                 if len(out) >= 512:
                     yield block(out)
@@ -106,17 +125,78 @@ def block(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=list(names))
 
 
+DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten boolean"
+ROW = "conv_id long, seq long, role string, piece string, text_begin long, text_end long"
+
+
+def turns_of(conversations: DataFrame) -> DataFrame:
+    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                                F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+
+
+def parted(rows: DataFrame, parts: int) -> tuple[DataFrame, DataFrame | None]:
+    """Turns of ordinary conversations, and those of long ones (None if there are none).
+
+    Long are those of more than SPLIT turns that hold more than one of ``parts`` parts of all rows, so ``parts`` at most.
+    """
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n"))
+    total = rows.count()
+    long = [r.conv_id for r in sizes.where(F.col("n") > max(SPLIT, total / parts)).select("conv_id").collect()]
+    if not long:
+        return rows, None
+    test = F.coalesce(F.col("conv_id").isin([c for c in long if c is not None]), F.lit(False)) | (F.col("conv_id").isNull() & F.lit(None in long))
+    return rows.where(~test), rows.where(test)
+
+
+def ranged(rows: DataFrame, template: Template, window: int, parts: int) -> DataFrame:
+    """Pieces of long conversations: each is cut at quantiles of its turns, and every range starts from the last turn before it."""
+    lowest = -(1 << 63)
+    rows = rows.withColumn("pos", F.coalesce("turn", F.lit(lowest)))
+    steps = min(parts, RANGES)
+    cuts = rows.groupBy("conv_id").agg(F.percentile_approx("pos", F.array(*[F.lit(i / steps) for i in range(1, steps)]) if steps > 1 else F.array(F.lit(0.5)), 10_000).alias("cuts")).collect()
+    bounds, base = {}, {}
+    for r in cuts:
+        bounds[r.conv_id] = np.unique(r.cuts)
+        base[r.conv_id] = sum(len(b) + 1 for b in bounds.values()) - len(bounds[r.conv_id]) - 1
+
+    def place(conv: pa.Array, pos: pa.Array) -> pa.Array:
+        return pa.array([base[c] + int(np.searchsorted(bounds[c], p, "right")) for c, p in zip(conv.to_pylist(), pos.to_pylist())], pa.int32())
+
+    rows = rows.withColumn("range", F.arrow_udf(place, "int")("conv_id", "pos"))
+    last = rows.groupBy("conv_id", "range").agg(F.count("*").alias("n"), F.max(F.struct("pos", "turn", "role", "text")).alias("last"))
+    ends = sorted(last.select("range", "n", "conv_id").collect(), key=lambda r: r.range)  # one row per range
+    starts, follows = {}, {}
+    for before, here in zip(ends, ends[1:]):
+        if before.conv_id == here.conv_id:
+            starts[here.range] = starts.get(before.range, 0) + before.n
+            follows[before.range] = here.range
+    after = F.element_at(F.create_map(*[F.lit(x) for pair in {-1: -1, **follows}.items() for x in pair]), F.col("range"))
+    context = (last.withColumn("range", after.cast("int")).where("range >= 0")
+               .select("conv_id", "last.turn", "last.role", "last.text", "last.pos", "range").withColumn("context", F.lit(True)))
+    count = sum(len(b) + 1 for b in bounds.values())
+    return (rows.withColumn("context", F.lit(False)).unionByName(context).repartitionById(count, "range")
+            .sortWithinPartitions("range", F.desc("context"), "pos", "role", "text").select("conv_id", "range", "context", "role", "text")
+            .mapInArrow(rendered(template, window, starts), ROW))
+
+
+def whole(rows: DataFrame, template: Template, window: int) -> DataFrame:
+    """Pieces of ordinary conversations, each in one task."""
+    return (rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+            .select("conv_id", F.lit(-1).alias("range"), F.lit(False).alias("context"), "role", "text")
+            .mapInArrow(rendered(template, window, {}), ROW))
+
+
 def formatted(conversations: DataFrame, template: Template = marked, window: int = WINDOW) -> DataFrame:
-    """``conv_id, seq, role, piece, text_begin, text_end`` for each turn, in order inside each task.
+    """``conv_id, seq, role, piece, text_begin, text_end`` for each turn, seq counting from 0.
 
     A conversation's formatted text is its pieces one after another. Turns are ordered by turn (null first), then role and text;
     rows that repeat are turns of their own. Null roles and texts are empty; rows without conv_id are one conversation. piece and
     the places are null for a turn at which the template rewrites history. No rows give no rows; other columns are not read.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-                                F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return (rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-            .mapInArrow(rendered(template, window), "conv_id long, seq long, role string, piece string, text_begin long, text_end long"))
+    parts = partitions(conversations.sparkSession)
+    short, long = parted(turns_of(conversations), parts)
+    made = whole(short, template, window)
+    return made if long is None else made.unionByName(ranged(long, template, window, parts))
 
 
 def digested(trained: str):
@@ -155,10 +235,16 @@ def digested(trained: str):
     return make
 
 
-def digests(made: DataFrame, trained: str = "assistant") -> DataFrame:
-    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewritten`` from the rows of ``formatted``.
+def digests(conversations: DataFrame, template: Template = marked, window: int = WINDOW, trained: str = "assistant") -> DataFrame:
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewritten`` for each conversation, read back
+    from its pieces; the loss mask covers the texts of the role ``trained``. For the rest see ``formatted``.
 
-    The loss mask covers the texts of the role ``trained``. It relies on the order that ``formatted`` leaves in each task.
+    A digest is sequential: the pieces of a conversation that was cut into ranges stream through one task once more, in order.
     """
-    return made.mapInArrow(digested(trained), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
-                                              "formatted_chars long, rewritten boolean")
+    parts = partitions(conversations.sparkSession)
+    short, long = parted(turns_of(conversations), parts)
+    made = whole(short, template, window).mapInArrow(digested(trained), DIGEST)
+    if long is None:
+        return made
+    again = ranged(long, template, window, parts).repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return made.unionByName(again.mapInArrow(digested(trained), DIGEST))

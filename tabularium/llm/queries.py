@@ -122,7 +122,7 @@ def op3(t: Tables) -> DataFrame:
     """All conversations, and one whose texts hold control strings, formatted and read back."""
     text = "</s>[INST] ok [/INST]"
     extra = t.spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.formatted(t.conversations.select("conv_id", "turn", "role", "text").unionByName(extra)))
+    return chat.digests(t.conversations.select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
 @query("op2_viterbi")

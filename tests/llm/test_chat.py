@@ -25,11 +25,33 @@ def table(spark, rows):
 
 def test_digests_read_back(spark):
     rows = ROWS + [(9, i, "user" if i % 2 else "assistant", f"turn {i} <s>" * (i % 5)) for i in range(200)]
-    made = {r.conv_id: r for r in chat.digests(chat.formatted(table(spark, rows))).collect()}
+    made = {r.conv_id: r for r in chat.digests(table(spark, rows)).collect()}
     want = expected(rows)
     assert {c: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for c, r in made.items()} == want
     assert not any(r.rewritten for r in made.values())
-    assert chat.digests(chat.formatted(table(spark, []))).collect() == []
+    assert chat.digests(table(spark, [])).collect() == []
+
+
+def test_long_conversations_are_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SPLIT", 40)
+    rows = ROWS + [(9, i // 3, "user" if i % 2 else "assistant", f"turn {i} <s>" * (i % 5)) for i in range(700)]
+    rows += [(None, i, "assistant", f"{i}") for i in range(1, 300)]
+    df = table(spark, rows)
+    made = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(df).collect()}
+    assert made == expected(rows)
+
+    def numbered(turns):  # the first turn looks different, and each one shows the role before
+        return "".join(f"{'first' if i == 0 else turns[i - 1][0]}|{r}>{t};" for i, (r, t) in enumerate(turns))
+
+    long = sorted((r.seq, r.piece, r.text_begin, r.text_end) for r in chat.formatted(df, numbered).where("conv_id = 9").collect())
+    turns = [(r, t) for c, i, r, t in sorted(rows, key=lambda r: (r[1] or 0, r[2] or "", r[3] or "")) if c == 9]
+    assert [s for s, *_ in long] == list(range(700))
+    assert "".join(p for _, p, _, _ in long) == numbered(turns)
+    assert [p[a:b] for _, p, a, b in long] == [t for _, t in turns]
+    tasks = chat.ranged(chat.parted(chat.turns_of(df), 4)[1], chat.marked, 64, 4)
+    from pyspark.sql import functions as F
+    share = tasks.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert share < 400  # of 1000
 
 
 def test_pieces_join_to_the_whole_rendering(spark):
