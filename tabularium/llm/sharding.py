@@ -2,7 +2,7 @@
 
 Equal texts are one key of the ring, so copies stay together. Keys are summed into cells: ``CELLS`` places on the ring times
 size classes (powers of two), a number that does not grow with the data. Cells heavier than ``HEAVY`` of a shard's share, which
-only huge keys or few of them make, are split by hashes of single texts and then, if one text alone is as heavy, by doc_id.
+only huge keys or few of them make, are split by hashes of single texts and then, if one text alone is as heavy, by hashes of its rows.
 Each cell, heaviest first, goes to the first virtual node clockwise from its place whose shard still has room under
 (1 + ``SLACK``) times the mean; cells that find a shard full continue clockwise. So no shard exceeds the bound by more than
 one cell, and little moves when the load or the number of shards changes. Only cell sums reach the driver.
@@ -63,13 +63,14 @@ def sharded(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, slack: fl
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     slim = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-                            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")), "slim")
+                            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"),
+                            F.monotonically_increasing_id().alias("row")), "slim")
     total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     heavy = max(1.0, HEAVY * total / shards)
     kind = F.floor(F.log2("size")).cast("int")
     # three levels: place and size class; for heavy cells also a hash of the text; for heavy texts also one of the row
     rows = slim.withColumn("cell", F.xxhash64(cell(F.col("key"), CELLS), kind)).withColumn("place", F.xxhash64(cell(F.col("key"), CELLS), F.lit(1)))
-    for level, split in enumerate((F.xxhash64("cell", cell(F.xxhash64("key", F.lit(2)), FINE)), F.xxhash64("cell", cell(F.xxhash64("doc_id", F.lit(3)), FINE)))):
+    for level, split in enumerate((F.xxhash64("cell", cell(F.xxhash64("key", F.lit(2)), FINE)), F.xxhash64("cell", cell(F.xxhash64("row", F.lit(3)), FINE)))):
         big = [r[0] for r in rows.groupBy("cell").agg(F.sum("size").alias("size")).where(F.col("size") > heavy).select("cell").collect()]
         if big:  # fewer than shards / HEAVY cells can be this heavy
             rows = rows.withColumn("cell", F.when(F.col("cell").isin(big), split).otherwise(F.col("cell")))
@@ -80,7 +81,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, slack: fl
     table = spark.createDataFrame(list(zip(cells.column("cell").to_pylist(), where.tolist())),
                                   T.StructType([T.StructField("cell", T.LongType()), T.StructField("shard", T.IntegerType())]))
     placed = kept(rows.join(F.broadcast(table), "cell").select("doc_id", "size", "text_crc32", "shard",
-                                                               cell(F.xxhash64("doc_id", "key", F.lit(4)), SLOTS).alias("part")), "placed")
+                                                               cell(F.xxhash64("row", F.lit(4)), SLOTS).alias("part")), "placed")
     parts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = parts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     here = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))

@@ -43,6 +43,12 @@ def test_one_text_with_a_third_of_all_rows_is_split(spark):
     assert len({r.shard for r in made if r.doc_id % 3 == 0}) >= 2
 
 
+def test_one_row_repeated_is_split_too(spark):
+    rows = [(7, "hot " * 50)] * 1000 + [(i, f"text {i} " * (i % 40 + 1)) for i in range(10, 2000)]
+    made = check(spark.createDataFrame(rows, "doc_id long, text string"), 0.05, 0)
+    assert len({r.shard for r in made if r.doc_id == 7}) >= 2
+
+
 def test_little_moves():
     rng = np.random.default_rng(1)
     places, sizes = rng.integers(0, 1 << 63, 20000).astype(np.uint64) * np.uint64(2), rng.integers(1, 100, 20000).astype(float)
