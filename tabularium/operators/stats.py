@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -63,7 +65,8 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: i
             low, high = (at[edges.index(min(1.0, max(0.0, p + d)))] for d in (-slack, slack))
             brackets.append((c, k, least if p <= slack else low, most if p >= 1 - slack else high))
     ranks = lambda c, k: (math.floor((sketched[c][0] - 1) * probs[k]), math.ceil((sketched[c][0] - 1) * probs[k]))
-    found: dict[tuple[str, int], dict[int, float]] = {}
+    # a bracket of one value needs no look inside
+    found = {(c, k): dict.fromkeys(ranks(c, k), lo) for c, k, lo, hi in brackets if lo == hi}
     for wide in (False, True):  # a sketch that misses its bound would be widened to the whole range; none has been seen to
         todo = [(c, k, *((sketched[c][1], sketched[c][2]) if wide else (lo, hi))) for c, k, lo, hi in brackets if (c, k) not in found]
         for part in in_batches(todo, COLUMNS_PER_PASS):
@@ -80,8 +83,11 @@ def _pick_ranks(df: DataFrame, brackets: list[tuple], names: list[tuple]) -> dic
     """The values at the wanted ranks of each bracket (column, lower, upper, ranks), for brackets that hold them all."""
     number = lambda x: F.lit(float(x))
     below = df.agg(*[F.count_if(_value(c) < number(lo)) for c, lo, _, _ in brackets]).first()
-    inside = [F.struct(F.lit(i).alias("b"), _value(c).alias("v"), _value(c).between(number(lo), number(hi)).alias("ok")) for i, (c, lo, hi, _) in enumerate(brackets)]
-    held = (df.select(F.explode(F.filter(F.array(*inside), lambda s: s["ok"])).alias("s")).groupBy("s.b", "s.v").agg(F.count(F.lit(1)).alias("n")))
+    inside = [F.coalesce(_value(c).between(number(lo), number(hi)), F.lit(False)) for c, lo, hi, _ in brackets]
+    each = [F.struct(F.lit(i).alias("b"), _value(c).alias("v"), ok.alias("ok")) for i, ((c, _, _, _), ok) in enumerate(zip(brackets, inside))]
+    # most rows lie in no bracket and go no further than the filter
+    held = (df.filter(functools.reduce(operator.or_, inside)).select(F.explode(F.array(*each)).alias("s")).filter("s.ok")
+              .groupBy("s.b", "s.v").agg(F.count(F.lit(1)).alias("n")))
     upto = W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     base = F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in below]), F.col("b") + 1)
     spans = held.withColumn("to", base + F.sum("n").over(upto)).withColumn("from", F.col("to") - F.col("n"))
