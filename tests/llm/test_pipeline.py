@@ -1,7 +1,10 @@
+import numpy as np
+
 import corpus_pipeline
 from tabularium.llm import quality, toxicity
-from tests.llm.test_minhash import expected
+from tests.llm.test_minhash import expected, groups
 from tests.llm.test_packing import check
+from tests.llm.test_words import sets
 
 
 def test_stages_are_those_of_plain_python(spark, folder, documents, labels):
@@ -25,3 +28,22 @@ def test_awkward_rows_pass_all_stages(spark, folder, awkward, nothing):
             assert made.columns == df.columns and made.count() <= df.count()
     kept = corpus_pipeline.distinct(spark, awkward, folder).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 2, 3, 4, 7, 9, 10, 12, 13, 14] and sum(r.doc_id is None for r in kept) == 2
+
+
+def test_near_copies_between_80_and_85_percent_are_found(spark, folder):
+    rng = np.random.default_rng(11)
+    rows, near = [], 0
+    for i in range(60):
+        size, changed = int(rng.integers(150, 400)), 0
+        base = [f"d{i}w{j}" for j in range(size)]
+        copy = list(base)
+        while 5 * (changed + 1) / (size - 4) <= (0.11 if i % 3 else 0.125):
+            changed += 1
+            copy[7 * changed] = f"d{i}c{changed}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    by = [(i, sets(t)) for i, t in rows]
+    share = {(a, b): len(x & y) / len(x | y) for n, (a, x) in enumerate(by) for b, y in by[:n] if x & y}
+    assert sum(0.8 <= s < 0.85 for s in share.values()) >= 40 and sum(s < 0.8 for s in share.values()) >= 10
+    label = groups([p for p, s in share.items() if s >= 0.8], {i for i, _ in rows})
+    made = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    assert sorted(r.doc_id for r in made.collect()) == sorted(set(label.values()))
