@@ -3,7 +3,7 @@
 1. Each text becomes token ids plus an end id. Document frequencies of all ids are counted over all documents on the way.
 2. Documents are dealt by a hash of their id into shards of about ``shard_tokens`` tokens, so that a shard's inverted index
    always fits in one task, however many documents there are. Terms are token ids, weighted by BM25 with the corpus-wide
-   frequencies; a document's postings are its ``TERMS`` weightiest terms, and so are a query's.
+   frequencies; all of a document's terms are posted, and all are queried.
 3. In a shard, each seed document opens a window. Its unused neighbours in the index, best first, are put in whole while they
    fit; the best that does not fit is cut to fill the window exactly, and what remains of it seeds the next window. Without
    a neighbour, the next unused document in order is taken. A shard's last tokens are cut into windows whose sizes are powers
@@ -29,7 +29,8 @@ from tabularium.llm.store import kept
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS = 2_000_000
-TERMS = 24
+#: Postings of a document: all of its terms.
+TERMS = None
 K1, B = 1.2, 0.75
 # Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,25 +103,31 @@ class Shard:
         pairs, tf = np.unique(doc << np.uint64(32) | np.concatenate(ids).astype(np.uint64), return_counts=True)
         doc, term = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.size[doc] / self.size.mean()))).astype(np.float32)
-        order = np.lexsort((-weight, doc))
-        place = np.arange(len(order)) - np.searchsorted(doc[order], np.arange(n))[doc[order]]
-        order = order[place < TERMS]
-        self.doc_term, self.doc_at = term[order], np.searchsorted(doc[order], np.arange(n + 1))
-        by_term = order[np.argsort(term[order], kind="stable")]
-        self.terms, first = np.unique(term[by_term], return_index=True)
-        self.term_at, self.posting, self.weight = np.r_[first, len(by_term)], doc[by_term], weight[by_term]
-        self.unused = np.ones(n, bool)
+        by_term = np.argsort(term, kind="stable")
+        terms, first = np.unique(term[by_term], return_index=True)
+        self.doc_term, self.doc_at = np.searchsorted(terms, term), np.searchsorted(doc, np.arange(n + 1))
+        self.term_at, self.posting, self.weight = np.r_[first, len(by_term)], doc[by_term], weight[by_term].astype(np.float64)
+        self.unused, self.posted = np.ones(n, bool), n
         self.next = 0
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents that share a posting term with the seed, by falling score (ties by position)."""
-        wanted = np.searchsorted(self.terms, self.doc_term[self.doc_at[seed]:self.doc_at[seed + 1]])
-        hits = np.concatenate([np.arange(self.term_at[t], self.term_at[t + 1]) for t in wanted])
-        score = np.bincount(self.posting[hits], self.weight[hits], len(self.size))
+        if 2 * np.count_nonzero(self.unused) < self.posted:
+            self.forget()
+        wanted = self.doc_term[self.doc_at[seed]:self.doc_at[seed + 1]]
+        spans = list(zip(self.term_at[wanted].tolist(), self.term_at[wanted + 1].tolist()))
+        score = np.bincount(np.concatenate([self.posting[a:b] for a, b in spans]),
+                            np.concatenate([self.weight[a:b] for a, b in spans]), len(self.size))
         score[~self.unused] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
+    def forget(self) -> None:
+        """Takes the postings of used documents out of the index."""
+        live = self.unused[self.posting]
+        self.term_at = np.r_[0, np.cumsum(live)][self.term_at]
+        self.posting, self.weight, self.posted = self.posting[live], self.weight[live], np.count_nonzero(self.unused)
+
     def first(self) -> int:
         """The next unused document in order, or -1."""
         while self.next < len(self.unused) and not self.unused[self.next]:
@@ -158,15 +165,19 @@ def packed(ids: list[np.ndarray], idf: np.ndarray, window: int) -> list[tuple[in
         if sequence != at and not used:
             seed = -1
             continue
-        at, rest = sequence, -1
-        for doc in shard.neighbours(seed):
-            if shard.size[doc] <= room:
-                shard.unused[doc] = False
-                put(doc, 0)
-                if sequence != at:
-                    break
-            elif rest < 0:
-                rest = doc
+        at, rest, i = sequence, -1, 0
+        found = shard.neighbours(seed)
+        sizes = shard.size[found]
+        while i < len(found) and sequence == at:
+            fits = sizes[i:] <= room
+            skip = int(fits.argmax()) if fits.any() else len(fits)
+            if skip and rest < 0:
+                rest = found[i]
+            i += skip
+            if i < len(found):
+                shard.unused[found[i]] = False
+                put(int(found[i]), 0)
+                i += 1
         if sequence != at or not left:
             seed = -1
             continue

@@ -87,3 +87,29 @@ def test_related_documents_share_windows(spark):
     for r in made:
         pieces[r.sequence_id] += 1
     assert np.mean([len(mates[s]) / pieces[s] for s in mates if pieces[s] > 1]) < 0.8
+
+
+def test_long_documents_are_found_by_all_their_terms():
+    rng = np.random.default_rng(7)
+    ids = [rng.choice(4000, 1500).astype(np.uint16), *(rng.choice(np.arange(200 * i, 200 * i + 200), 60).astype(np.uint16) for i in range(20)),
+           *(rng.choice(np.arange(5000, 9000), 300).astype(np.uint16) for _ in range(20))]
+    n, mean = len(ids), np.mean([len(x) for x in ids])
+    seen = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=9000)
+    idf = np.log1p((n - seen + 0.5) / (seen + 0.5)).astype(np.float32)
+    shard = packing.Shard(ids, idf)
+
+    def uncut(seed):
+        score = np.zeros(n)
+        for d, x in enumerate(ids):
+            tf = np.bincount(x, minlength=9000)[np.unique(ids[seed])]
+            score[d] = (idf[np.unique(ids[seed])] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(x) / mean))).sum()
+        return score
+
+    for used in (0, 25):  # more than half used: postings of used documents have been taken out
+        shard.unused[n - used:] = False
+        for seed in (0, 3, 17):
+            score, found = uncut(seed), shard.neighbours(seed)
+            score[~shard.unused] = 0
+            assert set(found) == set(np.flatnonzero(score))
+            assert score[found] == pytest.approx(sorted(score[found], reverse=True), rel=1e-4)
+    assert set(range(1, n - 25)) <= set(shard.neighbours(0))
