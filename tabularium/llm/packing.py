@@ -1,8 +1,10 @@
 """Lexical retrieval packing: documents are packed into token windows next to documents that share their rare terms.
 
 1. Each text becomes token ids plus an end id. Document frequencies of all ids are counted over all documents on the way.
-2. Documents are dealt by a hash of their id into shards of about ``shard_tokens`` tokens, so that a shard's inverted index
-   always fits in one task, however many documents there are. Terms are token ids, weighted by BM25 with the corpus-wide
+2. Documents are dealt by content into shards of about ``shard_tokens`` tokens, so that a shard's inverted index always fits
+   in one task, however many documents there are. Each gets a key: the KEY_TERMS weightiest of its terms that other documents
+   hold too, commonest first, and last a hash of the row. Shards are ranges of keys between token quantiles of a sample, so
+   hot terms are split by the next terms and equal texts by the hash. Terms are token ids, weighted by BM25 with the corpus-wide
    frequencies; all of a document's terms are posted, and all are queried.
 3. In a shard, each seed document opens a window. Its unused neighbours in the index, best first, are put in whole while they
    fit; the best that does not fit is cut to fill the window exactly, and what remains of it seeds the next window. Without
@@ -31,6 +33,9 @@ WINDOW, END = 2048, 1
 SHARD_TOKENS = 2_000_000
 #: Postings of a document: all of its terms.
 TERMS = None
+KEY_TERMS = 8
+#: Sampled documents for each shard, from whose keys the shards' limits are taken.
+SAMPLED = 128
 K1, B = 1.2, 0.75
 # Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -187,6 +192,60 @@ def packed(ids: list[np.ndarray], idf: np.ndarray, window: int) -> list[tuple[in
     return pieces
 
 
+def term_keys(ids: list[np.ndarray], seen: np.ndarray, idf: np.ndarray, mean: float, row: np.ndarray) -> np.ndarray:
+    """Each document's key in bytes that sort: its weightiest shared terms, commonest first, and ``row``."""
+    key = np.full((len(ids), KEY_TERMS), 0xFFFFFFFF, ">u4")
+    for i, x in enumerate(ids):
+        if len(x) < len(seen) >> 4:
+            terms, tf = np.unique(x, return_counts=True)
+        else:
+            tf = np.bincount(x, minlength=len(seen))
+            terms = np.flatnonzero(tf)
+            tf = tf[terms]
+        shared = seen[terms] > 1
+        terms, tf = terms[shared], tf[shared]
+        weight = idf[terms] * tf / (tf + K1 * (1 - B + B * len(x) / mean))
+        top = terms[np.argsort(-weight, kind="stable")[:KEY_TERMS]]
+        key[i, :len(top)] = top[np.argsort(-seen[top], kind="stable")]
+    out = np.empty((len(ids), 4 * KEY_TERMS + 8), np.uint8)
+    out[:, :-8], out[:, -8:] = key.view(np.uint8).reshape(len(ids), -1), row.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view(f"S{out.shape[1]}").ravel()
+
+
+def keyed(seen: np.ndarray, idf: np.ndarray, mean: float, width, limits: np.ndarray | None = None):
+    """The key of each row, or with the limits between shards its shard and all that is packed."""
+    def make(batches):
+        for batch in batches:
+            for part in words.slices(batch, "ids", 1 << 20, 1024):
+                ids = [np.frombuffer(x, width) for x in part.column("ids").to_pylist()]
+                key = term_keys(ids, seen, idf, mean, part.column("row").to_numpy().view(np.uint64))
+                if limits is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([k.ljust(key.itemsize, b"\0") for k in key.tolist()], pa.binary()), part.column("doc_tokens")],
+                                                     names=["key", "doc_tokens"])
+                else:
+                    shard = np.searchsorted(limits, key, side="right")
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *(part.column(c) for c in ("doc_id", "doc_tokens", "ids", "order"))],
+                                                     names=["shard", "doc_id", "doc_tokens", "ids", "order"])
+    return make
+
+
+def dealt(rows: DataFrame, seen: np.ndarray, idf: np.ndarray, n: int, tokens: int, width, shard_tokens: int) -> DataFrame:
+    """``shard, doc_id, doc_tokens, ids, order``: rows in shards of about ``shard_tokens`` tokens, by keys."""
+    count = max(1, -(-tokens // shard_tokens))
+    order = F.crc32("ids")
+    # the hash parts rows that repeat an id and a text, so that no shard can outgrow its share
+    rows = rows.withColumn("order", order).withColumn("row", F.xxhash64("doc_id", order, F.monotonically_increasing_id()))
+    if count == 1:
+        return rows.select(F.lit(0).cast("long").alias("shard"), "doc_id", "doc_tokens", "ids", "order")
+    mean = tokens / n
+    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(n)) < SAMPLED * count).mapInArrow(keyed(seen, idf, mean, width), "key binary, doc_tokens long").toArrow()
+    key = np.array(some.column("key").to_pylist(), f"S{4 * KEY_TERMS + 8}")
+    by = np.argsort(key, kind="stable")
+    sums = np.cumsum(some.column("doc_tokens").to_numpy()[by])
+    limits = key[by][np.searchsorted(sums, sums[-1] * np.arange(1, count) / count)] if len(key) else key
+    return rows.mapInArrow(keyed(seen, idf, mean, width, limits), "shard long, doc_id long, doc_tokens long, ids binary, order long")
+
+
 def shards(idf: np.ndarray, window: int, width):
     def pack(key, table):
         table = table.sort_by([("doc_id", "ascending"), ("order", "ascending")])
@@ -216,9 +275,6 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
     size = tokenizer(path).size
     seen = np.frombuffer(total[0], np.int64) if total else np.zeros(size, np.int64)
     idf = np.log1p((n - seen + 0.5) / (seen + 0.5)).astype(np.float32)
-    count = max(1, -(-tokens // shard_tokens))
-    # a second hash of the content parts rows that repeat an id, so that no shard can outgrow its share
-    shard = F.pmod(F.xxhash64("doc_id", F.crc32("ids"), F.monotonically_increasing_id()), F.lit(count)).alias("shard")
-    dealt = rows.select(shard, "doc_id", "doc_tokens", "ids", F.crc32("ids").alias("order"))
-    return dealt.groupBy("shard").applyInArrow(shards(idf, window, np.uint16 if size <= 1 << 16 else np.uint32),
-                                               "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    width = np.uint16 if size <= 1 << 16 else np.uint32
+    return dealt(rows, seen, idf, n, tokens, width, shard_tokens).groupBy("shard").applyInArrow(
+        shards(idf, window, width), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -113,3 +113,26 @@ def test_long_documents_are_found_by_all_their_terms():
             assert set(found) == set(np.flatnonzero(score))
             assert score[found] == pytest.approx(sorted(score[found], reverse=True), rel=1e-4)
     assert set(range(1, n - 25)) <= set(shard.neighbours(0))
+
+
+def test_topic_mates_share_a_shard_and_hot_texts_are_split(spark):
+    rng = np.random.default_rng(8)
+    topics = rng.permutation(np.arange(100, 40_000))[:4000].reshape(100, 40)
+    common = np.arange(50_000, 50_200)
+    texts = [np.r_[rng.choice(topics[i % 100], 60), rng.choice(common, 60)].astype(np.uint16) for i in range(2000)] + [topics[5].astype(np.uint16)] * 1500
+    rows = [(i % 3000, len(x), x.tobytes()) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, doc_tokens long, ids binary").repartition(5)
+    seen = np.bincount(np.concatenate([np.unique(x) for x in texts]), minlength=50_300)
+    idf = np.log1p((len(texts) - seen + 0.5) / (seen + 0.5)).astype(np.float32)
+    tokens = sum(len(x) for x in texts)
+    made = packing.dealt(df, seen, idf, len(texts), tokens, np.uint16, 6000).collect()
+    assert sorted((r.doc_id, r.ids) for r in made) == sorted((d, x) for d, _, x in rows)
+    size, of = defaultdict(int), defaultdict(list)
+    for r in made:
+        size[r.shard] += r.doc_tokens
+        x = np.frombuffer(r.ids, np.uint16)
+        if len(x) == 120:
+            of[int(np.flatnonzero((topics == x[0]).any(axis=1))[0])].append(r.shard)
+    assert max(size.values()) < 2 * 6000 and len(size) == -(-tokens // 6000)
+    mates = [np.mean([a == b for i, a in enumerate(s) for b in s[:i]]) for s in of.values()]
+    assert np.mean(mates) > 0.1  # a hash of the ids gives 0.02
