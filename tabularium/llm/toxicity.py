@@ -3,9 +3,9 @@
 A window is one word (a run of letters, lower-cased) between blanks, followed by a fixed guard so that zstandard, which
 does not look for matches in the last bytes of its input, can match all of the word. Each dictionary holds the windows of
 its class, the commonest last; the toxic one only those that toxic documents have far oftener than ordinary ones (five times
-the rate, four standard errors, one toxic document in a hundred and three at least), counted in documents after near copies
-have been collapsed, since ordinary words would fill both. A window is a hit if it compresses to no more bytes with the
-toxic dictionary than that dictionary's own windows do, and to fewer, by a calibrated margin, than with the ordinary one.
+the rate, and a chance below ALPHA by the exact hypergeometric tail, however rare the word), counted in documents after near
+copies have been collapsed, since ordinary words would fill both. A window is a hit if it compresses to no more bytes with the
+toxic dictionary than the longest of that dictionary's own windows does (far ones take more bytes than near ones), and to fewer, by a calibrated margin, than with the ordinary one.
 The number of hits, their share of the words and their mean gain give a document's score through a calibrated logistic
 network. Longer windows were tried: one such word in six or eight then changes the length less than chance does.
 
@@ -14,6 +14,8 @@ The dictionaries and the calibration use at most ``labelled.MOST_ROWS`` labelled
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -29,6 +31,8 @@ SHORTEST = 3
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
 MARGINS = (1, 2, 3)
+#: One-sided chance of four standard errors.
+ALPHA = math.erfc(4 / math.sqrt(2)) / 2
 
 
 def word_spans(texts: pa.Array):
@@ -109,7 +113,7 @@ class Distance:
         self.how = None
         own = np.frombuffer(self.content[0], np.uint8)
         at = np.r_[0, np.cumsum([len(w) + 2 + len(GUARD) for w in toxic[::-1]])].astype(np.int64)
-        self.most = int(np.median(lengths(self.compressors()[0], own, at))) if toxic else -1
+        self.most = int(np.max(lengths(self.compressors()[0], own, at))) if toxic else -1
         self.how = None
 
     @staticmethod
@@ -167,6 +171,23 @@ class Toxicity:
         return F.arrow_udf(score, "double")(F.col(text).cast("string") if isinstance(text, str) else text)
 
 
+def tails(bad: int, good: int):
+    """For words found in b of ``bad`` and g of ``good`` documents, the chance of b or more by the hypergeometric law."""
+    logs = np.r_[0, np.cumsum(np.log(np.arange(1, bad + good + 1)))]
+    choose = lambda n, k: logs[n] - logs[k] - logs[n - k]
+
+    def chance(b: pa.Array, g: pa.Array) -> pa.Array:
+        pairs, back = np.unique(np.stack([b.to_numpy(), g.to_numpy()], axis=1), axis=0, return_inverse=True)
+        out = []
+        for x, y in pairs:
+            k = np.arange(x, min(x + y, bad) + 1)
+            k = k[x + y - k <= good]
+            out.append(np.exp(choose(bad, k) + choose(good, x + y - k) - choose(bad + good, x + y)).sum())
+        return pa.array(np.array(out, float)[back.ravel()])
+
+    return F.arrow_udf(chance, "double")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = MOST_ROWS) -> Toxicity:
     """Dictionaries and calibration from labelled documents (``docs``: doc_id, text; ``labels``: doc_id and a 0/1 column).
 
@@ -181,10 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int
     counts = (apart.select("y", "text").mapInArrow(vocabulary, "word binary, y int").groupBy("word")
               .agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")))
     p, q = F.col("bad") / max(bad, 1), F.col("good") / max(good, 1)
-    both = (F.col("bad") + F.col("good")) / max(bad + good, 1)
-    error = F.sqrt(both * (1 - both) * (1 / max(bad, 1) + 1 / max(good, 1)))
     top = lambda df, by: [bytes(r.word) for r in df.orderBy(F.desc(by), "word").limit(MOST_WINDOWS).collect()]
-    toxic = top(counts.where((F.col("bad") >= max(3, 0.01 * bad)) & (p > 5 * q) & (p - q > 4 * error)), "bad")
+    toxic = top(counts.where((p > 5 * q) & (tails(bad, good)("bad", "good") < ALPHA)), "bad")
     distance = Distance(toxic, top(counts.where("good > 0"), "good"))
     made = sample.mapInArrow(distance, "y int, vector array<double>").toArrow()
     width = 4

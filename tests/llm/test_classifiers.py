@@ -52,3 +52,39 @@ def test_whole_words_compress_to_their_own_length():
     import pyarrow as pa
     gain, docs = known.gains(pa.array(["Dreadful plain words", None, "here dreadfulness horrid", "a b"]))
     assert docs.tolist() == [0, 3, 3, 6, 6] and (gain[[0, 5]] > 0).all() and (gain[[1, 2, 3, 4]] == 0).all()
+
+
+@pytest.mark.parametrize("n", [5, 8, 10, 12, 14, 3000])
+def test_every_dictionary_word_is_a_hit(n):
+    import pyarrow as pa
+    rng = np.random.default_rng(n)
+    made = list(dict.fromkeys("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(4, 10))) for _ in range(n + 800)))
+    toxic, ordinary = made[:n], made[n:n + 500]
+    known = toxicity.Distance([w.encode() for w in toxic], [w.encode() for w in ordinary])
+    gain, _ = known.gains(pa.array([" ".join(toxic)]))
+    assert len(gain) == n and (gain > 0).all()
+    other, _ = known.gains(pa.array([" ".join(ordinary)]))
+    assert (other == 0).all()
+
+
+def test_rare_toxic_words_are_kept(spark):
+    rng = np.random.default_rng(12)
+    common = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(400)]
+    taught = [i for i in range(7000) if zlib.crc32(str(i).encode()) % 3 != 1][:4000]
+    rows = []
+    for place, i in enumerate(taught):
+        text = list(rng.choice(common, 30))
+        if place < 2000:
+            text[5] = "often" + "xyz"[place % 3] * 4
+            if place % 100 == 0:
+                text[9] = "seldomqq"  # 20 of 2,000 would pass the old floor
+            if place % 125 == 1:
+                text[12] = "rarelyzz"  # 16 of 2,000
+            if place % 500 == 2:
+                text[14] = "chancevv"  # 4 of 2,000 are no evidence
+        rows.append((i, " ".join(text), int(place < 2000)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    known = model.distance.content[0]
+    assert b" seldomqq " in known and b" rarelyzz " in known and b" chancevv " not in known
+    assert not any(b" " + w.encode() + b" " in known for w in common)
