@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import chat, labelled, language, minhash, packing, pieces, quality, sharding, sketch, toxicity, vectors
+from tabularium.llm import chat, labelled, language, minhash, negatives, packing, pieces, quality, sharding, sketch, toxicity, vectors
 from tabularium.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,17 @@ def op3(t: Tables) -> DataFrame:
 def op2(t: Tables) -> DataFrame:
     """Piece ids of all whole documents, decoded again."""
     return pieces.digested(t.documents, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_negatives", """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND len(a.e) = len(b.e)),
+p AS (SELECT * FROM s WHERE same AND id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 10""")
+def op13(t: Tables) -> DataFrame:
+    """Hard negatives of every hundredth embedding, for each of its five best positives."""
+    return negatives.hard_negatives(t.embeddings)
