@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import chat, labelled, language, minhash, negatives, packing, pieces, quality, sharding, sketch, toxicity, vectors
+from tabularium.llm import chat, labelled, language, minhash, negatives, packing, pieces, quality, sharding, sketch, toxicity, vectors, wavelet
 from tabularium.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,9 @@ WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY
 def op13(t: Tables) -> DataFrame:
     """Hard negatives of every hundredth embedding, for each of its five best positives."""
     return negatives.hard_negatives(t.embeddings)
+
+
+@query("op11_wavelet")
+def op11(t: Tables) -> DataFrame:
+    """All whole documents' ids written into wavelet matrices and read back from the files."""
+    return wavelet.documents(t.spark, wavelet.written(t.documents, public_tokenizers.path("byte_bpe_50k.json")))
