@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import chat, labelled, language, minhash, negatives, packing, pieces, quality, sharding, sketch, toxicity, vectors, wavelet
+from tabularium.llm import chat, labelled, language, minhash, negatives, packing, phrases, pieces, quality, sharding, sketch, toxicity, vectors, wavelet
 from tabularium.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,23 @@ def op13(t: Tables) -> DataFrame:
 def op11(t: Tables) -> DataFrame:
     """All whole documents' ids written into wavelet matrices and read back from the files."""
     return wavelet.documents(t.spark, wavelet.written(t.documents, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op12_phrases", f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+q AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM q GROUP BY 1),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM q, (SELECT unnest([1, 2, 3, 4, 5]) AS m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (SELECT c.lang, c.phrase, c.m, c.a, k, l.a AS l, r.a AS r, n, (CAST(1000 AS HUGEINT) * c.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+  FROM c JOIN n ON n.lang = c.lang JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:m], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM s
+WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.lang = s.lang AND y.m > s.m AND 100 * y.a >= 100 * s.a AND contains(' ' || y.phrase || ' ', ' ' || s.phrase || ' '))
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000""")
+def op12(t: Tables) -> DataFrame:
+    """The collocations of each language in all whole documents."""
+    return phrases.collocations(t.documents)
