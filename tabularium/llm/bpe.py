@@ -1,14 +1,16 @@
-"""Token ids of whole texts, equal to those of the tokenizers library, piece by piece with a bounded cache.
+"""Token ids of whole texts, equal to those of the tokenizers library, by distinct pieces with a bounded cache.
 
-A byte-level BPE vocabulary cuts a text into pieces by one pattern and merges inside pieces only. So a piece's ids are looked up
-in a cache, and only pieces not met before are merged, by tokenizers' own model or, where ids rank the merges, by tiktoken.
-Texts with special tokens or rare characters, and other kinds of vocabulary, are encoded by tokenizers as a whole.
+A byte-level BPE vocabulary cuts a text into pieces by one pattern and merges inside pieces only. The pieces of many texts are
+found with numpy at once, equal ones by a 64-bit hash; only distinct pieces are looked up, and only those not met before are merged,
+by tokenizers itself or, where ids rank the merges, by tiktoken. Texts with special tokens or rare characters, and other
+kinds of vocabulary, are encoded by tokenizers as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,26 +18,57 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
+from tabularium.llm import words
+
 # Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond these characters the libraries' Unicode tables may differ, so such texts go the slower way.
 COMMON = "\x00-ɏ‐-‧€"
 RARE = re.compile(f"[^{COMMON}]")
 #: Pieces in the cache (about 200 bytes each), and the longest piece that it takes.
-MOST_PIECES, LONGEST_PIECE = 1 << 17, 48
+MOST_PIECES, LONGEST_PIECE = 1 << 19, 48
+SPACE, LETTER, NUMBER, OTHER = range(4)
+
 
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """The kind of each common character by the pattern's Unicode classes."""
+    out = np.full(0x20ad, OTHER, np.uint8)
+    for kind, which in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+        out[[i for i in range(len(out)) if regex.match(which, chr(i))]] = kind
+    return out
 
-def pieces_pattern() -> re.Pattern:
-    """PATTERN for texts of common characters, with the Unicode classes written out, which ``re`` searches several times faster."""
-    common = regex.compile(f"[{COMMON}]")
-    chars = [c for c in map(chr, range(0x20ad)) if common.match(c)]
 
-    def those(kind: str) -> str:
-        return "".join(re.escape(c) for c in chars if regex.match(kind, c))
+def piece_starts(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where PATTERN's pieces begin in texts of common characters, given as code points one after another.
 
-    letter, number, space = those(r"\p{L}"), those(r"\p{N}"), those(r"\s")
-    return re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]").replace(r"\p{L}", f"[{letter}]")
-                      .replace(r"\p{N}", f"[{number}]").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
+    Runs of one kind are pieces. A run takes the space before it; any other white space before it stands alone, and what is
+    left of the white space is a piece. A single apostrophe without a space before it takes s, t, m, d, re, ve or ll.
+    """
+    kind = kinds()[points]
+    fresh = np.zeros(len(points) + 1, bool)
+    fresh[np.r_[0, np.cumsum(sizes)]] = True
+    start = fresh[:-1].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    runs = np.flatnonzero(start)
+    after = runs[(kind[runs] != SPACE) & ~fresh[runs]]
+    after = after[kind[after - 1] == SPACE]
+    mark = np.flatnonzero((points == 0x27) & start)
+    start[after - 1] = True
+    start[after[points[after - 1] == 0x20]] = False
+    mark = mark[~fresh[mark + 1] & start[mark]]  # an apostrophe with a space before it is no start any more
+    one = points[mark + 1]
+    second = mark + 2 < len(points)
+    two = np.where(second, points[np.minimum(mark + 2, len(points) - 1)], 0)
+    two[second] *= ~fresh[mark[second] + 2]
+    size = np.where(np.isin(one, [*map(ord, "stmd")]), 2, 0)
+    for pair in ("re", "ve", "ll"):
+        size[(one == ord(pair[0])) & (two == ord(pair[1]))] = 3
+    mark, size = mark[size > 0], size[size > 0]
+    start[mark + 1] = False
+    rest = (mark + size)[mark + size < len(points)]
+    start[rest[(kind[rest] == LETTER) & ~fresh[rest]]] = True
+    return np.flatnonzero(start)
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,16 +80,48 @@ def byte_letters() -> dict[int, str]:
 class Pieces(dict):
     """Ids of pieces as bytes; starts anew when it is full."""
 
-    def __init__(self, single, width):
-        self.single, self.width = single, width
+    def __init__(self, merge):
+        self.merge = merge
+
+    def all(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of these distinct pieces."""
+        new = [p for p in pieces if p not in self]
+        if not new:
+            return [self[p] for p in pieces]
+        known = dict(zip(new, self.merge(new)))
+        out = [known[p] if p in known else self[p] for p in pieces]
+        if len(self) + len(known) > MOST_PIECES:
+            self.clear()
+        self.update((p, x) for p, x in known.items() if len(p) <= LONGEST_PIECE)
+        return out
+
+
+def by_model(model, code: str):
+    """Merges pieces by tokenizers' own model."""
+    letters = byte_letters()
+
+    def merge(pieces: list[str]) -> list[bytes]:
+        return [array(code, [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in pieces]
+    return merge
+
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.single(piece), self.width).tobytes()
-        if len(piece) <= LONGEST_PIECE:
-            if len(self) >= MOST_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+def by_ranks(vocab: dict[str, int], special: list[str], size: int, width):
+    """Merges pieces by tiktoken. Those that begin with a space and go on without one can be encoded as one text."""
+    back = {c: b for b, c in byte_letters().items()}
+    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
+    encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    lengths = np.zeros(size, np.int64)
+    lengths[list(ranks.values())] = [len(token) for token in ranks]
+
+    def merge(pieces: list[str]) -> list[bytes]:
+        joins = [len(p) > 1 and p[0] == " " and not p[1].isspace() for p in pieces]
+        many = [p for p, j in zip(pieces, joins) if j]
+        ids = encode("".join(many)).astype(width)
+        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(p.encode()) for p in many])) + 1
+        data, step, ends = ids.tobytes(), ids.itemsize, ends.tolist()
+        found = iter([data[a * step:b * step] for a, b in zip([0, *ends[:-1]], ends)])
+        return [next(found) if j else encode(p).astype(width).tobytes() for p, j in zip(pieces, joins)]
+    return merge
 
 
 @lru_cache(4)
@@ -64,6 +129,7 @@ def encoder(path: str, library: str = "tokenizers"):
     """A function from texts to id arrays, equal to ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
 
     ``library`` merges the pieces that are not cached: "tokenizers", or "tiktoken" where each token's id is its merge's rank.
+    Callers bound the texts of one call, as its work space grows with them.
     """
     slow = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
@@ -72,26 +138,31 @@ def encoder(path: str, library: str = "tokenizers"):
     vocab, before = spec["model"]["vocab"], spec.get("pre_tokenizer") or {}
     size = max(slow.get_vocab_size(), max(vocab.values()) + 1, 2)
     width = np.uint16 if size <= 1 << 16 else np.uint32
-    letters = byte_letters()
     cache = None
     if spec["model"].get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not spec.get("normalizer"):
-        if library == "tiktoken":
-            back = {c: b for b, c in letters.items()}
-            ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
-            cache = Pieces(tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, width)
-        else:
-            model = slow.model
-            cache = Pieces(lambda piece: [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))], width)
-    cut = pieces_pattern() if cache is not None else None
+        cache = Pieces(by_ranks(vocab, special, size, width) if library == "tiktoken" else by_model(slow.model, "H" if width is np.uint16 else "I"))
+
+    def common(texts: list[str]) -> list[np.ndarray]:
+        whole = "".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(t) for t in texts])
+        begin = piece_starts(points, sizes)
+        end = np.r_[begin[1:], len(points)]
+        _, first, which = np.unique(words.span_hashes(points, begin, end), return_index=True, return_inverse=True)
+        found = cache.all([whole[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())])
+        ids = np.frombuffer(b"".join(found), width)
+        counts = np.array([len(x) for x in found]) // ids.itemsize
+        n = counts[which]
+        out_at = np.r_[0, np.cumsum(n)]
+        place = np.repeat((np.cumsum(counts) - counts)[which] - out_at[:-1], n) + np.arange(out_at[-1])
+        cuts = out_at[np.searchsorted(begin, np.r_[0, np.cumsum(sizes)])]
+        ids = ids[place]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            if cache is not None and (text.isascii() or not RARE.search(text)) and not any(s in text for s in special):
-                out.append(np.frombuffer(b"".join(map(cache.__getitem__, cut.findall(text))), width))
-            else:
-                out.append(np.array(slow.encode(text, add_special_tokens=False).ids, width))
-        return out
+        fast = [i for i, t in enumerate(texts) if cache is not None and t and (t.isascii() or not RARE.search(t)) and not any(s in t for s in special)]
+        out = dict(zip(fast, common([texts[i] for i in fast]))) if fast else {}
+        return [out[i] if i in out else np.array(slow.encode(t, add_special_tokens=False).ids, width) for i, t in enumerate(texts)]
 
     encode.size, encode.width = size, width
     return encode

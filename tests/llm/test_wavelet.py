@@ -94,3 +94,14 @@ def test_ids_are_those_of_tokenizers(documents, awkward, library, monkeypatch):
     assert [x.tolist() for x in bpe.encoder(PATH, library)(texts)] == want
     other = public_tokenizers.path("word_bpe_49k.json")
     assert [x.tolist() for x in bpe.encoder(other, library)(["A word, or two"])] == [Tokenizer.from_file(other).encode("A word, or two", add_special_tokens=False).ids]
+
+
+def test_pieces_are_those_of_the_pattern():
+    rng = np.random.default_rng(4)
+    letters = [*"aestmdrvlZéß09²½", *["'"] * 5, *".,-<|", *[" "] * 5, "\n", "\t", "\xa0", "\x85", "\x1c", "\r", "’", "€"]
+    pattern = bpe.regex.compile(bpe.PATTERN)
+    for _ in range(400):
+        texts = ["".join(rng.choice(letters, rng.integers(1, 30))) for _ in range(rng.integers(1, 6))]
+        whole = "".join(texts)
+        starts = bpe.piece_starts(np.frombuffer(whole.encode("utf-32-le"), np.uint32), np.array([len(t) for t in texts]))
+        assert [whole[a:b] for a, b in zip(starts, np.r_[starts[1:], len(whole)])] == [p for t in texts for p in pattern.findall(t)]
