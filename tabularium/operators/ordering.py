@@ -84,6 +84,22 @@ def fill_along(df: DataFrame, column: str, keys: list, forward: bool = True, nam
                   .drop("_part", "_place", "_inside", "_carried"))
 
 
+def with_next(df: DataFrame, keys: list, columns: list[str], prefix: str = "next_") -> DataFrame:
+    """Add the values that ``columns`` have in the next row in the order of ``keys``, null in the last row.
+
+    Inside a partition the next row is at hand; the first row of the next partition comes from a summary with one row per
+    partition. No group of equal keys is ever one task's.
+    """
+    slots = ordered_slots(df, keys)
+    inside = W.partitionBy("_part").orderBy("_place")
+    row = F.struct(*columns)
+    firsts = slots.groupBy("_part").agg(F.min_by(row, "_place").alias("_first"))
+    following = firsts.select("_part", F.lead("_first").over(W.orderBy("_part")).alias("_following"))
+    told = (slots.withColumn("_next", F.lead(row).over(inside)).join(F.broadcast(following), "_part")
+                 .withColumn("_next", F.coalesce("_next", "_following")))
+    return told.withColumns({prefix + c: F.col("_next")[c] for c in columns}).drop("_part", "_place", "_next", "_following")
+
+
 def split_after(df: DataFrame, moment: str, ties: list[str], fraction_of: int = 2) -> Column:
     """Predicate that is true for the rows from position ``rows // fraction_of`` on, ordered by moment and ties.
 

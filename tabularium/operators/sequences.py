@@ -1,8 +1,9 @@
 """Per-key event sequences that stay balanced when one key holds a large share of all rows.
 
 Sessions need no window over rows: events of one key in one slot as wide as the idle time always belong together, so a
-partial aggregate per (key, slot) comes first and the per-key windows see a row per slot. Runs of failures are counted in
-one distributed order of all rows, cut by rows and not by keys; a summary with one row per partition carries the rest.
+partial aggregate per (key, slot) comes first and the per-key windows see a row per slot. Runs of failures and pairs of
+opening and closing events are found in one distributed order of all rows, cut by rows and not by keys; a summary with one
+row per partition carries the rest.
 """
 
 from __future__ import annotations
@@ -45,13 +46,13 @@ def paired_sessions(df: DataFrame, key: str, moment: str, tie: str, opens: Colum
     """``(key, status, ts, ended, duration_seconds)``: each opening event with the first closing event of its key before the
     next opening; without one the session is still open if it is the key's last, and lasts until ``now``, else it was lost.
 
-    Only opening and closing events are windowed; a row is written once however many other events a key has.
+    The marks of all keys are one distributed order, cut by rows, so that a key may hold any share of them.
     """
-    marks = df.filter(opens | closes).withColumn("_open", F.coalesce(opens, F.lit(False)))
-    order = W.partitionBy(key).orderBy(moment, tie)
+    marks = df.filter(opens | closes).select(key, moment, tie, F.coalesce(opens, F.lit(False)).alias("_open"))
     # the next mark decides: a closing one ends the session, an opening one means that it was lost
-    paired = (marks.withColumn("_next_open", F.lead("_open").over(order)).withColumn("_next", F.lead(moment).over(order))
-                   .filter("_open"))
+    told = ordering.with_next(marks, [key, moment, tie], [key, moment, "_open"], "_next_").filter("_open")
+    same = F.col(key).eqNullSafe(F.col("_next_" + key)) & F.col("_next__open").isNotNull()
+    paired = told.withColumn("_next_open", F.when(same, F.col("_next__open"))).withColumn("_next", F.when(same, F.col("_next_" + moment)))
     status = F.when(F.col("_next_open").isNull(), "active").when(F.col("_next_open"), "lost").otherwise("completed")
     ended = F.when(status == "completed", F.col("_next"))
     length = F.when(status == "active", seconds_between(moment, now)).when(status == "completed", seconds_between(moment, F.col("_next")))

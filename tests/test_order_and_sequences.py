@@ -131,3 +131,28 @@ def test_a_hot_key_and_hour_is_split(spark, monkeypatch):
     assert got == want and max(want.values()) > 600
     found = {(r["user_id"], r["session_start"], r["session_end"], r["events"]) for r in sequences.sessions(df, "user_id", "ts").collect()}
     assert found == plain_sessions(df, 7200)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_pairs_of_a_hot_key_are_cut_by_rows(spark, monkeypatch, parts):
+    """Nine of ten marks are one key's; partitions end between an opening event and its closing one."""
+    rng = random.Random(6)
+    start, rows = dt.datetime(2024, 1, 1), []
+    for i in range(800):
+        start += dt.timedelta(seconds=rng.choice([0, 5, 900]))
+        rows.append((1 if rng.random() < 0.9 else rng.choice([None, 2, 3]), start, i, rng.choice(["in", "out", "other", None])))
+    now = dt.datetime(2025, 1, 1)
+    want = []
+    for key in {r[0] for r in rows}:
+        marks = sorted((r for r in rows if r[0] == key and r[3] in ("in", "out")), key=lambda r: r[1:3])
+        for mark, after in zip(marks, [*marks[1:], None]):
+            if mark[3] == "in":
+                kind = "active" if after is None else "lost" if after[3] == "in" else "completed"
+                end = {"active": now, "lost": None, "completed": after and after[1]}[kind]
+                want.append((key or 0, kind, mark[1], end if kind == "completed" else None, None if end is None else int((end - mark[1]).total_seconds())))
+    monkeypatch.setattr(ordering, "_partitions", lambda spark, rows: parts)
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "who long, at timestamp_ntz, id long, what string").repartition(5)
+    found = sequences.paired_sessions(df, "who", "at", "id", F.col("what") == "in", F.col("what") == "out", F.lit(now))
+    got = [(r.who or 0, r.status, r.at if "at" in found.columns else r.ts, r.ended, r.duration_seconds) for r in found.collect()]
+    key = lambda r: (r[0], r[2], r[1], str(r[3]), str(r[4]))
+    assert sorted(got, key=key) == sorted(want, key=key)
