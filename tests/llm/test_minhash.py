@@ -21,9 +21,9 @@ def groups(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-def expected(rows):
+def expected(rows, percent=85):
     by = [(i, sets(t)) for i, t in rows if i is not None]
-    links = [(a, b) for n, (a, x) in enumerate(by) for b, y in by[:n] if x and y and 100 * len(x & y) >= 85 * len(x | y)]
+    links = [(a, b) for n, (a, x) in enumerate(by) for b, y in by[:n] if x and y and 100 * len(x & y) >= percent * len(x | y)]
     return groups(links, {i for i, _ in by})
 
 

@@ -14,7 +14,7 @@ def test_stages_are_those_of_plain_python(spark, folder, documents, labels):
     clean = corpus_pipeline.clean(spark, made, folder)
     assert sorted(clean.collect()) == sorted(made.where(toxicity.fit(made, labels).column("text") < 0.7).collect()) and clean.columns == documents.columns
     first = corpus_pipeline.distinct(spark, clean, folder)
-    label = expected([(r.doc_id, r.text) for r in clean.collect()])
+    label = expected([(r.doc_id, r.text) for r in clean.collect()], 80)
     assert sorted(r.doc_id for r in first.collect()) == sorted(set(label.values())) and first.columns == documents.columns
     check(first, corpus_pipeline.windows(spark, first, folder).collect(), 2048)
     packed = corpus_pipeline.run(spark, folder)
@@ -47,3 +47,11 @@ def test_near_copies_between_80_and_85_percent_are_found(spark, folder):
     label = groups([p for p, s in share.items() if s >= 0.8], {i for i, _ in rows})
     made = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder)
     assert sorted(r.doc_id for r in made.collect()) == sorted(set(label.values()))
+
+
+def test_rows_that_repeat_an_id_leave_the_one_of_the_smallest_hash(spark, folder):
+    rows = [(1, f"text number {i} of the same id and no other one", "en", i % 3) for i in range(40)] + [(2, "alone", "de", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, row int")
+    made = corpus_pipeline.distinct(spark, df.repartition(9), folder)
+    first = df.where("doc_id = 1").selectExpr("min(struct(xxhash64(text) AS h, text)).text AS t").first().t
+    assert made.columns == df.columns and sorted((r.doc_id, r.text) for r in made.collect()) == [(1, first), (2, "alone")]
