@@ -6,13 +6,15 @@ bought gives permissions and requests.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from tabularium.functions.numbers import r4
 from tabularium.operators import access, clean, filters, sequences, stats
 from tabularium.plans.registry import query
 from tabularium.session import scratch_path
-from tabularium.streaming import lockout, run, windows
+from tabularium.streaming import live, lockout, run, windows
 
 PERMS_SQL = """perms AS (SELECT o_custkey AS user_id, l_partkey AS dataset_id, bool_or(l_returnflag <> 'R') AS can_view,
   bool_or(l_linestatus = 'O') AS can_edit, max(l_shipdate) AS granted_at
@@ -21,6 +23,8 @@ REQUESTS_SQL = """requests AS (SELECT l_orderkey * 10 + l_linenumber AS request_
   l_linestatus AS permission, CASE l_returnflag WHEN 'R' THEN 'pending' WHEN 'A' THEN 'approved' ELSE 'rejected' END AS status,
   l_shipdate AS requested_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 STAMP = "%Y-%m-%d %H:%M:%S"
+#: How late rows of the event log may be; its files come in any order.
+WHOLE_LOG = timedelta(days=3650)
 
 
 def stamp(c):
@@ -349,6 +353,27 @@ def stream_sessions(t):
     return found.select("user_id", stamp("session_start").alias("session_start"), stamp("session_end").alias("session_end"), "events")
 
 
+@query("stream_closed_sessions", f"""WITH {SESSIONS_SQL}, now AS (SELECT max(ts) AS n FROM events)
+SELECT user_id, strftime(session_start, '{STAMP}') AS session_start, strftime(session_end, '{STAMP}') AS session_end, CAST(events AS BIGINT) AS events
+FROM sessions, now WHERE epoch_ms(session_end) + 7200000 < epoch_ms(n)""")
+def stream_closed_sessions(t):
+    """Sessions that left a running query because they had closed, with all that late rows took back and put in again."""
+    feed = run.table_stream(t, "events").select("user_id", "ts")
+    found = live.settled(run.drain(live.closed_sessions(feed, "user_id", "ts", horizon=WHOLE_LOG), "closed"))
+    return found.select("user_id", stamp("session_start").alias("session_start"), stamp("session_end").alias("session_end"), "events")
+
+
+@query("stream_expired_tokens", f"""WITH now AS (SELECT max(ts) AS n FROM events), tokens AS (
+  SELECT user_id, max(ts) + INTERVAL 12 HOUR AS ends FROM events WHERE event_type <> 'error' GROUP BY 1)
+SELECT user_id, strftime(ends, '{STAMP}') AS expires_at FROM tokens, now WHERE epoch_ms(ends) < epoch_ms(n)""")
+def stream_expired_tokens(t):
+    """Each user's token lasts twelve hours from their last success; those that left a running query because they had expired."""
+    ends = F.when(F.col("event_type") != "error", F.col("ts") + F.expr("interval 12 hours"))
+    feed = run.table_stream(t, "events").select("user_id", "ts", ends.alias("ends"))
+    found = live.settled(run.drain(live.expired_tokens(feed, "user_id", "ts", "ends", WHOLE_LOG), "expired"))
+    return found.select("user_id", stamp("expires_at").alias("expires_at"))
+
+
 @query("stream_dedup", "SELECT count(*) AS events, count(DISTINCT user_id) AS users FROM events")
 def stream_dedup(t):
     """Every event delivered twice, kept once."""

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tabularium.session import scratch_path
 from tabularium.tables import Tables
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def table_stream(t: Tables, name: str, batch_bytes: int = 64 << 30) -> DataFrame:
     """The Parquet table as a stream with the table's own schema, at most ``batch_bytes`` of files per micro-batch.
@@ -24,11 +28,28 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     """Append the available rows to Parquet and read them back. Offsets and commits live next to the data."""
     spark = stream.sparkSession
     path = scratch_path(spark, label)
-    (stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint")
-           .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    writer = (stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint")
+              .outputMode("append").trigger(availableNow=True))
+    with keyed_state(spark):
+        query = writer.start()
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries that start inside keep the state of ``transformWithState`` where it may outgrow memory, as that operator asks."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 def drain_parts(stream: DataFrame, part: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
     """Write ``part(micro-batch)`` under the batch's number, and read the parts of all batches back.
 
