@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from tabularium.functions import text
 from tabularium.functions.nested import l2_normalise
+from tabularium.session import written
 
 # Business words behind each column role; the first role that knows a word wins.
 ROLE_WORDS: dict[str, tuple[str, ...]] = {
@@ -119,7 +120,7 @@ def best_k(queries: DataFrame, items: DataFrame, k: int, score: Callable, broadc
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    queries = queries.toDF("id", "payload")
+    queries = written(queries.toDF("id", "payload"), "queries")  # its bytes are counted before it is collected
     items = items.toDF("id", "payload")
 
     def cut(best, q_ids, i_ids, matrix):
@@ -205,61 +206,60 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, least: float = 0
             .filter(good | ((F.col("_top") < least) & (F.col("rank") <= otherwise))).drop("_top"))
 
 
-_QUERY_BLOCK = 256  # queries whose words are counted with one matrix product
-
-
-def _jaccard(queries):
-    """Word overlap by matrix products: item-by-word times word-by-query, a block of queries at a time."""
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    q_len = np.array([len(q) for q in queries], dtype="float64")
-    blocks = []
-    for at in range(0, len(queries), _QUERY_BLOCK):
-        part = queries[at:at + _QUERY_BLOCK]
-        number = {w: i for i, w in enumerate(dict.fromkeys(w for q in part for w in q))}
-        has = np.zeros((len(number), len(part)), dtype="float32")
-        for row, q in enumerate(part):
-            has[[number[w] for w in q], row] = 1
-        blocks.append((at, pa.array(list(number), pa.string()), has))
-
-    def run(flat, lengths):
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        out = np.full((len(queries), len(lengths)), np.nan)
-        for at, words, has in blocks:
-            if not len(words):
-                continue
-            place = pc.fill_null(pc.index_in(flat.cast(pa.string()), value_set=words), -1).to_numpy(zero_copy_only=False)
-            known = place >= 0
-            place, mine = place[known], owner[known]
-            step = max(1, _CELLS // len(words))
-            for low in range(0, len(lengths), step):
-                first, last = np.searchsorted(mine, [low, low + step])
-                uses = np.zeros((min(step, len(lengths) - low), len(words)), dtype="float32")
-                uses[mine[first:last] - low, place[first:last]] = 1
-                hits = (uses @ has).astype("float64").T
-                rows, cols = slice(at, at + has.shape[1]), slice(low, low + step)
-                share = hits / (q_len[rows, None] + lengths[None, cols] - hits + 1e-10)
-                out[rows, cols] = np.where(hits > 0, share, np.nan)
-        return out
-
-    return run
-
-
 def word_sets(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("id"), F.array_distinct(text.tokens(F.col(column))).alias("payload"))
 
 
-def overlapping(queries: DataFrame, items: DataFrame, k: int = 8, **kw) -> DataFrame:
-    """Token Jaccard top k per query; a query that shares no token gets the first k items by id with score 0.
+# Postings that the words which seed a query's candidates come to at most (or its rarest word), and seeds scored per result.
+SEED_POSTINGS, SEEDS = 4096, 4
+_EPS = 1e-9  # slack of bounds computed in doubles; what passes is scored exactly
 
-    Both frames come from :func:`word_sets`.
+
+def overlapping(queries: DataFrame, items: DataFrame, k: int = 8) -> DataFrame:
+    """``(query_id, item_id, score, rank)``: exact token Jaccard top k per query, the smaller item id on ties; a query that
+    shares no token gets the first k items by id with score 0. Both frames come from :func:`word_sets`, ids unique.
+
+    The items' words are an inverted index that is joined by word. Few postings of a query's rarest words give seeds, whose k-th
+    score is a floor. An item at the floor or above holds so many of the query's words that one of them is among its rarest
+    ones, so the commonest words' postings, the longest by far, are never read. What the prefix has
+    counted bounds the score from above; only items whose bound reaches the floor are scored.
     """
-    ranked = best_k(queries, items, k, _jaccard, **kw)
+    queries, items = written(queries.toDF("query_id", "words"), "queries"), written(items.toDF("item_id", "held"), "items")
+    asked = queries.select("query_id", F.size("words").alias("asked"), F.explode("words").alias("word"))
+    postings = items.select("item_id", F.size("held").alias("size"), F.explode("held").alias("word"))
+    wanted = asked.select("word").distinct()
+    commonness = postings.join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = W.partitionBy("query_id").orderBy("n", "word")
+    # one query's words; words that no item holds come first and cost nothing
+    placed = written(asked.join(commonness, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+                     .withColumn("place", F.row_number().over(rarest)).withColumn("upto", F.sum("n").over(rarest.rowsBetween(W.unboundedPreceding, W.currentRow))), "asked")
+
+    def counted(some: DataFrame) -> DataFrame:
+        return (postings.join(some.select("query_id", "asked", "word"), "word").groupBy("query_id", "item_id", "asked", "size")
+                .agg(F.count(F.lit(1)).alias("hits")))
+
+    def scored(some: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect("words", "held"))
+        return (some.select("query_id", "item_id").join(items, "item_id").join(queries, "query_id")
+                .select("query_id", "item_id", (shared / (F.size("words") + F.size("held") - shared + 1e-10)).alias("score")))
+
+    first = F.col("upto") <= SEED_POSTINGS
+    rare = placed.where(first | (F.col("upto") == F.col("n")))  # also the rarest held word alone, however common
+    most = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("hits"), "size", "item_id"))
+    seeds = counted(rare).withColumn("r", most).where(F.col("r") <= SEEDS * k)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
+    floors = scored(seeds).withColumn("r", place).where(F.col("r") == k).select("query_id", F.col("score").alias("floor"))
+    floor = F.coalesce("floor", F.lit(0.0))
+    prefix = F.col("asked") - F.greatest(F.ceil(floor * F.col("asked") - _EPS), F.lit(1)) + 1
+    index = written(placed.join(floors, "query_id", "left").withColumns({"floor": floor, "prefix": prefix}), "index")
+    bounds = index.select("query_id", "floor", "prefix").distinct()
+    best = F.col("hits") + F.least(F.col("asked") - F.col("prefix"), F.col("size") - F.col("hits"))
+    bound = best / (F.col("asked") + F.col("size") - best)
+    near = counted(index.where("place <= prefix")).join(bounds, "query_id").where(bound >= F.col("floor") - _EPS)
+    ranked = scored(near).withColumn("rank", place).where(F.col("rank") <= k)
     hit = F.array(F.struct("item_id", "score", F.col("rank").cast("int").alias("rank")))
-    first = F.array_sort(F.collect_list("id"))  # k ids
-    filler = items.select("id").orderBy("id").limit(k).agg(F.transform(first, lambda i, at: F.struct(
+    first_ids = F.array_sort(F.collect_list("item_id"))  # k ids
+    filler = items.select("item_id").orderBy("item_id").limit(k).agg(F.transform(first_ids, lambda i, at: F.struct(
         i.alias("item_id"), F.lit(0.0).alias("score"), (at + 1).cast("int").alias("rank")))).scalar()
-    every = queries.select(F.col("id").alias("query_id")).join(ranked, "query_id", "left")
+    every = queries.select("query_id").join(ranked, "query_id", "left")
     return every.select("query_id", F.explode(F.when(F.col("item_id").isNull(), filler).otherwise(hit)).alias("r")).select("query_id", "r.*")

@@ -29,16 +29,34 @@ def test_nearest_equals_brute_force(spark, limit, monkeypatch):
     assert {(r["query_id"], r["item_id"]) for r in got.collect()} == brute(q, v, 4, 0.8, 3)
 
 
-@pytest.mark.parametrize("limit", [match.BROADCAST_BYTES, 1])
-def test_token_overlap(spark, limit, monkeypatch):
-    monkeypatch.setattr(match, "_BLOCK_BYTES", 40)
+def test_token_overlap(spark):
     items = spark.createDataFrame([(1, "red green"), (2, "red red blue"), (3, "grey"), (4, "RED, green! blue?")], "id int, t string")
     asks = spark.createDataFrame([(10, "red green"), (11, "x 1 yy")], "id int, t string")
-    got = match.overlapping(match.word_sets(asks, "id", "t"), match.word_sets(items, "id", "t"), 3, broadcast_bytes=limit)
+    got = match.overlapping(match.word_sets(asks, "id", "t"), match.word_sets(items, "id", "t"), 3)
     rows = {(r["query_id"], r["rank"]): (r["item_id"], round(r["score"], 4)) for r in got.collect()}
     assert rows == {(10, 1): (1, 1.0), (10, 2): (4, 0.6667), (10, 3): (2, 0.3333), (11, 1): (1, 0.0), (11, 2): (2, 0.0), (11, 3): (3, 0.0)}
 
 
+@pytest.mark.parametrize("k, postings", [(8, match.SEED_POSTINGS), (3, 5), (8, 0), (400, 40)])
+def test_token_overlap_equals_brute_force(spark, monkeypatch, k, postings):
+    """Words of very unequal frequency, copies, an item of nearly all words, empty sets, and queries without any known word."""
+    monkeypatch.setattr(match, "SEED_POSTINGS", postings)
+    rng = np.random.default_rng(k + postings)
+    word = lambda: f"w{min(int(rng.zipf(1.3)), 400)}"
+    items = [(i, sorted({word() for _ in range(rng.integers(0, 30))})) for i in range(300)]
+    items += [(300 + i, items[i % 7][1]) for i in range(40)] + [(500, [f"w{i}" for i in range(400)])]
+    asks = [(i, sorted({word() for _ in range(rng.integers(0, 20))})) for i in range(40)]
+    asks += [(90, items[0][1]), (91, items[3][1][:-1]), (92, ["other", "words"]), (93, ["w1"]), (94, ["w1", "unknown"])]
+    want = set()
+    for q, a in asks:
+        scores = [(len(set(a) & set(b)) / (len(set(a) | set(b)) + 1e-10), i) for i, b in items if set(a) & set(b)]
+        found = sorted(scores, key=lambda s: (-s[0], s[1]))[:k] or [(0.0, i) for i in sorted(i for i, _ in items)[:k]]
+        want |= {(q, i, round(s, 8), n + 1) for n, (s, i) in enumerate(found)}
+    frame = lambda rows: spark.createDataFrame(rows, "id long, words array<string>").repartition(3)
+    got = match.overlapping(frame(asks), frame(items), k).collect()
+    assert {(r.query_id, r.item_id, round(r.score, 8), r.rank) for r in got} == want and len(got) == len(want)
+
+
 def test_names(spark):
     names = ["Order Date", "revenu", "INCOME", "abc", "unit price", "zz"]
     got = {r["n"]: (r["role"], r["method"]) for r in match.match_names(spark.createDataFrame([(n,) for n in names], "n string"), "n").collect()}
