@@ -1,5 +1,8 @@
 import math
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +170,43 @@ def test_relationships_against_corr(spark):
     df.unpersist()
 
 
+@pytest.mark.parametrize("sum_bytes", [1, 20_000])
+def test_relationships_in_blocks_are_those_of_one(spark, sum_bytes):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 9)) + rng.integers(-3, 3, 9)
+    x[:, 6], x[:, 7], x[:, 8] = x[:, 0] * x[:, 1], x[:, 2] + x[:, 3], 5.0
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 3] = np.where(np.arange(400) < 380, np.nan, x[:, 3])
+    df = spark.createDataFrame([[None if np.isnan(v) and i % 2 else float(v) for i, v in enumerate(r)] for r in x], [f"n{i}" for i in range(9)]).repartition(3)
+    whole = sorted(map(tuple, features.relationships(df).collect()))
+    assert whole == sorted(map(tuple, features.relationships(df, sum_bytes=sum_bytes).collect()))
+    want = set()
+    for a in range(9):
+        for b in range(a + 1, 9):
+            for t in set(range(9)) - {a, b}:
+                for sign, made in (("*", x[:, a] * x[:, b]), ("+", x[:, a] + x[:, b])):
+                    there = ~np.isnan(made) & ~np.isnan(x[:, t])
+                    with np.errstate(all="ignore"):
+                        r = np.corrcoef(made[there], x[there, t])[0, 1] if there.sum() > 1 else 0
+                    if abs(r) > 0.98:
+                        want.add((f"n{t}", f"n{a} {sign} n{b}", round(r, 4)))
+    assert {(r[0], r[1], r[3]) for r in whole} == want and len(want) >= 2
+
+
+def test_relationships_of_two_hundred_columns_stay_within_a_gigabyte(spark):
+    """The sums of all triples would be 2.9 GB; one task's memory is measured."""
+    cols = [f"n{i}" for i in range(200)]
+    blocks = features._pair_blocks(200, features._SUM_BYTES)
+    assert sum(map(len, blocks)) == 200 * 199 // 2 and max(map(len, blocks)) * 200 * 9 * 8 <= features._SUM_BYTES
+    rng = np.random.default_rng(1)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rng.normal(size=(200, 600))], names=cols)
+    tracemalloc.start()
+    sizes = [p.nbytes for p in features._pair_sums(200, [0.0] * 200, blocks[0], 0)([batch])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30 and max(sizes) < 1 << 20 and features._SALTS * max(sizes) < 1 << 27
+
+
 def test_suggested_features(spark):
     names = "order_id int, sales_amount double, quantity int, profit double, unit_price double, discount double"
     specs = features.suggest(spark.createDataFrame([], names))
