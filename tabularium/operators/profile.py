@@ -23,10 +23,11 @@ def type_name(kind: T.DataType) -> str:
     return "string"
 
 
-def facts(df: DataFrame, columns: list[str] | None = None, distinct: bool = True) -> DataFrame:
+def facts(df: DataFrame, columns: list[str] | None = None, distinct: bool = True, bounds: bool = False) -> DataFrame:
     """One row per column: dtype, rows, nulls, readable numbers and dates, and distinct values.
 
-    Counts come from one aggregate over the whole table; distinct counts from one shuffle of partial value counts.
+    Counts come from one aggregate over the whole table; distinct counts from one shuffle of partial value counts. With
+    ``bounds`` a sketch in that aggregate adds ``low`` and ``high``, between which the distinct count lies.
     """
     columns = columns or df.columns
     kinds = {c: type_name(df.schema[c].dataType) for c in columns}
@@ -42,10 +43,12 @@ def facts(df: DataFrame, columns: list[str] | None = None, distinct: bool = True
             return F.count(c_(c))
         return F.count_if(parsing.to_datetime(c_(c)).isNotNull()) if kinds[c] == "string" else F.lit(0).cast("bigint")
 
+    value = lambda c: F.when(~F.isnan(c_(c)), c_(c)) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else c_(c)
     rows = stats.per_column(df, columns, {
         "total_rows": lambda c: F.count(F.lit(1)),
         "null_count": lambda c: F.count_if(c_(c).isNull()),
         "numbers": numbers, "dates": dates,
+        **({"low": lambda c: stats.distinct_bounds(value(c))[0], "high": lambda c: stats.distinct_bounds(value(c))[1]} if bounds else {}),
     }).withColumn("dtype", F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])]), F.col("column_name")))
     if distinct:
         rows = rows.join(stats.nunique(df, columns), "column_name", "left").withColumn(
@@ -109,9 +112,32 @@ def inferred(policy: str) -> Column:
 
 
 def infer_types(df: DataFrame, policy: str) -> DataFrame:
-    """``(column_name, inferred_type)``."""
-    needs_distinct = policy not in ("auto_cast", "summary", "grid")
-    return facts(df, distinct=needs_distinct).select("column_name", inferred(policy).alias("inferred_type"))
+    """``(column_name, inferred_type)``.
+
+    A policy's type depends on the distinct count by limits only, and each type holds an interval of it. So a column whose
+    bounds give one type is decided; only columns with a limit between their bounds are counted exactly.
+    """
+    if policy in ("auto_cast", "summary", "grid"):
+        return facts(df, distinct=False).select("column_name", inferred(policy).alias("inferred_type"))
+    rows = collected(facts(df, distinct=False, bounds=True))
+    kinds: dict[str, set] = {}
+    for r in rows.withColumn("nunique", F.explode(F.array("low", "high"))).select("column_name", inferred(policy).alias("kind")).collect():
+        kinds.setdefault(r["column_name"], set()).add(r["kind"])  # two rows per column
+    open_columns = [c for c, found in kinds.items() if len(found) > 1]
+    return _with_counts(df, rows, open_columns).select("column_name", inferred(policy).alias("inferred_type"))
+
+
+def collected(rows: DataFrame) -> DataFrame:
+    """A frame of one row per column as a local one, so that its scans are not run again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def _with_counts(df: DataFrame, rows: DataFrame, exactly: list[str]) -> DataFrame:
+    """``rows`` with ``nunique``: exact for some columns, the lower bound for the others."""
+    if not exactly:
+        return rows.withColumn("nunique", F.col("low"))
+    counted = rows.join(stats.nunique(df, exactly), "column_name", "left")
+    return counted.withColumn("nunique", F.when(F.col("column_name").isin(exactly), F.coalesce("nunique", F.lit(0))).otherwise(F.col("low")))
 
 
 def columns(df: DataFrame) -> DataFrame:
@@ -300,16 +326,16 @@ def quick_insights(df: DataFrame) -> DataFrame:
 
 
 def shape_facts(df: DataFrame) -> DataFrame:
-    """Numeric columns: rows, non-null, distinct share, spread (std / mean), share of positive values, std."""
+    """Numeric columns: rows, non-null, spread (std / mean), share of positive values, std, bounds of the distinct values of
+    whole numbers."""
     numeric = stats.numeric_columns(df)
     v = lambda c: F.col(f"`{c}`").cast("double")
+    whole = [c for c in numeric if type_name(df.schema[c].dataType) == "int"]
+    end = lambda i: lambda c: stats.distinct_bounds(F.col(f"`{c}`"))[i] if c in whole else F.first(F.lit(0).cast("bigint"))
     rows = stats.per_column(df, numeric, {
         "n": lambda c: F.count(F.lit(1)), "present": lambda c: F.count(v(c)), "mean": lambda c: F.avg(v(c)),
-        "std": lambda c: F.stddev_samp(v(c)), "positive": lambda c: F.avg((v(c) > 0).cast("double"))})
-    whole = [c for c in numeric if type_name(df.schema[c].dataType) == "int"]
-    return (rows.join(stats.nunique(df, numeric), "column_name", "left")
-                .withColumn("uniqueness", F.try_divide(F.coalesce("nunique", F.lit(0)), "n"))
-                .withColumn("whole", F.col("column_name").isin(whole))
+        "std": lambda c: F.stddev_samp(v(c)), "positive": lambda c: F.avg((v(c) > 0).cast("double")), "low": end(0), "high": end(1)})
+    return (rows.withColumn("whole", F.col("column_name").isin(whole))
                 .withColumn("cv", F.col("std") / (F.col("mean") + F.lit(1e-9))))
 
 
@@ -318,18 +344,24 @@ ID_UNIQUENESS, SALES_CV, SALES_POSITIVE, MIN_VALUES = 0.9, 0.3, 0.8, 5
 
 
 def identifiers(df: DataFrame) -> DataFrame:
-    """``(column_name, uniqueness)`` of whole-number or text columns that are nearly unique."""
+    """``(column_name, uniqueness)`` of whole-number or text columns that are nearly unique; only those that may be are counted."""
     names = [c for c in df.columns if type_name(df.schema[c].dataType) in ("int", "string")]
-    counted = facts(df, names).withColumn("uniqueness", F.try_divide("nunique", "total_rows"))
-    return counted.filter((F.col("uniqueness") > ID_UNIQUENESS) & (F.col("total_rows") - F.col("null_count") >= MIN_VALUES)) \
-        .select("column_name", F.round("uniqueness", 4).alias("uniqueness"))
+    rows = collected(facts(df, names, distinct=False, bounds=True).filter(
+        (F.try_divide("high", "total_rows") > ID_UNIQUENESS) & (F.col("total_rows") - F.col("null_count") >= MIN_VALUES)))
+    counted = _with_counts(df, rows, [r["column_name"] for r in rows.collect()]).withColumn("uniqueness", F.try_divide("nunique", "total_rows"))
+    return counted.filter(F.col("uniqueness") > ID_UNIQUENESS).select("column_name", F.round("uniqueness", 4).alias("uniqueness"))
 
 
 def sales_like(df: DataFrame) -> DataFrame:
-    """``(column_name, cv, positive)`` of numeric columns that look like money, in column order."""
-    is_id = F.col("whole") & (F.col("uniqueness") > ID_UNIQUENESS)
-    return (shape_facts(df).filter((F.col("present") >= MIN_VALUES) & ~is_id & (F.col("cv") > SALES_CV) & (F.col("positive") > SALES_POSITIVE))
-            .select("column_name", "position", F.round("cv", 4).alias("cv"), F.round("positive", 4).alias("positive")))
+    """``(column_name, cv, positive)`` of numeric columns that look like money, in column order.
+
+    Nearly unique whole numbers are ids; of the other rules' columns, those whose bounds leave that open are counted.
+    """
+    likely = collected(shape_facts(df).filter((F.col("present") >= MIN_VALUES) & (F.col("cv") > SALES_CV) & (F.col("positive") > SALES_POSITIVE)))
+    unsure = (F.try_divide("high", "n") > ID_UNIQUENESS) & ~(F.try_divide("low", "n") > ID_UNIQUENESS)
+    counted = _with_counts(df, likely, [r["column_name"] for r in likely.filter(F.col("whole") & unsure).collect()])
+    is_id = F.col("whole") & (F.try_divide("nunique", "n") > ID_UNIQUENESS)
+    return counted.filter(~is_id).select("column_name", "position", F.round("cv", 4).alias("cv"), F.round("positive", 4).alias("positive"))
 
 
 def widest(df: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F, types as T
 
 from tabularium.operators import ordering
+from tabularium.session import written
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -42,11 +43,11 @@ def _value(name: str) -> Column:
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
-    """Exact quantiles with linear interpolation, a few numbers per column, for every column at once, in three scans.
+    """Exact quantiles with linear interpolation, a few numbers per column, for every column at once, in two scans.
 
     The first scan's sketch brackets each wanted rank: the approximate quantiles a little to its left and right hold it
-    between them. The second counts the rows below each bracket, the third counts the values inside (a few ten-thousandths
-    of the rows), among which the ranks are picked in order. Values may be infinite and spread over any range. NaN is null.
+    between them. The second counts the rows below each bracket and the values inside (a few ten-thousandths of the rows),
+    among which the ranks are picked in order. Values may be infinite and spread over any range. NaN is null.
     """
     sketched: dict[str, tuple] = {}
     slack = 4.0 / accuracy
@@ -80,12 +81,14 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: i
 def _pick_ranks(df: DataFrame, brackets: list[tuple], names: list[tuple]) -> dict:
     """The values at the wanted ranks of each bracket (column, lower, upper, ranks), for brackets that hold them all."""
     number = lambda x: F.lit(float(x))
-    below = df.agg(*[F.count_if(_value(c) < number(lo)) for c, lo, _, _ in brackets]).first()
+    below = Observation()
+    seen = df.observe(below, *[F.count_if(_value(c) < number(lo)).alias(f"b{i}") for i, (c, lo, _, _) in enumerate(brackets)])
     inside = [F.struct(F.lit(i).alias("b"), _value(c).alias("v"), _value(c).between(number(lo), number(hi)).alias("ok")) for i, (c, lo, hi, _) in enumerate(brackets)]
-    held = (df.select(F.explode(F.filter(F.array(*inside), lambda s: s["ok"])).alias("s")).groupBy("s.b", "s.v").agg(F.count(F.lit(1)).alias("n")))
+    held = (seen.select(F.explode(F.filter(F.array(*inside), lambda s: s["ok"])).alias("s")).groupBy("s.b", "s.v").agg(F.count(F.lit(1)).alias("n")))
     upto = W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    base = F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in below]), F.col("b") + 1)
-    spans = held.withColumn("to", base + F.sum("n").over(upto)).withColumn("from", F.col("to") - F.col("n"))
+    spans = written(held.withColumn("to", F.sum("n").over(upto)), "brackets")  # what the scan saw below comes with the same job
+    base = F.element_at(F.array(*[F.lit(int(below.get[f"b{i}"])).cast("long") for i in range(len(brackets))]), F.col("b") + 1)
+    spans = spans.withColumn("to", base + F.col("to")).withColumn("from", F.col("to") - F.col("n"))
     wanted = F.element_at(F.array(*[F.array(*[F.lit(r).cast("long") for r in sorted(set(rs))]) for _, _, _, rs in brackets]), F.col("b") + 1)
     hits = spans.select("b", "v", F.explode(wanted).alias("rank"), "from", "to").filter("rank >= `from` AND rank < `to`").collect()
     got: dict = {}
@@ -140,6 +143,17 @@ def nunique(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
+# Relative standard error of the distinct-count sketch (3 KB a column), and how many of them its interval goes to either side.
+SKETCH_ERROR, SKETCH_WIDTH = 0.02, 6
+
+
+def distinct_bounds(c: Column) -> tuple[Column, Column]:
+    """Lower and upper bound of a column's distinct values, as aggregates of one mergeable sketch."""
+    about = F.approx_count_distinct(c, SKETCH_ERROR)
+    return (F.floor(about * (1 - SKETCH_WIDTH * SKETCH_ERROR)).cast("bigint"),
+            F.least(F.count(c), F.ceil(about * (1 + SKETCH_WIDTH * SKETCH_ERROR)).cast("bigint") + 1))
+
+
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, mode, n)``: most frequent value as text, the smallest one on ties."""
     best = F.struct(-F.col("n"), F.col("value"))
@@ -179,12 +193,35 @@ def per_column(df: DataFrame, columns: list[str], measures: dict) -> DataFrame:
     return out
 
 
+def fingerprint(columns: list[str]) -> list[Column]:
+    """128 bits that equal rows share, as two columns; hashes skip nulls, so where they are is hashed as well."""
+    cols = [F.col(f"`{c}`") for c in columns]
+    nulls = [F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])] if cols else []
+    return [F.xxhash64(*nulls, *cols).alias("_f1"), F.xxhash64(F.lit(1), *cols, *nulls).alias("_f2")]
+
+
 def duplicate_count(df: DataFrame) -> Column:
-    """Rows that repeat an earlier identical row, as a scalar."""
-    copies = df.groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows that repeat an earlier identical row, as a scalar.
+
+    Sixteen bytes of each row are counted first. Whole rows are grouped only where a fingerprint is repeated, so a table
+    without repeats never shuffles its columns; different rows of one fingerprint are told apart there.
+    """
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    try_hash = [f.name for f in plain.schema.fields if not _has_map(f.dataType)]
+    marked = plain.select("*", *fingerprint(try_hash))
+    repeated = written(marked.groupBy("_f1", "_f2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_f1", "_f2"), "repeated")
+    if repeated.isEmpty():
+        return F.lit(0).cast("bigint")
+    copies = marked.join(repeated, ["_f1", "_f2"], "left_semi").groupBy(*marked.columns).agg(F.count(F.lit(1)).alias("_n"))
     return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint")).scalar()
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType)) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
 def group_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]) -> DataFrame:
     """``(key, one column per name in probs)``: exact, linear interpolation, for groups of any size.
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabularium.operators import clean, features, stats
+from tabularium.operators import clean, features, profile, stats
 
 
 @pytest.fixture
@@ -233,3 +233,47 @@ def test_tables_without_numbers(spark):
     assert profile.quality(df).first()["total_nulls"] == 1
     assert profile.catalog(df).count() == 2 and stats.outlier_cells(df).count() == 0
     assert clean.auto_cap(df)[1] == {} and profile.summary_cards(df).count() == 2
+
+
+@pytest.mark.parametrize("policy, limit", [("profile", 100), ("chat", 199), ("analysis", 9), ("pattern", 1800), ("pattern", 999)])
+def test_types_at_the_limits_of_distinct_counts(spark, monkeypatch, policy, limit):
+    """Columns one below, at and one above a limit, and far from it; only those near it are counted."""
+    counts = [max(1, limit // 3), limit - 1, limit, limit + 1, limit + 2]
+    df = spark.range(2000).select(*[F.concat(F.lit("v"), F.col("id") % n).alias(f"c{n}") for n in dict.fromkeys(counts)],
+                                  F.lit(None).cast("string").alias("none"), F.lit(float("nan")).alias("nan"))
+    exact = profile.facts(df).select("column_name", profile.inferred(policy).alias("inferred_type")).collect()
+    asked = []
+    nunique = stats.nunique
+    monkeypatch.setattr(stats, "nunique", lambda df, columns: (asked.extend(columns), nunique(df, columns))[1])
+    got = profile.infer_types(df, policy).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, exact))
+    assert {f"c{limit - 1}", f"c{limit}", f"c{limit + 1}"} & set(asked) and (limit < 50 or f"c{limit // 3}" not in asked)
+
+
+def test_identifiers_and_sales_columns_count_what_may_be_unique(spark, monkeypatch):
+    df = spark.range(3000).select("id", (F.col("id") % 2710).alias("nearly"), (F.col("id") % 2600).alias("less"), (F.col("id") % 40).alias("few"),
+                                  (F.col("id") * 1.5 + 1).alias("money"), F.concat(F.lit("k"), F.col("id")).alias("code"))
+    asked = []
+    nunique = stats.nunique
+    monkeypatch.setattr(stats, "nunique", lambda df, columns: (asked.extend(columns), nunique(df, columns))[1])
+    assert sorted(tuple(r) for r in profile.identifiers(df).collect()) == [("code", 1.0), ("id", 1.0), ("nearly", 0.9033)]
+    assert "few" not in asked and set(asked) <= {"id", "nearly", "less", "code"}
+    asked.clear()
+    assert [r["column_name"] for r in profile.sales_like(df).collect()] == ["less", "few", "money"] and "few" not in asked and "money" not in asked
+
+
+def test_duplicates_by_fingerprint(spark):
+    rows = [(1, "a", None, [1]), (1, None, "a", [1]), (1, "a", None, [1]), (None, None, None, None), (None, None, None, None), (2, "", "", []), (2, None, "", [])]
+    df = spark.createDataFrame(rows, "a long, b string, c string, d array<int>")
+    count = lambda df: spark.range(1).select(stats.duplicate_count(df)).first()[0]
+    assert count(df) == 2 and count(df.limit(2)) == 0 and count(df.where("false")) == 0
+    doubles = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("nan"),), (1.0,)], "x double")
+    assert count(doubles) == 2
+    mapped = df.select("a", F.create_map(F.lit("k"), "b").alias("m"))
+    assert count(mapped.select("a", F.to_json("m").alias("m"))) >= 1
+
+
+def test_different_rows_of_one_fingerprint_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(stats, "fingerprint", lambda columns: [(F.col("c0") % 3).alias("_f1"), F.lit(0).cast("long").alias("_f2")])
+    df = spark.range(30).select((F.col("id") % 10).alias("n"), F.lit("x").alias("t"))
+    assert spark.range(1).select(stats.duplicate_count(df)).first()[0] == 20
