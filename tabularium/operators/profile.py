@@ -263,11 +263,8 @@ def first_failure(rules: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, names: list[str], n: int = 50) -> DataFrame:
     """``(column_name, rank, value, n, pct)``: most frequent values with their share of the non-null values."""
-    counts = stats.value_counts(df, names)
-    totals = counts.groupBy("column_name").agg(F.sum("n").alias("present"))
-    place = F.row_number().over(W.partitionBy("column_name").orderBy(F.desc("n"), "value"))
-    return (counts.withColumn("rank", place).filter(F.col("rank") <= n).join(totals, "column_name")
-                  .select("column_name", "rank", "value", "n", F.round(F.col("n") * 100.0 / F.col("present"), 2).alias("pct")))
+    return stats.frequent_values(df, names, n).select(
+        "column_name", "rank", "value", "n", F.round(F.col("n") * 100.0 / F.col("present"), 2).alias("pct"))
 
 
 def grid_stats(df: DataFrame) -> DataFrame:

@@ -154,11 +154,68 @@ def distinct_bounds(c: Column) -> tuple[Column, Column]:
             F.least(F.count(c), F.ceil(about * (1 + SKETCH_WIDTH * SKETCH_ERROR)).cast("bigint") + 1))
 
 
+# Distinct values up to which a column's values are all counted, and buckets that bound the counts of the others.
+FEW_VALUES, BUCKETS, HEAVY = 100_000, 1 << 16, 4
+
+
+def frequent_values(df: DataFrame, columns: list[str], n: int, few: int = FEW_VALUES, buckets: int = BUCKETS) -> DataFrame:
+    """``(column_name, value, n, present, rank)``: each column's n most frequent non-null values as text, smaller ones first on ties.
+
+    Columns of few values are counted whole. For the others, rows per hash bucket are counted first, which takes a fixed number of
+    rows per task: no value stands more often than its bucket. The values of the heaviest buckets are counted exactly; their n-th
+    count proves that nothing in a lighter bucket belongs to the result. Buckets for which it proves nothing are counted too: by
+    fingerprints, and by value where a fingerprint is repeated often enough.
+    """
+    spark = df.sparkSession
+    if not columns:
+        return spark.createDataFrame([], "column_name string, value string, n long, present long, rank int")
+    high = {}
+    for part in in_batches(columns):
+        row = df.agg(*[distinct_bounds(_as_text(df, c))[1] for c in part]).first()
+        high |= dict(zip(part, row))
+    small, large = [c for c in columns if high[c] <= few], [c for c in columns if high[c] > few]
+    out = None
+    if small:
+        counts = value_counts(df, small)
+        out = counts.join(counts.groupBy("column_name").agg(F.sum("n").alias("present")), "column_name")
+    if large:
+        found = _frequent_of_many(df, large, n, buckets)
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(W.partitionBy("column_name").orderBy(F.desc("n"), "value"))
+    return out.withColumn("rank", place).where(F.col("rank") <= n).select("column_name", "value", "n", "present", "rank")
+
+
+def _frequent_of_many(df: DataFrame, columns: list[str], n: int, buckets: int) -> DataFrame:
+    """``(column_name, value, n, present)`` that hold each column's n most frequent values, for columns of many values."""
+    texts = (df.select(*[_as_text(df, c).alias(c) for c in columns]).unpivot([], columns, "column_name", "value").where("value IS NOT NULL")
+             .withColumn("bucket", F.pmod(F.xxhash64("column_name", "value"), F.lit(buckets)).cast("int")))
+    sums = written(texts.groupBy("column_name", "bucket").agg(F.count(F.lit(1)).alias("rows")), "buckets")
+    heaviest = F.row_number().over(W.partitionBy("column_name").orderBy(F.desc("rows"), "bucket"))
+    ranked = written(sums.withColumn("place", heaviest), "buckets")
+    key = ["column_name", "bucket"]
+    heavy = ranked.where(F.col("place") <= HEAVY * n).select(*key)  # a few buckets per column
+    counted = written(texts.join(F.broadcast(heavy), key).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")), "values")
+    place = F.row_number().over(W.partitionBy("column_name").orderBy(F.desc("n")))
+    floors = counted.withColumn("p", place).where(F.col("p") == n).select("column_name", F.col("n").alias("floor"))
+    unproven = written(ranked.where(F.col("place") > HEAVY * n).join(floors, "column_name", "left").withColumn("floor", F.coalesce("floor", F.lit(1)))
+                       .where(F.col("rows") >= F.col("floor")).select(*key, "floor"), "unproven")
+    present = sums.groupBy("column_name").agg(F.sum("rows").alias("present"))
+    if unproven.isEmpty():
+        return counted.join(present, "column_name")
+    marked = texts.join(unproven, key).select("column_name", "value", "floor", F.xxhash64("value").alias("f1"), F.xxhash64(F.lit(1), "value").alias("f2"))
+    prints = ["column_name", "f1", "f2"]
+    again = written(marked.groupBy(*prints, "floor").agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") >= F.col("floor")) & (F.col("rows") > 1)).select(*prints), "repeated")
+    more = marked.join(again, prints, "left_semi").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    # where single values count, the smallest of them do
+    smallest = F.row_number().over(W.partitionBy("column_name").orderBy("value"))
+    single = (marked.where(F.col("floor") <= 1).join(again, prints, "left_anti").withColumn("p", smallest).where(F.col("p") <= n)
+              .select("column_name", "value", F.lit(1).cast("long").alias("n")))
+    return counted.unionByName(more).unionByName(single).join(present, "column_name")
+
+
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, mode, n)``: most frequent value as text, the smallest one on ties."""
-    best = F.struct(-F.col("n"), F.col("value"))
-    return value_counts(df, columns).groupBy("column_name").agg(
-        F.min_by("value", best).alias("mode"), F.max("n").alias("n"))
+    return frequent_values(df, columns, 1).select("column_name", F.col("value").alias("mode"), "n")
 
 
 def mode_of(df: DataFrame, column: str) -> Column:

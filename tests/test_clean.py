@@ -1,5 +1,6 @@
 import math
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -277,3 +278,20 @@ def test_different_rows_of_one_fingerprint_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(stats, "fingerprint", lambda columns: [(F.col("c0") % 3).alias("_f1"), F.lit(0).cast("long").alias("_f2")])
     df = spark.range(30).select((F.col("id") % 10).alias("n"), F.lit("x").alias("t"))
     assert spark.range(1).select(stats.duplicate_count(df)).first()[0] == 20
+
+
+@pytest.mark.parametrize("few, buckets", [(0, 1 << 16), (0, 64), (0, 7), (50, 1000)])
+def test_frequent_values_of_many(spark, few, buckets):
+    """Skewed, unique and nearly unique columns, many ties at the limit, copies of one value, nulls."""
+    rng = np.random.default_rng(few + buckets)
+    rows = [(int(min(rng.zipf(1.2), 10 ** 9)), f"k{i}", f"u{i if i % 50 else 0}", "one", int(rng.integers(300)), None if i % 3 else float(i % 7)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "zipf long, key string, nearly string, same string, flat long, gaps double").repartition(5)
+    got = sorted((r.column_name, r["rank"], r.value, r.n, r.present) for r in stats.frequent_values(df, df.columns, 20, few, buckets).collect())
+    want = []
+    for i, c in enumerate(df.columns):
+        values = [str(r[i]) for r in rows if r[i] is not None]
+        best = sorted(Counter(values).items(), key=lambda v: (-v[1], v[0]))[:20]
+        want += [(c, k + 1, v, n, len(values)) for k, (v, n) in enumerate(best)]
+    assert got == sorted(want)
+    assert sorted(tuple(r) for r in stats.modes(df, ["zipf", "key"]).collect()) == sorted((c, v, n) for c, k, v, n, _ in want if k == 1 and c in ("zipf", "key"))
+    assert stats.frequent_values(df.where("false"), df.columns, 3, few, buckets).collect() == []
