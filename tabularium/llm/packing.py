@@ -14,78 +14,48 @@
 
 from __future__ import annotations
 
-import json
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from tabularium.llm import words
+from tabularium.llm.bpe import encoder
 from tabularium.llm.store import kept
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS = 2_000_000
-#: Postings of a document: all of its terms.
-TERMS = None
 KEY_TERMS = 8
 #: Sampled documents for each shard, from whose keys the shards' limits are taken.
 SAMPLED = 128
 K1, B = 1.2, 0.75
-# Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Beyond these characters the two libraries' Unicode tables may differ, so such texts go the slower way.
-COMMON = regex.compile(r"[\x00-ɏ‐-‧€]*")
+#: Postings of used documents are taken out of an index when less than this share of its documents is unused.
+LIVE = 0.8
 
 
-@lru_cache(4)
-def tokenizer(path: str):
-    """A function from texts to id arrays, equal to ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
-
-    A byte-level BPE vocabulary without merges of its own order is read into tiktoken, which is several times faster; texts
-    with special tokens or rare characters, and other kinds of vocabulary, are encoded by tokenizers itself.
-    """
-    slow = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = [t["content"] for t in spec.get("added_tokens") or []]
-    vocab = spec["model"]["vocab"]
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    fast = None
-    if spec["model"].get("type") == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space"):
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
-        fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            if fast and COMMON.fullmatch(text) and not any(s in text for s in special):
-                out.append(fast.encode_to_numpy(text))
-            else:
-                out.append(np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32))
-        return out
-
-    encode.size = max(slow.get_vocab_size(), max(vocab.values()) + 1, END + 1)
-    return encode
+def distinct_terms(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' distinct terms in order, as document numbers, terms and counts."""
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
+    doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    if flat.dtype == np.uint16 and len(ids) <= 1 << 16:
+        pairs, tf = np.unique(doc.astype(np.uint32) << np.uint32(16) | flat, return_counts=True)
+        return (pairs >> np.uint32(16)).astype(np.int64), (pairs & np.uint32(0xFFFF)).astype(np.int64), tf
+    pairs, tf = np.unique(doc.astype(np.uint64) << np.uint64(32) | flat.astype(np.uint64), return_counts=True)
+    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), tf
 
 
 def tokenised(path: str):
     """One row per document with its ids (and the end id), and last one row per task with its document frequencies."""
     def make(batches):
-        encode = tokenizer(path)
-        width = np.uint16 if encode.size <= 1 << 16 else np.uint32
+        encode = encoder(path, "tiktoken")
+        width = encode.width
         seen = np.zeros(encode.size, np.int64)
         for batch in batches:
             for part in words.slices(batch, "text", 1 << 20, 1024):
                 ids = [np.r_[x, END].astype(width) for x in encode([t or "" for t in part.column("text").to_pylist()])]
-                for x in ids:
-                    seen[np.unique(x)] += 1
+                seen += np.bincount(distinct_terms(ids)[1], minlength=len(seen))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
                                                   pa.array([x.tobytes() for x in ids]), pa.nulls(len(ids), pa.binary())],
                                                  names=["doc_id", "doc_tokens", "ids", "frequencies"])
@@ -104,9 +74,7 @@ class Shard:
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray):
         n = len(ids)
         self.size = np.array([len(x) for x in ids])
-        doc = np.repeat(np.arange(n, dtype=np.uint64), self.size)
-        pairs, tf = np.unique(doc << np.uint64(32) | np.concatenate(ids).astype(np.uint64), return_counts=True)
-        doc, term = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        doc, term, tf = distinct_terms(ids)
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.size[doc] / self.size.mean()))).astype(np.float32)
         by_term = np.argsort(term, kind="stable")
         terms, first = np.unique(term[by_term], return_index=True)
@@ -117,7 +85,7 @@ class Shard:
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents that share a posting term with the seed, by falling score (ties by position)."""
-        if 2 * np.count_nonzero(self.unused) < self.posted:
+        if np.count_nonzero(self.unused) < LIVE * self.posted:
             self.forget()
         wanted = self.doc_term[self.doc_at[seed]:self.doc_at[seed + 1]]
         spans = list(zip(self.term_at[wanted].tolist(), self.term_at[wanted + 1].tolist()))
@@ -195,17 +163,18 @@ def packed(ids: list[np.ndarray], idf: np.ndarray, window: int) -> list[tuple[in
 def term_keys(ids: list[np.ndarray], seen: np.ndarray, idf: np.ndarray, mean: float, row: np.ndarray) -> np.ndarray:
     """Each document's key in bytes that sort: its weightiest shared terms, commonest first, and ``row``."""
     key = np.full((len(ids), KEY_TERMS), 0xFFFFFFFF, ">u4")
-    for i, x in enumerate(ids):
-        if len(x) < len(seen) >> 4:
-            terms, tf = np.unique(x, return_counts=True)
-        else:
-            tf = np.bincount(x, minlength=len(seen))
-            terms = np.flatnonzero(tf)
-            tf = tf[terms]
-        shared = seen[terms] > 1
-        terms, tf = terms[shared], tf[shared]
-        weight = idf[terms] * tf / (tf + K1 * (1 - B + B * len(x) / mean))
-        top = terms[np.argsort(-weight, kind="stable")[:KEY_TERMS]]
+    doc, term, tf = distinct_terms(ids)
+    shared = seen[term] > 1
+    doc, term, tf = doc[shared], term[shared], tf[shared]
+    size = np.array([len(x) for x in ids])
+    weight = idf[term] * tf / (tf + K1 * (1 - B + B * size[doc] / mean))
+    at = np.searchsorted(doc, np.arange(len(ids) + 1)).tolist()
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+        terms, w = term[a:b], weight[a:b]
+        if b - a > KEY_TERMS:
+            high = np.flatnonzero(w >= np.partition(w, -KEY_TERMS)[-KEY_TERMS])
+            terms, w = terms[high], w[high]
+        top = terms[np.argsort(-w, kind="stable")[:KEY_TERMS]]
         key[i, :len(top)] = top[np.argsort(-seen[top], kind="stable")]
     out = np.empty((len(ids), 4 * KEY_TERMS + 8), np.uint8)
     out[:, :-8], out[:, -8:] = key.view(np.uint8).reshape(len(ids), -1), row.astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -272,9 +241,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
     total = (parts.groupBy("salt").applyInArrow(add, "frequencies binary").groupBy().applyInArrow(add, "frequencies binary")).first()
     rows = made.where("ids IS NOT NULL").select("doc_id", "doc_tokens", "ids")
     n, tokens = rows.agg(F.count("*"), F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()
-    size = tokenizer(path).size
+    size, width = encoder(path, "tiktoken").size, encoder(path, "tiktoken").width
     seen = np.frombuffer(total[0], np.int64) if total else np.zeros(size, np.int64)
     idf = np.log1p((n - seen + 0.5) / (seen + 0.5)).astype(np.float32)
-    width = np.uint16 if size <= 1 << 16 else np.uint32
     return dealt(rows, seen, idf, n, tokens, width, shard_tokens).groupBy("shard").applyInArrow(
         shards(idf, window, width), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -44,14 +44,6 @@ def test_awkward_rows(awkward, nothing):
     assert packing.pack(nothing, PATH).collect() == []
 
 
-def test_ids_are_those_of_tokenizers(documents, awkward):
-    texts = [r.text or "" for r in documents.collect() + awkward.collect()] + ["<|endoftext|>a", "I'm  here\n\n  now ", "żółć ͸ ǅ", "١٢٣", "a­b", "\U0001f600"]
-    tok = Tokenizer.from_file(PATH)
-    assert [x.tolist() for x in packing.tokenizer(PATH)(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
-    other = public_tokenizers.path("word_bpe_49k.json")
-    assert [x.tolist() for x in packing.tokenizer(other)(["A word, or two"])] == [Tokenizer.from_file(other).encode("A word, or two", add_special_tokens=False).ids]
-
-
 def test_neighbours_are_the_best_by_bm25():
     rng = np.random.default_rng(5)
     ids = [rng.zipf(1.5, rng.integers(5, 60)).clip(max=300).astype(np.uint16) for _ in range(80)]
@@ -63,7 +55,7 @@ def test_neighbours_are_the_best_by_bm25():
     def weights(x):
         terms, tf = np.unique(x, return_counts=True)
         w = idf[terms] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(x) / mean))
-        return dict(list(sorted(zip(terms.tolist(), w.tolist()), key=lambda p: (-p[1], p[0])))[:packing.TERMS])
+        return dict(zip(terms.tolist(), w.tolist()))
 
     terms = [weights(x) for x in ids]
     shard.unused[7] = False
