@@ -32,14 +32,24 @@ def counted(users: DataFrame, items: DataFrame, user_key: str, item_key: str, na
                  .withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint")))
 
 
-def matrix(grants: DataFrame, user: str, datasets: DataFrame) -> DataFrame:
+# Datasets of one block, about.
+BLOCK = 4096
+
+
+def matrix(grants: DataFrame, user: str, datasets: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(user, dataset, granted)`` for every user of ``grants`` and every row of ``datasets`` (one column, also in grants).
 
-    Each user's grants become one map; each user then writes a row per dataset, all of which come as one scalar array. The
-    product of users and datasets is the result asked for; nothing is joined, and rows leave the task that holds the user.
+    The product of users and datasets is the result asked for. Datasets are dealt into blocks; every user meets each block by its
+    number, next to those of the user's grants that lie in it, and writes a row per dataset of the block. So a row holds a block
+    at most, however many datasets there are.
     """
     dataset = datasets.columns[0]
-    every = datasets.agg(F.array_sort(F.collect_set(dataset))).scalar()
-    mine = grants.groupBy(user).agg(F.collect_set(dataset).alias("_mine"))
-    return (mine.withColumn(dataset, F.explode(every))
+    blocks = F.lit(max(1, -(-datasets.distinct().count() // block)))
+    number = F.pmod(F.xxhash64(dataset), blocks).cast("int").alias("_block")
+    held = datasets.distinct().groupBy(number).agg(F.array_sort(F.collect_set(dataset)).alias("_all"))
+    mine = grants.groupBy(user, number).agg(F.collect_set(dataset).alias("_mine"))
+    users = grants.select(user).distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    told = users.join(mine.withColumnRenamed(user, "_user"), F.col(user).eqNullSafe(F.col("_user")) & (users["_block"] == mine["_block"]), "left").select(
+        users[user], users["_block"], F.coalesce("_mine", F.array().cast(f"array<{datasets.schema[dataset].dataType.simpleString()}>")).alias("_mine"))
+    return (told.join(held, "_block").withColumn(dataset, F.explode("_all"))
                 .select(user, dataset, F.array_contains("_mine", F.col(dataset)).alias("granted")))

@@ -27,7 +27,7 @@ def fill_zero(t):
 
 
 @query("fill_mean", f"""WITH {DIRTY_SQL}
-SELECT {K}, round(coalesce(quantity, (SELECT avg(quantity) FROM dirty)), 4) AS quantity FROM dirty""")
+SELECT {K}, round(coalesce(quantity, avg(quantity) OVER ()), 4) AS quantity FROM dirty""")
 def fill_mean(t):
     return clean.fill(rows_of(t, "quantity"), "quantity", "mean").withColumn("quantity", F.round("quantity", 4))
 
@@ -204,9 +204,8 @@ def outlier_iqr_cap(t):
     return clean.outliers(rows_of(t, "price"), "price", "iqr").withColumn("price", r4(F.col("price")))
 
 
-@query("outlier_z_cap", f"""WITH {DIRTY_SQL}, s AS (SELECT avg(price) AS m, stddev_samp(price) AS d FROM dirty)
-SELECT {K}, round(CASE WHEN price < m - 3 * d THEN m - 3 * d WHEN price > m + 3 * d THEN m + 3 * d ELSE price END, 4)
-  AS price FROM dirty, s""")
+@query("outlier_z_cap", f"""WITH {DIRTY_SQL}, s AS (SELECT {K}, price, avg(price) OVER () AS m, stddev_samp(price) OVER () AS d FROM dirty)
+SELECT {K}, round(CASE WHEN price < m - 3 * d THEN m - 3 * d WHEN price > m + 3 * d THEN m + 3 * d ELSE price END, 4) AS price FROM s""")
 def outlier_z_cap(t):
     return clean.outliers(rows_of(t, "price"), "price", "zscore").withColumn("price", r4(F.col("price")))
 
@@ -310,9 +309,9 @@ def feat_log(t):
     return out.select(*KEYS, F.round("v", 6).alias("v"))
 
 
-@query("feat_zscore", f"""WITH {DIRTY_SQL}, s AS (
-  SELECT avg(coalesce(quantity, 0)) AS m, stddev_samp(coalesce(quantity, 0)) AS d FROM dirty)
-SELECT {K}, round(CASE WHEN d > 0 THEN (coalesce(quantity, 0) - m) / d ELSE 0 END, 6) AS v FROM dirty, s""")
+@query("feat_zscore", f"""WITH {DIRTY_SQL}, f AS (SELECT {K}, coalesce(quantity, 0) AS x FROM dirty),
+s AS (SELECT *, avg(x) OVER () AS m, stddev_samp(x) OVER () AS d FROM f)
+SELECT {K}, round(CASE WHEN d > 0 THEN (x - m) / d ELSE 0 END, 6) AS v FROM s""")
 def feat_zscore(t):
     out = features.derive(rows_of(t, "quantity"), "v", "zscore", ["quantity"])
     return out.select(*KEYS, F.round("v", 6).alias("v"))

@@ -346,6 +346,31 @@ def detect_roles(t):
     return roles.detect(wide.toDF(*ROLE_COLUMNS))
 
 
+def _shape_sql(number: int, columns: list[tuple]) -> str:
+    """The sales column that the data rules find among unnamed numeric columns (name, expression, whole)."""
+    facts = " UNION ALL ".join(f"""SELECT {i} AS position, '{c}' AS column_name, stddev_samp({x}) AS s, stddev_samp({x}) / (avg({x}) + 1e-9) AS cv,
+  avg(CASE WHEN {x} > 0 THEN 1.0 ELSE 0.0 END) AS positive, {whole} AND count(DISTINCT {x}) / count(*) > 0.9 AS is_id FROM orders"""
+                               for i, (c, x, whole) in enumerate(columns))
+    return f"""f{number} AS ({facts}), s{number} AS (SELECT column_name FROM f{number} WHERE cv > 0.3 AND positive > 0.8 AND NOT is_id ORDER BY position LIMIT 1),
+w{number} AS (SELECT column_name FROM f{number} WHERE NOT EXISTS (FROM s{number}) ORDER BY s DESC, position LIMIT 1)"""
+
+
+@query("detect_roles_unnamed", f"""WITH {_shape_sql(1, [('q1', 'o_orderkey', 'true'), ('q3', 'o_totalprice', 'false'), ('q4', 'o_custkey', 'true')])},
+{_shape_sql(2, [('q1', 'o_orderkey', 'true'), ('q2', '(-o_totalprice)', 'false')])},
+d AS (SELECT avg(CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE 1.0 END) AS share FROM orders)
+SELECT 1 AS table_no, 'sales' AS role, column_name, 'pattern' AS method, CAST(0.6 AS DOUBLE) AS confidence FROM s1
+UNION ALL SELECT 1, 'sales', column_name, 'fallback', 0.4 FROM w1 UNION ALL SELECT 1, 'date', 'q2', 'fallback', 0.35 FROM d WHERE share > 0.7
+UNION ALL SELECT 2, 'sales', column_name, 'pattern', 0.6 FROM s2 UNION ALL SELECT 2, 'sales', column_name, 'fallback', 0.4 FROM w2
+UNION ALL SELECT 2, 'date', 'q3', 'pattern', 0.6 FROM d""")
+def detect_roles_unnamed(t):
+    """Roles of two tables whose names say nothing: texts that are mostly dates, real dates, money among ids, and no money at all."""
+    text = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    one = t.orders.select(F.col("o_orderkey").alias("q1"), text.alias("q2"), F.col("o_totalprice").alias("q3"), F.col("o_custkey").alias("q4"), F.col("o_orderpriority").alias("q5"))
+    two = t.orders.select(F.col("o_orderkey").alias("q1"), (-F.col("o_totalprice")).alias("q2"), F.col("o_orderdate").alias("q3"))
+    found = [roles.detect(df).select(F.lit(i).alias("table_no"), "*") for i, df in ((1, one), (2, two))]
+    return found[0].unionByName(found[1])
+
+
 @query("vec_topk", """WITH v AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x
   FROM embeddings, generate_series(1, 64) AS g(i)),
 c AS (SELECT label, i, avg(x) AS x FROM v GROUP BY 1, 2),

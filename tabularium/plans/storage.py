@@ -330,10 +330,10 @@ def sql_adhoc_topn(t):
     return adhoc.run_sql(sales_wide(t, ["product", "sales"]), text).rows()
 
 
-@query("sql_month_group", f"WITH {SALES_SQL} SELECT strftime(order_date, '%Y-%m') AS month, count(*) AS n, sum(quantity) AS quantity FROM sales_wide GROUP BY 1 ORDER BY 1 DESC LIMIT 50")
+@query("sql_month_group", f"WITH {SALES_SQL} SELECT strftime(order_date, '%Y-%m') AS month, count(*) AS n, sum(quantity) AS quantity FROM sales_wide GROUP BY 1 ORDER BY 1 DESC")
 def sql_month_group(t):
     text = """SELECT date_format(order_date, 'yyyy-MM') AS month, count(*) AS n, sum(quantity) AS quantity FROM dataset
-              GROUP BY 1 ORDER BY month DESC LIMIT 50"""
+              GROUP BY 1 ORDER BY month DESC"""
     return adhoc.run_sql(sales_wide(t, ["order_date", "quantity"]), text).rows()
 
 
@@ -379,7 +379,7 @@ def sql_log_samples_distinct(t):
     return adhoc.run_sql(t.events, "SELECT count(DISTINCT user_id) AS users FROM dataset").rows()
 
 
-@query("sql_result_summary", """WITH k AS (SELECT o_custkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50),
+@query("sql_result_summary", """WITH k AS (SELECT o_custkey, o_orderpriority, o_totalprice FROM orders),
 num AS (SELECT 'o_custkey' AS column_name, CAST(o_custkey AS DOUBLE) AS v FROM k UNION ALL SELECT 'o_totalprice', o_totalprice FROM k),
 two AS (SELECT column_name, CAST(round(min(v), 2) AS DECIMAL(38, 2)) AS a, CAST(round(max(v), 2) AS DECIMAL(38, 2)) AS b,
   CAST(round(avg(v), 2) AS DECIMAL(38, 2)) AS c, CAST(round(sum(v), 2) AS DECIMAL(38, 2)) AS d FROM num GROUP BY 1)
@@ -387,7 +387,7 @@ SELECT column_name, 'min=' || a || ', max=' || b || ', mean=' || c || ', sum=' |
 UNION ALL SELECT 'o_orderpriority', (SELECT string_agg(o_orderpriority || '(' || n || ')', ', ' ORDER BY n DESC, o_orderpriority) FROM (
   SELECT o_orderpriority, count(*) AS n FROM k GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5))""")
 def sql_result_summary(t):
-    text = "SELECT o_custkey, o_orderpriority, o_totalprice FROM dataset ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"
+    text = "SELECT o_custkey, o_orderpriority, o_totalprice FROM dataset"
     return adhoc.summary(adhoc.run_sql(t.orders, text))
 
 

@@ -46,7 +46,7 @@ def scratch_root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     fs, place = file_system(spark, "/tmp/checkpoints")
-    if fs.getScheme() == "file" and not spark.sparkContext.master.startswith("local["):
+    if fs.getScheme() == "file" and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return fs.makeQualified(place).toString()
 

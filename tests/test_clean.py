@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabularium.operators import clean, features, profile, stats
+from tabularium.operators import access, clean, features, profile, stats
 
 
 @pytest.fixture
@@ -295,3 +295,12 @@ def test_frequent_values_of_many(spark, few, buckets):
     assert got == sorted(want)
     assert sorted(tuple(r) for r in stats.modes(df, ["zipf", "key"]).collect()) == sorted((c, v, n) for c, k, v, n, _ in want if k == 1 and c in ("zipf", "key"))
     assert stats.frequent_values(df.where("false"), df.columns, 3, few, buckets).collect() == []
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_permission_matrix_in_blocks(spark, block):
+    grants = spark.createDataFrame([(u, f"d{d}") for u in (1, 2, None) for d in range(10) if (u or 5) * d % 3 == 0] + [(1, "gone"), (1, "d0")], "user long, d string")
+    datasets = spark.createDataFrame([(f"d{i % 10}",) for i in range(12)], "d string")
+    got = sorted((r.user or 0, r.d, r.granted) for r in access.matrix(grants, "user", datasets, block).collect())
+    held = {(r.user or 0, r.d) for r in grants.collect()}
+    assert got == sorted((u, f"d{d}", (u, f"d{d}") in held) for u in (0, 1, 2) for d in range(10))
