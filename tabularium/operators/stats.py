@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tabularium.operators import ordering
 from tabularium.session import written
@@ -80,14 +80,30 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: i
 
 def _pick_ranks(df: DataFrame, brackets: list[tuple], names: list[tuple]) -> dict:
     """The values at the wanted ranks of each bracket (column, lower, upper, ranks), for brackets that hold them all."""
-    number = lambda x: F.lit(float(x))
-    below = Observation()
-    seen = df.observe(below, *[F.count_if(_value(c) < number(lo)).alias(f"b{i}") for i, (c, lo, _, _) in enumerate(brackets)])
-    inside = [F.struct(F.lit(i).alias("b"), _value(c).alias("v"), _value(c).between(number(lo), number(hi)).alias("ok")) for i, (c, lo, hi, _) in enumerate(brackets)]
-    held = (seen.select(F.explode(F.filter(F.array(*inside), lambda s: s["ok"])).alias("s")).groupBy("s.b", "s.v").agg(F.count(F.lit(1)).alias("n")))
+    import numpy as np
+    import pyarrow as pa
+    names_of = list(dict.fromkeys(c for c, *_ in brackets))
+
+    def look(batches):
+        """Values inside each bracket with their counts, and last what lies below it, as a null value."""
+        under = np.zeros(len(brackets), np.int64)
+        give = lambda b, v, n: pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(v, pa.float64()), pa.array(n, pa.int64())], names=["b", "v", "n"])
+        for batch in batches:
+            column = {c: batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i, c in enumerate(names_of)}
+            for i, (c, lo, hi, _) in enumerate(brackets):
+                x = column[c]
+                under[i] += np.count_nonzero(x < lo)
+                v, n = np.unique(x[(x >= lo) & (x <= hi)], return_counts=True)
+                if len(v):
+                    yield give(np.full(len(v), i), v, n)
+        yield give(np.arange(len(brackets)), [None] * len(brackets), under)
+
+    values = df.select(*[_value(c).alias(f"c{i}") for i, c in enumerate(names_of)])
+    held = written(values.mapInArrow(look, "b int, v double, n long").groupBy("b", "v").agg(F.sum("n").alias("n")), "brackets")
+    below = {r["b"]: r["n"] for r in held.where("v IS NULL").collect()}  # one row per bracket
     upto = W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    spans = written(held.withColumn("to", F.sum("n").over(upto)), "brackets")  # what the scan saw below comes with the same job
-    base = F.element_at(F.array(*[F.lit(int(below.get[f"b{i}"])).cast("long") for i in range(len(brackets))]), F.col("b") + 1)
+    spans = held.where("v IS NOT NULL").withColumn("to", F.sum("n").over(upto))
+    base = F.element_at(F.array(*[F.lit(below.get(i, 0)).cast("long") for i in range(len(brackets))]), F.col("b") + 1)
     spans = spans.withColumn("to", base + F.col("to")).withColumn("from", F.col("to") - F.col("n"))
     wanted = F.element_at(F.array(*[F.array(*[F.lit(r).cast("long") for r in sorted(set(rs))]) for _, _, _, rs in brackets]), F.col("b") + 1)
     hits = spans.select("b", "v", F.explode(wanted).alias("rank"), "from", "to").filter("rank >= `from` AND rank < `to`").collect()

@@ -1,10 +1,14 @@
 import datetime as dt
 import graphlib
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabularium.operators import charts, filters, forecast, insights, kpi, learning, metrics, series
+from tabularium.operators import boosting, charts, filters, forecast, insights, kpi, learning, metrics, series
+from tabularium.plans import models as models_plan
+from tabularium.tables import Tables
 
 
 @pytest.fixture
@@ -130,3 +134,33 @@ def test_names_that_would_look_alike_stay_whole(spark):
     df = spark.createDataFrame([(long + "one", 3.0), (long + "two", 2.0), ("another quite long name too", 1.0)], "k string, v double")
     assert [r["x"] for r in charts.top(df, "k", "v").orderBy(F.desc("y")).collect()] == [long + "one", long + "two", "another quite long n"]
     assert sorted(r["name"] for r in charts.aggregate(df, "k", "v", "sum").collect()) == sorted([long + "one", long + "two", "another quite long"])
+
+
+def test_softmax_boosting_of_three_classes(spark):
+    """Bounds: nine of ten held-out rows right on rings that no single split parts, and a loss that falls with every round."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, size=(900, 3))
+    ring = np.digitize(np.hypot(x[:, 0], x[:, 1]), [0.45, 0.85])
+    df = spark.createDataFrame([(i, *map(float, v), ["inner", "middle", "outer"][c]) for i, (v, c) in enumerate(zip(x, ring))], "id long, a double, b double, c double, ring string")
+    rows, classes = learning.numbered_classes(df, "ring")
+    ready, _ = learning.prepared(rows, "ring", ["id"])
+    assert classes == 3
+    losses = []
+    for rounds in (1, 3, 6):
+        model = boosting.SoftmaxBoosting(3, rounds, depth=4)
+        done = model.fit(ready)
+        losses.append(boosting.log_loss(done.where("is_train")))
+    start = -sum(p * math.log(p) for p in np.bincount(ring) / 900)
+    assert start + 0.02 > losses[0] > losses[1] > losses[2]
+    held = boosting.predicted(done.where("NOT is_train"))
+    assert held.where("prediction = label").count() >= 0.9 * held.count() > 100
+    again = boosting.predicted(model.transform(ready.where("NOT is_train"), per_plan=4))
+    assert sorted(r.prediction for r in again.collect()) == sorted(r.prediction for r in held.collect())
+    with pytest.raises(ValueError):
+        boosting.SoftmaxBoosting(3, 1).fit(ready.where("false"))
+
+
+def test_boosting_on_segments_lowers_the_loss(spark, folder):
+    """Segments are drawn at random, so held-out accuracy is near one in five; the training loss must be below that of no model."""
+    got = {r["metric"]: r["value"] for r in models_plan.ml_segment_metrics(Tables(spark, folder)).collect()}
+    assert set(got) == {"accuracy", "f1", "train_log_loss"} and got["train_log_loss"] < math.log(5) and got["accuracy"] < 0.6

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SLOW = {"ml_rf_importance", "ml_gbt_metrics", "ml_metrics"}
+SLOW = {"ml_rf_importance", "ml_gbt_metrics", "ml_metrics", "ml_segment_metrics"}
 
 
 def plain(v):
