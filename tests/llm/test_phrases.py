@@ -86,6 +86,7 @@ def test_domination_by_a_longer_phrase_that_begins_with_a_closed_word(spark):
 def test_long_texts_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(phrases, "HELD", 50)
     monkeypatch.setattr(phrases, "SLICE", 300)
+    monkeypatch.setattr(phrases, "ROW", 20)
     rows = [("one two three four five six seven " * 2000, "en")] + [("one two three", "en")] * 50 + [(None, "en"), ("", None), (" .,\n", None), ("alone", "es")]
     df = spark.createDataFrame(rows, "text string, lang string")
     assert made(df, least=40) == expected(rows, 40, 2000)
@@ -99,5 +100,5 @@ def test_awkward_rows(awkward):
 
 def test_words_and_pieces():
     found = phrases.Words(pa.array(["A b,c  d", "", None, "e\x0cf g", "h"]), ["x"] * 5)
-    assert [found.text(i, 1) for i in range(len(found.begin))] == ["a", "b", "c", "d", "e", "f", "g", "h"]
+    assert [found.word(i) for i in range(len(found.begin))] == ["a", "b", "c", "d", "e", "f", "g", "h"]
     assert (np.diff(found.piece) != 0).tolist() == [False, True, False, True, True, False, True]
