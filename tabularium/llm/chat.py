@@ -5,10 +5,14 @@ as long as each output begins with the one before, the rest of it is the new tur
 in the last turn show where in its piece the text stands: their outputs differ there and nowhere else. A template whose output
 does not begin with the one before rewrites history; then pieces cannot be told apart, which the rows say.
 
-Conversations are sorted by turn inside tasks and stream through them: at most ``WINDOW`` turns are rendered together; longer
-conversations go on from their last turn, so memory and work per turn are bounded whatever a conversation's length. The few
-conversations that hold more than a task's share of all rows are cut into ranges of turns, which different tasks render, each from
-the last turn of the range before.
+Conversations are sorted by turn inside tasks. The first ``WINDOW`` turns are rendered from the beginning. Further turns are rendered
+from the turns shortly before them, in blocks that double, and the rendering of everything up to a block's end must then be the
+pieces so far, one after another; where it is not, the block is rendered again from the whole prefix, turn by turn. So no cut
+changes a piece that the whole rendering shows.
+
+A template that declares ``local = True`` promises that a turn's piece depends on the turn and the one before it only. Its conversations
+stream in bounded memory without proofs, and the few that hold more than a task's share of all rows are cut into ranges of turns,
+which different tasks render, each from the last turn of the range before.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain, groupby
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +55,9 @@ def marked(turns: list[Turn]) -> str:
     return "".join(f"{BEGIN}{HEAD}{escape(role)}{TAIL}{escape(text)}{END}" for role, text in turns)
 
 
+marked.local = True
+
+
 def read(formatted: str) -> list[Turn]:
     """The turns of a text that ``marked`` has made."""
     return [(unescape(m[1]), unescape(m[2])) for m in _turn.finditer(formatted)]
@@ -70,16 +77,13 @@ def common(one: str, other: str) -> int:
     return low
 
 
-def pieces(turns: Iterator[Turn], template: Template, window: int, first: list[Turn] = ()) -> Iterator[tuple[str, str | None, int | None, int | None]]:
-    """For each turn its role, its piece and where its text begins and ends in the piece; None where history is rewritten.
+Piece = tuple[str, str | None, int | None, int | None]
 
-    ``first`` are turns that stand before these ones and have been rendered elsewhere."""
-    before = list(first)
+
+def steps(turns: Iterator[Turn], template: Template, before: list[Turn]) -> Iterator[Piece]:
+    """Pieces by rendering every prefix from ``before`` on, which grows by the turns."""
     shown = template(before)
     for turn in turns:
-        if len(before) >= window:
-            before = before[-1:]
-            shown = template(before)
         now = template([*before, turn])
         if now.startswith(shown):
             piece = now[len(shown):]
@@ -93,6 +97,33 @@ def pieces(turns: Iterator[Turn], template: Template, window: int, first: list[T
         shown = now
 
 
+def windowed(turns: Iterator[Turn], template: Template, window: int, before: list[Turn]) -> Iterator[Piece]:
+    """Pieces by rendering at most ``window`` turns together, each time from the last turn on."""
+    while part := list(islice(turns, max(1, window - len(before)))):
+        yield from steps(iter(part), template, before)
+        before = before[-1:]
+
+
+def pieces(turns: Iterator[Turn], template: Template, window: int, first: list[Turn] = ()) -> Iterator[Piece]:
+    """For each turn its role, its piece and where its text begins and ends in the piece; None where history is rewritten.
+
+    ``first`` are turns that stand before these ones and have been rendered elsewhere. Templates that are not local keep a whole
+    conversation in memory, and render it quadratically in turns where it does not follow from shorter contexts."""
+    before, turns = list(first), iter(turns)
+    if getattr(template, "local", False):
+        yield from windowed(turns, template, window, before)
+        return
+    yield from steps(islice(turns, max(1, window)), template, before)
+    while block := list(islice(turns, len(before))):
+        shown, whole = template(before), template([*before, *block])
+        found = list(windowed(iter(block), template, window, before[-1:]))
+        if all(p is not None for _, p, _, _ in found) and whole == shown + "".join(p for _, p, _, _ in found):
+            yield from found
+            before += block
+        else:
+            yield from steps(iter(block), template, before)
+
+
 def rendered(template: Template, window: int, starts: dict[int, int]):
     """Pieces of the turns of a task in order; ``starts`` has the place of each range's first turn. A row that stands in front of
     a range as its context is rendered with it but not put out."""
@@ -194,7 +225,7 @@ def formatted(conversations: DataFrame, template: Template = marked, window: int
     the places are null for a turn at which the template rewrites history. No rows give no rows; other columns are not read.
     """
     parts = partitions(conversations.sparkSession)
-    short, long = parted(turns_of(conversations), parts)
+    short, long = parted(turns_of(conversations), parts) if getattr(template, "local", False) else (turns_of(conversations), None)
     made = whole(short, template, window)
     return made if long is None else made.unionByName(ranged(long, template, window, parts))
 
@@ -242,7 +273,7 @@ def digests(conversations: DataFrame, template: Template = marked, window: int =
     A digest is sequential: the pieces of a conversation that was cut into ranges stream through one task once more, in order.
     """
     parts = partitions(conversations.sparkSession)
-    short, long = parted(turns_of(conversations), parts)
+    short, long = parted(turns_of(conversations), parts) if getattr(template, "local", False) else (turns_of(conversations), None)
     made = whole(short, template, window).mapInArrow(digested(trained), DIGEST)
     if long is None:
         return made

@@ -83,6 +83,49 @@ def test_templates_that_rewrite_history_are_detected():
         assert "<start>" + "".join(p for _, p, _, _ in found) == greeting(turns)
 
 
+def by_number(turns):
+    return "".join(f"[{i}:{r}]{t}" for i, (r, t) in enumerate(turns))
+
+
+def forgetful(turns):
+    """Blanks the texts of turns older than the last 80."""
+    return "".join(f"({r}:{t if i >= len(turns) - 80 else ''})" for i, (r, t) in enumerate(turns))
+
+
+def of_system(turns):
+    """Every turn shows the leading system turn's text."""
+    lead = turns[0][1] if turns and turns[0][0] == "system" else "-"
+    return "".join(f"<{lead}|{r}>{t}" for r, t in turns)
+
+
+@pytest.mark.parametrize("template", [by_number, forgetful, of_system])
+@pytest.mark.parametrize("n", [65, 200, 5000])
+def test_cuts_are_proven_by_rendering(template, n):
+    turns = [("system", "be brief")] + [("user" if i % 2 else "assistant", f"t{i}") for i in range(n - 1)]
+    found = list(chat.pieces(iter(turns), template, 64))
+    assert len(found) == n
+    if template is forgetful:
+        assert [p is None for _, p, _, _ in found] == [i >= 80 for i in range(n)]
+        return
+    assert "".join(p for _, p, _, _ in found) == template(turns)
+    assert [p[a:b] for _, p, a, b in found[1:]] == [t for _, t in turns[1:]]  # the system turn's piece may show its text twice
+    assert list(chat.pieces(iter(turns[:150]), template, 64)) == list(chat.steps(iter(turns[:150]), template, []))
+
+
+def test_local_templates_are_rendered_in_short_contexts():
+    seen = []
+
+    def short(turns):
+        seen.append(len(turns))
+        return chat.marked(turns)
+    short.local = True
+    turns = [("user", f"t{i}") for i in range(500)]
+    assert "".join(p for _, p, _, _ in chat.pieces(iter(turns), short, 64)) == chat.marked(turns) and max(seen) <= 64
+    seen.clear()
+    short.local = False
+    assert "".join(p for _, p, _, _ in chat.pieces(iter(turns), short, 64)) == chat.marked(turns) and sum(seen) < 70 * 3 * 500
+
+
 @pytest.mark.parametrize("a, b", [("", ""), ("ab", "ab"), ("ab", "ac"), ("x" * 1000 + "a", "x" * 1000 + "b"), ("a", ""), ("ab", "abc")])
 def test_common(a, b):
     import os
