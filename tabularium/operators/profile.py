@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from tabularium.functions import parsing
 from tabularium.operators import stats
+from tabularium.session import written
 
 # Names that may hold dates for the chat policy.
 DATE_NAME = "date|time|timestamp|created|updated|dob|year|month|day"
@@ -203,12 +204,15 @@ def score(missing: Column, duplicate: Column, outlier: Column) -> Column:
 def quality(df: DataFrame) -> DataFrame:
     """One row: score, the three shares, and the counts behind them."""
     numeric = stats.numeric_columns(df)
-    beyond = stats.beyond_fences(df, numeric)
     if len(df.columns) <= stats.COLUMNS_PER_PASS:
-        one = df.agg(F.count(F.lit(1)).alias("total_rows"),
-                     sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0)).alias("total_nulls"),
-                     sum((F.count_if(test) for test in beyond.values()), F.lit(0)).cast("bigint").alias("total_outliers"))
+        # the numbers and each row's nulls are written once; fences and counts read them
+        nulls = sum((F.col(f"`{c}`").isNull().cast("int") for c in df.columns), F.lit(0))
+        slim = written(df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(numeric)], nulls.alias("nulls")), "numbers")
+        beyond = stats.beyond_fences(slim, slim.columns[:-1], stage=False)
+        one = slim.agg(F.count(F.lit(1)).alias("total_rows"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("total_nulls"),
+                       sum((F.count_if(test) for test in beyond.values()), F.lit(0)).cast("bigint").alias("total_outliers"))
     else:
+        beyond = stats.beyond_fences(df, numeric)
         one = stats.null_counts(df).agg(F.max("total_rows").alias("total_rows"), F.sum("null_count").alias("total_nulls"))
         cells = stats.per_column(df, list(beyond), {"n": lambda c: F.count_if(beyond[c])}) if beyond else None
         one = one.withColumn("total_outliers", cells.agg(F.sum("n")).scalar() if beyond else F.lit(0).cast("bigint"))

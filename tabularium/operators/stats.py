@@ -42,13 +42,23 @@ def _value(name: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = ACCURACY, stage: bool = True) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation, a few numbers per column, for every column at once, in two scans.
 
+    ``df`` may be the result of much work, so its numbers are written first; without ``stage`` it is scanned itself.
     The first scan's sketch brackets each wanted rank: the approximate quantiles a little to its left and right hold it
     between them. The second counts the rows below each bracket and the values inside (a few ten-thousandths of the rows),
     among which the ranks are picked in order. Values may be infinite and spread over any range. NaN is null.
     """
+    if not columns:
+        return {}
+    names = {c: f"c{i}" for i, c in enumerate(columns)}
+    numbers = df.select(*[_value(c).alias(name) for c, name in names.items()])
+    found = _quantiles(written(numbers, "numbers") if stage else numbers, list(names.values()), probs, accuracy)
+    return {c: found[name] for c, name in names.items()}
+
+
+def _quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int) -> dict[str, list[float | None]]:
     sketched: dict[str, tuple] = {}
     slack = 4.0 / accuracy
     edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)} | {0.0, 1.0})
@@ -327,6 +337,6 @@ def outlier_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     })
 
 
-def beyond_fences(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+def beyond_fences(df: DataFrame, columns: list[str], **kw) -> dict[str, Column]:
     """Outlier test per column."""
-    return {c: (_value(c) < low) | (_value(c) > high) for c, (low, high) in iqr_bounds(df, columns).items()}
+    return {c: (_value(c) < low) | (_value(c) > high) for c, (low, high) in iqr_bounds(df, columns, **kw).items()}
