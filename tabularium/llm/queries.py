@@ -161,7 +161,7 @@ f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*)
 c AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
 s AS (SELECT c.lang, c.phrase, c.m, c.a, k, l.a AS l, r.a AS r, n, (CAST(1000 AS HUGEINT) * c.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS score
   FROM c JOIN n ON n.lang = c.lang JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:m], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:c.m], ' ')
   QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1)
 SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM s
 WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.lang = s.lang AND y.m > s.m AND 100 * y.a >= 100 * s.a AND contains(' ' || y.phrase || ' ', ' ' || s.phrase || ' '))
