@@ -27,61 +27,79 @@ def _ms(us: int) -> int:
 
 
 class ClosedSessions(StatefulProcessor):
-    """Sessions of one key: those still open, and those that left but may yet be altered."""
+    """Sessions of one key: those still open, and those that left but may yet be altered.
+
+    They are one value, rows of (start, end, events, out) in time order, and a key has one timer at a time: a micro-batch
+    reads and writes the state of each key that it concerns once, however many sessions come, close or are forgotten.
+    """
 
     def __init__(self, key: str, idle_us: int, horizon_us: int):
         self.key, self.idle, self.horizon = key, idle_us, horizon_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sessions = handle.getMapState("sessions", "start long", "last long, n long, out boolean")
+        self.sessions = handle.getValueState("sessions", "packed binary, timer long")
 
     def close(self) -> None:
         pass
 
-    def rows(self, key, found: list[tuple[int, int, int, int]]) -> pd.DataFrame:
+    def held(self) -> tuple[np.ndarray, int | None]:
+        """The sessions of this key and when its timer rings."""
+        state = self.sessions.get()
+        if state is None:
+            return np.empty((0, 4), np.int64), None
+        return np.frombuffer(state[0], np.int64).reshape(-1, 4), state[1]
+
+    def due(self, sessions: np.ndarray) -> np.ndarray:
+        """When something happens to each session, in milliseconds: one that is in leaves, one that is out is forgotten."""
+        return (sessions[:, 1] + self.idle - np.where(sessions[:, 3] == 0, self.horizon, 0)) // 1000
+
+    def keep(self, sessions: np.ndarray, timer: int | None) -> None:
+        """Writes the state; the timer is set unless an earlier one is."""
+        if not len(sessions):
+            self.sessions.clear()
+            return
+        first = int(self.due(sessions).min())
+        if timer is None or first < timer:
+            self.handle.registerTimer(first)
+            timer = first
+        self.sessions.update((sessions.astype(np.int64).tobytes(), timer))
+
+    def rows(self, key, found: np.ndarray, change: int) -> pd.DataFrame:
         """Changes (start, end, events, change) of one key."""
-        out = pd.DataFrame(found, columns=["start_us", "end_us", "events", "change"])
+        out = pd.DataFrame({"start_us": found[:, 0], "end_us": found[:, 1], "events": found[:, 2], "change": np.full(len(found), change, np.int32)})
         out.insert(0, self.key, pd.Series([key] * len(out), dtype=object))
         return out
 
-    def timer(self, us: int) -> None:
-        self.handle.registerTimer(_ms(us))
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         """Joins new runs of events with the sessions that they touch; a session that had left is taken back."""
         new = np.concatenate([r[["first", "last", "n"]].to_numpy(np.int64) for r in rows])
-        held = [(k[0], v[0], v[1], v[2]) for k, v in self.sessions.iterator()]
-        runs = sorted([(int(a), int(b), int(n), None) for a, b, n in new] + [(a, b, n, out) for a, b, n, out in held])
-        taken, at = [], 0
-        while at < len(runs):
-            to, end, fresh = at + 1, runs[at][1], runs[at][3] is None
-            while to < len(runs) and runs[to][0] - end < self.idle:
-                end, fresh, to = max(end, runs[to][1]), fresh or runs[to][3] is None, to + 1
-            if fresh:
-                for a, b, n, out in runs[at:to]:
-                    if out is not None:
-                        self.sessions.removeKey((a,))
-                        if out:
-                            taken.append((a, b, n, -1))
-                self.sessions.updateValue((runs[at][0],), (end, sum(r[2] for r in runs[at:to]), False))
-                self.timer(end + self.idle - self.horizon)
-                self.timer(end + self.idle)
-            at = to
-        if taken:
-            yield self.rows(key[0], taken)
+        held, timer = self.held()
+        runs = np.concatenate([np.column_stack([new, np.full(len(new), -1)]), held])  # -1: not a session yet
+        runs = runs[np.argsort(runs[:, 0], kind="stable")]
+        ends = np.maximum.accumulate(runs[:, 1])
+        starts = np.flatnonzero(np.concatenate([[True], runs[1:, 0] - ends[:-1] >= self.idle]))
+        fresh = np.logical_or.reduceat(runs[:, 3] < 0, starts)
+        joined = np.column_stack([runs[starts, 0], np.maximum.reduceat(runs[:, 1], starts), np.add.reduceat(runs[:, 2], starts),
+                                  np.where(fresh, 0, runs[starts, 3])])
+        of = np.repeat(fresh, np.diff(np.append(starts, len(runs))))
+        taken = runs[of & (runs[:, 3] == 1)]
+        self.keep(joined, timer)
+        if len(taken):
+            yield self.rows(key[0], taken, -1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Lets go of sessions that no event in time order can reach, and forgets those that no late one can."""
-        now, closed = timerValues.getCurrentWatermarkInMs(), []
-        for k, (last, n, out) in list(self.sessions.iterator()):
-            if not out and _ms(last + self.idle - self.horizon) < now:
-                closed.append((k[0], last, n, 1))
-                self.sessions.updateValue(k, (last, n, True))
-            if _ms(last + self.idle) < now:
-                self.sessions.removeKey(k)
-        if closed:
-            yield self.rows(key[0], closed)
+        now, (sessions, timer) = timerValues.getCurrentWatermarkInMs(), self.held()
+        if not len(sessions):
+            return
+        sessions = sessions.copy()
+        closed = (sessions[:, 3] == 0) & (self.due(sessions) < now)
+        sessions[closed, 3] = 1
+        rang = expiredTimerInfo.getExpiryTimeInMs()
+        self.keep(sessions[(sessions[:, 3] == 0) | (self.due(sessions) >= now)], None if timer is None or rang >= timer else timer)
+        if closed.any():
+            yield self.rows(key[0], sessions[closed], 1)
 
 
 def runs(idle_us: int, key: str):

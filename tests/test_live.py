@@ -100,3 +100,44 @@ def test_tokens_expire_and_are_renewed(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     feed = lambda: spark.readStream.schema("who string, at timestamp_ntz").parquet(str(tmp_path / "none*"))
     assert live.settled(run.drain(sessions(feed(), dt.timedelta(days=1)), "none")).collect() == []
+
+
+class Counted:
+    """State and timers of one key, and how often they are used."""
+
+    def __init__(self):
+        self.state, self.calls, self.timers = None, 0, []
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.state
+
+    def update(self, value):
+        self.calls, self.state = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.state = self.calls + 1, None
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.append(ms)
+
+    def getExpiryTimeInMs(self):
+        return self.timers[-1]
+
+    def getCurrentWatermarkInMs(self):
+        return 10**9
+
+
+def test_a_key_of_many_sessions_uses_its_state_a_few_times():
+    import pandas as pd
+    made, held = live.ClosedSessions("who", 7_200_000_000, 10**18), Counted()
+    made.init(held)
+    starts = [i * 10**10 for i in range(2000)]
+    runs = pd.DataFrame({"first": starts, "last": starts, "n": 1})
+    assert list(made.handleInputRows(("a",), iter([runs]), held)) == [] and len(held.timers) == 1
+    out = list(made.handleExpiredTimer(("a",), held, held))
+    assert [len(o) for o in out] == [2000] and held.calls < 10
