@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabularium.session import delete, scratch_path
+from tabularium.session import delete, scratch_path, written
 
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 _PART_ROWS, _SMALL_PART_ROWS = 4_000_000, 50_000
@@ -100,30 +100,57 @@ def with_next(df: DataFrame, keys: list, columns: list[str], prefix: str = "next
     return told.withColumns({prefix + c: F.col("_next")[c] for c in columns}).drop("_part", "_place", "_next", "_following")
 
 
-def split_after(df: DataFrame, moment: str, ties: list[str], fraction_of: int = 2) -> Column:
-    """Predicate that is true for the rows from position ``rows // fraction_of`` on, ordered by moment and ties.
-
-    Only the day that holds the cut is ranked; every other row is decided by its day alone.
-    """
-    day = F.to_date(moment)
-    per_day = df.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+def _cut_day(df: DataFrame, moment: str, fraction_of: int):
+    """The day that holds position ``rows // fraction_of`` in the order of ``moment`` with that position inside it, or None."""
+    per_day = df.groupBy(F.to_date(moment).alias("d")).agg(F.count(F.lit(1)).alias("n"))
     running = W.orderBy("d")
     cut = (per_day
            .select("d", "n", F.sum("n").over(running).alias("upto"),
                    F.floor(F.sum("n").over(W.partitionBy()) / F.lit(fraction_of)).alias("at"))
            .filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at")))
            .first())
+    return None if cut is None else (cut["d"], int(cut["at"] - (cut["upto"] - cut["n"])))
+
+
+def _from_edge(on_day: DataFrame, keys: list[str], inside: int, here: Column) -> Column:
+    """True for the rows of the cut day from its row ``inside`` on; ``here`` is their keys as a struct."""
+    edge = with_position(on_day, keys).filter(F.col("position") == inside).first()
+    return here >= F.struct(*[F.lit(edge[k]).cast(on_day.schema[k].dataType).alias(k) for k in keys])
+
+
+def split_after(df: DataFrame, moment: str, ties: list[str], fraction_of: int = 2) -> Column:
+    """Predicate that is true for the rows from position ``rows // fraction_of`` on, ordered by moment and ties.
+
+    Only the day that holds the cut is ranked; every other row is decided by its day alone.
+    """
+    cut = _cut_day(df, moment, fraction_of)
     if cut is None:
         return F.lit(False)
-    inside = int(cut["at"] - (cut["upto"] - cut["n"]))
-    on_day = F.lit(cut["d"])
+    day, (d, inside), keys = F.to_date(moment), cut, [moment, *ties]
+    on_day = F.lit(d)
     if inside == 0:
         return day >= on_day
-    keys = [moment, *ties]
-    edge = with_position(df.filter(day == on_day).select(*keys), keys).filter(F.col("position") == inside).first()
-    here = F.struct(*[F.col(k) for k in keys])
-    there = F.struct(*[F.lit(edge[k]).cast(df.schema[k].dataType).alias(k) for k in keys])
-    return (day > on_day) | ((day == on_day) & (here >= there))
+    late = _from_edge(df.filter(day == on_day).select(*keys), keys, inside, F.struct(*[F.col(k) for k in keys]))
+    return (day > on_day) | ((day == on_day) & late)
+
+
+def split_written(df: DataFrame, moment: str, ties: list[str], columns: list[str], fraction_of: int = 2, name: str = "second") -> DataFrame:
+    """``columns`` of ``df`` and the predicate of :func:`split_after` as ``name``, written once.
+
+    For a ``df`` that is much work: after the count per day it is made once more, and the moment and ties are kept for the rows
+    of the day that holds the cut alone.
+    """
+    cut = _cut_day(df, moment, fraction_of)
+    if cut is None:
+        return df.select(*columns, F.lit(False).alias(name))
+    day, (d, inside), keys = F.to_date(moment), cut, [moment, *ties]
+    on_day = F.lit(d)
+    if inside == 0:
+        return written(df.select(*columns, (day >= on_day).alias(name)), "split")
+    tie = F.when(day == on_day, F.struct(*[F.col(k) for k in keys]))
+    kept = written(df.select(*columns, (day > on_day).alias("_after"), tie.alias("_tie")), "split")
+    late = _from_edge(kept.where("_tie IS NOT NULL").select("_tie.*"), keys, inside, F.struct(*[F.col("_tie")[k].alias(k) for k in keys]))
+    return kept.select(*columns, F.when(F.col("_tie").isNotNull(), late).otherwise(F.col("_after")).alias(name))
 
 
 def page(df: DataFrame, keys: list, number: int, size: int | None, shallow: int = 100_000) -> DataFrame:

@@ -91,9 +91,10 @@ PERIOD_SQL = """cmp AS (SELECT sum(CASE WHEN period = 1 THEN sales END) AS a, su
 
 
 def _halves(t):
-    """Sales rows marked by half."""
+    """Sales of all lines marked by half."""
     lean = sales_wide(t, ["order_date", *TIES])
-    return kpi.halves(lean, ordering.split_after(lean, "order_date", TIES))
+    split = ordering.split_written(lean, "order_date", TIES, ["sales"])
+    return kpi.halves(split, F.col("second")).drop("second")
 
 
 @query("rca_period_compare", f"""WITH {HALVES_SQL}, {PERIOD_SQL}
@@ -121,13 +122,12 @@ SELECT column_name, CAST(list_position(['product', 'customer', 'region', 'segmen
 WHERE (b - a < 0 AND low = 1 AND diff < 0) OR (b - a > 0 AND high = 1 AND diff > 0)""")
 def rca_drivers(t):
     """Lines are marked once and summed per part and per customer; the names are joined to the sums."""
-    keys = ["order_date", *TIES]
     lean = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderdate").alias("order_date"), F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("part_key"), F.col("l_suppkey").alias("supp_key"), F.col("l_quantity").alias("quantity"),
         net_sales().alias("sales"), F.col("o_custkey").alias("cust_key"))
-    second = ordering.split_after(lean.select(*keys), "order_date", TIES)
-    marked = written(kpi.halves(lean, second).select("period", "part_key", "cust_key", "sales"), "halves")
+    split = ordering.split_written(lean, "order_date", TIES, ["part_key", "cust_key", "sales"])
+    marked = kpi.halves(split, F.col("second")).drop("second")
     per_part = written(kpi.period_sums(marked, ["part_key"], "sales"), "part-sums")
     parts = per_part.join(t.part, F.col("part_key") == F.col("p_partkey")).withColumnRenamed("p_brand", "product")
     places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))

@@ -156,3 +156,16 @@ def test_pairs_of_a_hot_key_are_cut_by_rows(spark, monkeypatch, parts):
     got = [(r.who or 0, r.status, r.at if "at" in found.columns else r.ts, r.ended, r.duration_seconds) for r in found.collect()]
     key = lambda r: (r[0], r[2], r[1], str(r[3]), str(r[4]))
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("days", [1, 3, 40])
+def test_written_split_marks_the_same_rows(spark, days):
+    """Rows with and without a date, equal rows and null ties; ties are kept for the day of the cut alone."""
+    rng = random.Random(days)
+    rows = [(None if days > 1 and rng.random() < 0.1 else dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randrange(days), hours=rng.randrange(3)),
+             rng.choice([None, 1, 2, 3]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "at timestamp_ntz, tie int, id int")
+    split = ordering.split_written(df, "at", ["tie"], ["id"])
+    late = lambda frame, c: {r["id"] for r in frame.where(c).select("id").collect()}
+    assert late(split, "second") == late(df, ordering.split_after(df, "at", ["tie"])) and split.columns == ["id", "second"]
+    assert ordering.split_written(df.limit(0), "at", ["tie"], ["id"]).count() == 0
