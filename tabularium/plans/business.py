@@ -149,9 +149,15 @@ UNION ALL SELECT 2, 'Increase inventory and marketing spend for ''' || product |
 UNION ALL SELECT 3, 'Overall metric trend is downward. Implement targeted promotional discounts for dropping segments.'
   FROM cmp WHERE b - a <= 0""")
 def recommendations(t):
-    parts = kpi.group_totals(sales_wide(t, ["part_key", "profit"]).withColumnRenamed("part_key", "part"), "part", "profit")
-    losses = kpi.loss_makers(parts, "part").withColumn("part", F.col("part").cast("string"))
-    best = kpi.best_and_worst(kpi.group_totals(sales_by_part(t), "product", "sales"), "product")
+    """Lines are summed per part before parts are joined; a line without sales or quantity has no profit."""
+    sales, whole = net_sales(), net_sales().isNotNull() & F.col("l_quantity").isNotNull()
+    sums = written(t.lineitem.groupBy("l_partkey").agg(
+        F.sum(sales).alias("sales"), F.sum(F.when(whole, sales)).alias("_sales"), F.sum(F.when(whole, F.col("l_quantity"))).alias("_quantity")), "part-sums")
+    named = sums.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_partkey").alias("part"), F.col("p_brand").alias("product"), "sales",
+        (F.col("_sales") - F.col("_quantity") * F.col("p_retailprice")).alias("profit"))
+    losses = kpi.loss_makers(kpi.group_totals(named, "part", "profit"), "part").withColumn("part", F.col("part").cast("string"))
+    best = kpi.best_and_worst(kpi.group_totals(named, "product", "sales"), "product")
     return kpi.recommendations(losses, "part", best, kpi.compare_periods(_halves(t), "sales"))
 
 

@@ -164,3 +164,11 @@ def test_boosting_on_segments_lowers_the_loss(spark, folder):
     """Segments are drawn at random, so held-out accuracy is near one in five; the training loss must be below that of no model."""
     got = {r["metric"]: r["value"] for r in models_plan.ml_segment_metrics(Tables(spark, folder)).collect()}
     assert set(got) == {"accuracy", "f1", "train_log_loss"} and got["train_log_loss"] < math.log(5) and got["accuracy"] < 0.6
+
+
+def test_recommendations_sum_lines_before_parts_are_joined(tables, monkeypatch):
+    from tabularium.plans import business
+    asked, wide = [], business.sales_wide
+    monkeypatch.setattr(business, "sales_wide", lambda t, columns: asked.append(list(columns)) or wide(t, columns))
+    assert {r["rule"] for r in business.recommendations(tables).collect()} <= {1, 2, 3}
+    assert asked and not any({"price", "product", "profit"} & set(columns) for columns in asked)
