@@ -52,12 +52,12 @@ def null_decisions(df: DataFrame) -> DataFrame:
             .filter(F.col("decision").isNotNull()).select("column_name", "decision"))
 
 
-def auto_fill(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """Apply :func:`null_decisions`: drop mostly empty columns, median for numbers, mode for text."""
+def auto_fill(df: DataFrame, **kw) -> tuple[DataFrame, dict[str, str]]:
+    """Apply :func:`null_decisions`: drop mostly empty columns, median for numbers, mode for text; ``kw`` as in quantiles."""
     chosen = {r["column_name"]: r["decision"] for r in null_decisions(df).collect()}  # one row per column
     out = df.drop(*[c for c, d in chosen.items() if d == DROPPED])
     by_median = [c for c, d in chosen.items() if d == BY_MEDIAN]
-    middle = stats.quantiles(df, by_median, [0.5])
+    middle = stats.quantiles(df, by_median, [0.5], **kw)
     filled = {c: F.coalesce(F.col(f"`{c}`"), F.lit(middle[c][0])) for c in by_median}
     by_mode = [c for c, d in chosen.items() if d == BY_MODE]
     if by_mode:
@@ -171,9 +171,9 @@ def outliers_in_turn(df: DataFrame, steps: dict[str, str]) -> DataFrame:
     return df
 
 
-def auto_cap(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+def auto_cap(df: DataFrame, **kw) -> tuple[DataFrame, dict[str, str]]:
     """Cap every numeric column that has an outlier; fences and counts cost two aggregates over all columns."""
-    found = {r["column_name"]: r for r in stats.outlier_cells(df).filter("outliers > 0").collect()}
+    found = {r["column_name"]: r for r in stats.outlier_cells(df, **kw).filter("outliers > 0").collect()}
     capped = {c: numbers.clip(F.col(f"`{c}`").cast("double"), F.lit(r["lower_bound"]), F.lit(r["upper_bound"]))
               for c, r in found.items()}
     return df.withColumns(capped) if capped else df, {c: "IQR capping" for c in found}

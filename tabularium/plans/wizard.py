@@ -18,12 +18,13 @@ def _suggested(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return features.derive_all(df, specs), {s["col"]: s["operation"] for s in specs}
 
 
-# Every automatic step returns the changed frame and what it decided per column.
+# Every automatic step returns the changed frame and what it decided per column. Versions are written, so quantiles read them
+# without a copy, and repeats are found by fingerprints.
 AUTOMATIC: dict[str, Callable[[DataFrame], tuple[DataFrame, dict[str, str]]]] = {
-    "null_values": clean.auto_fill,
-    "duplicates": lambda df: (clean.dedup(df, "first"), {"strategy": "Keep first"}),
+    "null_values": lambda df: clean.auto_fill(df, stage=False),
+    "duplicates": lambda df: (stats.distinct_rows(df), {"strategy": "Keep first"}),
     "data_types": clean.auto_cast,
-    "outliers": clean.auto_cap,
+    "outliers": lambda df: clean.auto_cap(df, stage=False),
     "feature_engineering": _suggested,
 }
 
@@ -41,7 +42,8 @@ def manual(df: DataFrame, step: str, params: dict) -> DataFrame:
                 df = clean.fill(df, column, _FILLS[choice])
         return df
     if step == "duplicates":
-        return clean.dedup(df, _KEEPS[params.get("strategy", "Keep first")])
+        keep = _KEEPS[params.get("strategy", "Keep first")]
+        return clean.dedup(df, keep) if keep == "none" else stats.distinct_rows(df)
     if step == "data_types":
         return clean.cast_columns(df, params)
     if step == "outliers":
@@ -71,7 +73,7 @@ class Wizard:
         path = f"{self.root}/v={self._written}"
         facts = Observation()
         empty = sum((F.col(f"`{c}`").isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
-        df.observe(facts, F.count(F.lit(1)).alias("rows"), F.sum(empty).alias("nulls")).write.parquet(path)
+        df.observe(facts, F.count(F.lit(1)).alias("rows"), F.sum(empty).alias("nulls")).write.option("compression", "zstd").parquet(path)
         self._written += 1
         self.history.append((step, mode, path, decisions))
         self.facts[path] = (facts.get["rows"], facts.get["nulls"] or 0, len(df.columns))
@@ -106,7 +108,7 @@ class Wizard:
     def lineage(self, copies: bool = False) -> DataFrame:
         """One row per applied step: mode, decisions, and rows, cols and nulls before and after.
 
-        ``copies`` adds the number of repeated rows, which costs one grouping of all columns per version.
+        ``copies`` adds the number of repeated rows, which costs one grouping of the rows' fingerprints per version.
         """
         out = None
         for i, (step, mode, path, decisions) in enumerate(self.history):

@@ -304,3 +304,35 @@ def test_permission_matrix_in_blocks(spark, block):
     got = sorted((r.user or 0, r.d, r.granted) for r in access.matrix(grants, "user", datasets, block).collect())
     held = {(r.user or 0, r.d) for r in grants.collect()}
     assert got == sorted((u, f"d{d}", (u, f"d{d}") in held) for u in (0, 1, 2) for d in range(10))
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_distinct_rows_by_fingerprint(spark, monkeypatch, collide):
+    """Rows that stand once are not shuffled; rows that share a fingerprint only by chance are all kept."""
+    if collide:
+        monkeypatch.setattr(stats, "fingerprint", lambda columns: [(F.coalesce("c0", F.lit(0)) % 3).cast("long").alias("_f1")])
+    rows = [(i, float(i % 7), None if i % 5 else f"t{i}") for i in range(300)] + [(None, None, None)] * 3 + [(7, 0.0, None)] * 40
+    df = spark.createDataFrame(rows, "a long, `b c` double, c string").repartition(4)
+    got = stats.distinct_rows(df)
+    assert got.columns == df.columns
+    assert Counter(map(tuple, got.collect())) == Counter(set(rows))
+    assert spark.range(1).select(stats.duplicate_count(df)).first()[0] == len(rows) - len(set(rows))
+    assert sorted(map(tuple, stats.distinct_rows(df.where("a < 7")).collect())) == sorted(set(r for r in rows if r[0] is not None and r[0] < 7))
+    assert stats.distinct_rows(df.where("false")).collect() == []
+
+
+def test_wizard_steps_write_versions_and_fingerprints_only(spark, monkeypatch):
+    from tabularium.plans import wizard
+    rows = [(i, float(i % 50) if i % 3 else None, f"k{i % 4}" if i % 5 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows + rows[:100], "id long, x double, k string").repartition(4)
+    made = []
+    written = stats.written
+    monkeypatch.setattr(stats, "written", lambda frame, label: (made.append((label, frame.dtypes)), written(frame, label))[1])
+    steps = wizard.Wizard(df)
+    for step in ("null_values", "duplicates", "data_types", "outliers"):
+        steps.apply(step)
+    found = {r.step: r for r in steps.lineage(copies=True).collect()}
+    assert (found["duplicates"].rows_before, found["duplicates"].rows_after) == (2100, 2000)
+    assert (found["duplicates"].copies_before, found["duplicates"].copies_after) == (100, 0)
+    assert {label for label, _ in made} <= {"repeated", "brackets"}  # no copies of the numbers
+    assert {tuple(kinds) for label, kinds in made if label == "repeated"} == {(("_f1", "bigint"),)}
