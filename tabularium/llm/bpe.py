@@ -1,7 +1,7 @@
 """Token ids of whole texts, equal to those of the tokenizers library, by distinct pieces with a bounded cache.
 
 A byte-level BPE vocabulary cuts a text into pieces by one pattern and merges inside pieces only. The pieces of many texts are
-found with numpy at once, equal ones by a 64-bit hash; only distinct pieces are looked up, and only those not met before are merged,
+found with numpy at once and looked up by a 64-bit hash; only those not met before are merged, each once,
 by tokenizers itself or, where ids rank the merges, by tiktoken. Texts with special tokens or rare characters, and other
 kinds of vocabulary, are encoded by tokenizers as a whole.
 """
@@ -25,8 +25,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Beyond these characters the libraries' Unicode tables may differ, so such texts go the slower way.
 COMMON = "\x00-ɏ‐-‧€"
 RARE = re.compile(f"[^{COMMON}]")
-#: Pieces in the cache (about 200 bytes each), and the longest piece that it takes.
-MOST_PIECES, LONGEST_PIECE = 1 << 19, 48
+#: Pieces and ids in the cache, and the longest piece that it takes.
+MOST_PIECES, MOST_IDS, LONGEST_PIECE = 1 << 19, 1 << 22, 48
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -77,23 +77,57 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-class Pieces(dict):
-    """Ids of pieces as bytes; starts anew when it is full."""
-
-    def __init__(self, merge):
-        self.merge = merge
-
-    def all(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each of these distinct pieces."""
-        new = [p for p in pieces if p not in self]
-        if not new:
-            return [self[p] for p in pieces]
-        known = dict(zip(new, self.merge(new)))
-        out = [known[p] if p in known else self[p] for p in pieces]
-        if len(self) + len(known) > MOST_PIECES:
-            self.clear()
-        self.update((p, x) for p, x in known.items() if len(p) <= LONGEST_PIECE)
-        return out
+class Pieces:
+    """Ids of pieces met before, by the pieces' 64-bit hashes: an open table, probed for many at once, that starts anew when it is full."""
+
+    def __init__(self, merge, width):
+        self.merge, self.width, self.most = merge, width, MOST_PIECES
+        self.clear()
+
+    def clear(self) -> None:
+        """Piece 0 stands for those not met; it has no ids."""
+        self.slot = np.zeros(4 * self.most, np.int32)
+        self.hash, self.at, self.ids = np.zeros(1, np.uint64), np.zeros(2, np.int64), np.zeros(0, self.width)
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece, 0 for those not met."""
+        place = (hashes % np.uint64(len(self.slot))).astype(np.int64)
+        number = self.slot[place]
+        other = np.flatnonzero((self.hash[number] != hashes) & (number > 0))
+        while len(other):
+            place[other] = (place[other] + 1) % len(self.slot)
+            number[other] = self.slot[place[other]]
+            other = other[(self.hash[number[other]] != hashes[other]) & (number[other] > 0)]
+        return number
+
+    def put(self, numbers: np.ndarray) -> None:
+        """Enters pieces into the table; where several want one place, the others go on to the next."""
+        place = (self.hash[numbers] % np.uint64(len(self.slot))).astype(np.int64)
+        while len(numbers):
+            free = self.slot[place] == 0
+            self.slot[place[free]] = numbers[free]
+            left = self.slot[place] != numbers
+            numbers, place = numbers[left], (place[left] + 1) % len(self.slot)
+
+    def all(self, whole: str, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these pieces of a text, one after another, and the n + 1 places that part them."""
+        number = self.known(hashes)
+        new = np.flatnonzero(number == 0)
+        if len(new):
+            _, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            one, n = new[first], len(self.hash)
+            if n > 1 and (n + len(one) > self.most or len(self.ids) > MOST_IDS):
+                self.clear()
+                return self.all(whole, begin, end, hashes)
+            found = self.merge([whole[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist())])
+            sizes = np.array([len(x) for x in found]) // np.dtype(self.width).itemsize
+            self.hash, self.ids = np.r_[self.hash, hashes[one]], np.r_[self.ids, np.frombuffer(b"".join(found), self.width)]
+            self.at = np.r_[self.at, self.at[-1] + np.cumsum(sizes)]
+            number[new] = n + which
+            self.put(n + np.flatnonzero((end - begin)[one] <= LONGEST_PIECE)[:self.most])
+        count = self.at[number + 1] - self.at[number]
+        to = np.r_[0, np.cumsum(count)]
+        return self.ids[np.repeat(self.at[number] - to[:-1], count) + np.arange(to[-1])], to
 
 
 def by_model(model, code: str):
@@ -140,7 +174,7 @@ def encoder(path: str, library: str = "tokenizers"):
     width = np.uint16 if size <= 1 << 16 else np.uint32
     cache = None
     if spec["model"].get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not spec.get("normalizer"):
-        cache = Pieces(by_ranks(vocab, special, size, width) if library == "tiktoken" else by_model(slow.model, "H" if width is np.uint16 else "I"))
+        cache = Pieces(by_ranks(vocab, special, size, width) if library == "tiktoken" else by_model(slow.model, "H" if width is np.uint16 else "I"), width)
 
     def common(texts: list[str]) -> list[np.ndarray]:
         whole = "".join(texts)
@@ -148,15 +182,8 @@ def encoder(path: str, library: str = "tokenizers"):
         sizes = np.array([len(t) for t in texts])
         begin = piece_starts(points, sizes)
         end = np.r_[begin[1:], len(points)]
-        _, first, which = np.unique(words.span_hashes(points, begin, end), return_index=True, return_inverse=True)
-        found = cache.all([whole[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())])
-        ids = np.frombuffer(b"".join(found), width)
-        counts = np.array([len(x) for x in found]) // ids.itemsize
-        n = counts[which]
-        out_at = np.r_[0, np.cumsum(n)]
-        place = np.repeat((np.cumsum(counts) - counts)[which] - out_at[:-1], n) + np.arange(out_at[-1])
-        cuts = out_at[np.searchsorted(begin, np.r_[0, np.cumsum(sizes)])]
-        ids = ids[place]
+        ids, to = cache.all(whole, begin, end, words.span_hashes(points, begin, end))
+        cuts = to[np.searchsorted(begin, np.r_[0, np.cumsum(sizes)])]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def encode(texts: list[str]) -> list[np.ndarray]:

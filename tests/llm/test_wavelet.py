@@ -105,3 +105,26 @@ def test_pieces_are_those_of_the_pattern():
         whole = "".join(texts)
         starts = bpe.piece_starts(np.frombuffer(whole.encode("utf-32-le"), np.uint32), np.array([len(t) for t in texts]))
         assert [whole[a:b] for a, b in zip(starts, np.r_[starts[1:], len(whole)])] == [p for t in texts for p in pattern.findall(t)]
+
+
+def test_pieces_of_one_place_are_told_apart(monkeypatch):
+    """Hashes that want one place of the table, pieces too long to keep, more pieces than it takes, and starting anew."""
+    monkeypatch.setattr(bpe, "MOST_PIECES", 40)
+    monkeypatch.setattr(bpe, "LONGEST_PIECE", 6)
+    asked = []
+    cache = bpe.Pieces(lambda pieces: [np.array([ord(c) for c in p if c != "-"], np.uint16).tobytes() for p in pieces if not asked.append(p)], np.uint16)
+    rng = np.random.default_rng(3)
+    vocabulary = ["a", "", "-", "long" * 5, *("w" + "xyz"[i % 3] * (i % 4) + str(i) for i in range(90))]
+    hashes = np.array([(i % 3) + 160 * (i // 3 + 1) for i in range(len(vocabulary))], np.uint64)  # three places of 160
+    for size, some in ((30, 12), (30, 12), (200, 30), (500, 94), (3, 94), (30, 12)):
+        which = rng.integers(0, some, size)
+        before = len(asked)
+        ends = np.cumsum([len(vocabulary[i]) for i in which])
+        ids, to = cache.all("".join(vocabulary[i] for i in which), np.r_[0, ends[:-1]], ends, hashes[which])
+        assert [ids[a:b].tolist() for a, b in zip(to[:-1], to[1:])] == [[ord(c) for c in vocabulary[i] if c != "-"] for i in which]
+        new = asked[before:]
+        assert len(new) == len(set(new))  # each piece is merged once
+    asked.clear()
+    cache.all("a", np.array([0]), np.array([1]), hashes[:1])
+    cache.all("a", np.array([0]), np.array([1]), hashes[:1])
+    assert len(asked) <= 1
