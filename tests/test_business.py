@@ -129,6 +129,47 @@ def test_models_learn(spark, monkeypatch):
     assert {r["metric"] for r in learning.compare(two, "y", ["id"], classify=True).collect()} == {"accuracy", "f1"}
 
 
+def _counted(df, seen):
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    return df.mapInArrow(run, df.schema)
+
+
+@pytest.mark.parametrize("classify", [False, True])
+def test_models_read_their_input_once(spark, monkeypatch, classify):
+    """Medians, classes and training share one written table, so what makes the rows (joins, sums) runs once."""
+    for name in ("TREES", "ROUNDS", "TREE_DEPTH"):
+        monkeypatch.setattr(learning, name, 2)
+    df = spark.range(300).select("id", F.rand(1).alias("a"), F.when(F.col("id") % 9 > 0, F.rand(2)).alias("b"),
+                                 ((F.col("id") % 2) if classify else F.rand(3)).alias("y"))
+    for rows in (df, df.where("b IS NOT NULL")):
+        n, seen = rows.count(), spark.sparkContext.accumulator(0)
+        assert learning.compare(_counted(rows, seen), "y", ["id"], classify=classify).count()
+        assert seen.value == n
+
+
+def test_written_training_rows_have_medians_for_nulls(spark):
+    """The same rows as from ``training_rows``; a column without values becomes 0, rows without a target are left out."""
+    df = spark.range(500).select(
+        "id", F.when(F.col("id") % 5 > 0, F.col("id") * 2).alias("a"), F.when(F.col("id") % 7 > 0, F.sqrt("id")).alias("b"),
+        F.lit(None).cast("double").alias("c"), F.col("id").cast("int").alias("d"), F.when(F.col("id") % 11 > 0, F.col("id") * 1.5).alias("y"))
+    expected, features = learning.training_rows(df, "y", ["id"])
+    ready, names = learning.prepared(df, "y", ["id"])
+    assert names == features == ["a", "b", "c", "d"] and ready.columns == ["features", "label", "is_train"]
+    made = sorted((r.label, r.is_train, *r.features.toArray()) for r in ready.collect())
+    assert made == sorted((r.y, r.is_train, r.a, r.b, r.c, r.d) for r in expected.collect()) and len(made) == 454
+
+
+def test_scores_predict_each_row_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    pairs = spark.range(200).select((F.col("id") % 3).cast("double").alias("prediction"), (F.col("id") % 2).cast("double").alias("label"))
+    for classify in (False, True):
+        assert len(learning._scores(_counted(pairs, seen), classify)) == 2
+    assert seen.value == 400
+
+
 def test_names_that_would_look_alike_stay_whole(spark):
     long = "a name of more than twenty letters "
     df = spark.createDataFrame([(long + "one", 3.0), (long + "two", 2.0), ("another quite long name too", 1.0)], "k string, v double")
